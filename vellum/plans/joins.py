@@ -1,0 +1,22 @@
+"""Join helpers: broadcast only what is proven small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest side (rows) we broadcast without further thought.  Registries of
+# datasets, label lists and one-row summaries sit far below it.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast when it has at most ``max_rows`` rows.
+
+    The check is a ``limit(max_rows + 1).count()`` -- it stops reading once
+    the bound is passed, so it costs little even on a large input.  Above the
+    bound the frame is returned unchanged and the planner (with AQE's runtime
+    statistics) picks a shuffle join.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
