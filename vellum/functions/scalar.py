@@ -101,7 +101,7 @@ def basename_no_ext(x) -> Column:
 def format_bytes(x) -> Column:
     """0 -> '0 Bytes'; else 1024-step unit, at most 2 decimals, no trailing zeros."""
     b = _c(x).cast("double")
-    idx = F.floor(F.log(F.lit(1024.0), b)).cast("int")
+    idx = F.floor(F.log(1024.0, b)).cast("int")
     idx = F.least(F.greatest(idx, F.lit(0)), F.lit(len(BYTE_UNITS) - 1))
     scaled = F.round(b / F.pow(F.lit(1024.0), idx), 2)
     text = F.regexp_replace(F.format_string("%.2f", scaled), r"\.?0+$", "")

@@ -11,6 +11,7 @@ from vellum.plans.fixtures import Fixtures
 
 _MODULES = [
     "vellum.plans.registry_queries",
+    "vellum.plans.check_queries",
 ]
 
 

@@ -200,10 +200,10 @@ def normalise_filter_args(fx: Fixtures):
 
 @query("row_search", """
 select doc_id, n_chars from documents
-where coalesce(text ilike '%secret%', false) or coalesce(lang ilike '%secret%', false) or coalesce(source ilike '%secret%', false)
+where coalesce(text ilike '%license%', false) or coalesce(lang ilike '%license%', false) or coalesce(source ilike '%license%', false)
 """)
 def row_search(fx: Fixtures):
-    return R.row_search(fx.documents, "secret").select("doc_id", "n_chars")
+    return R.row_search(fx.documents, "license").select("doc_id", "n_chars")
 
 
 @query("paginate", f"""
