@@ -12,6 +12,8 @@ from vellum.plans.fixtures import Fixtures
 _MODULES = [
     "vellum.plans.registry_queries",
     "vellum.plans.check_queries",
+    "vellum.plans.metric_queries",
+    "vellum.plans.run_queries",
 ]
 
 
