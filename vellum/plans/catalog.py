@@ -14,6 +14,7 @@ _MODULES = [
     "vellum.plans.check_queries",
     "vellum.plans.metric_queries",
     "vellum.plans.run_queries",
+    "vellum.plans.pipeline_queries",
 ]
 
 
