@@ -15,6 +15,7 @@ _MODULES = [
     "vellum.plans.metric_queries",
     "vellum.plans.run_queries",
     "vellum.plans.pipeline_queries",
+    "vellum.plans.config_queries",
 ]
 
 
