@@ -16,6 +16,7 @@ _MODULES = [
     "vellum.plans.run_queries",
     "vellum.plans.pipeline_queries",
     "vellum.plans.config_queries",
+    "vellum.plans.ingest_queries",
 ]
 
 
