@@ -17,6 +17,7 @@ _MODULES = [
     "vellum.plans.pipeline_queries",
     "vellum.plans.config_queries",
     "vellum.plans.ingest_queries",
+    "vellum.plans.stream_queries",
 ]
 
 
