@@ -283,3 +283,12 @@ select id, case when total_requests > 0 then cast(100.0 as double) * successful_
 """, ["reg_evals"])
 def fn_percent(fx: Fixtures):
     return fx.reg_evals.select("id", S.percent("successful_requests", "total_requests").alias("pct"))
+
+
+@query("fn_json_path", """
+select row_id, cast(json_extract(response, '$.content.choices[0]') as varchar) as value from responses
+""", ["responses"])
+def fn_json_path(fx: Fixtures):
+    from vellum.operators.pipeline import extract_path
+    value, _ = extract_path(F.col("response"), ["content", "choices", "0"])
+    return fx.responses.select("row_id", value.alias("value"))
