@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import scalar as S
 from vellum.plans.joins import sized_broadcast
+from vellum.plans.prefix import prefix_sums
 
 # Status enums of the registries (lower-case values).
 SUITE_STATUSES = ["ready", "running", "failed"]
@@ -111,12 +112,17 @@ def newest_first(*extra: str) -> list[Column]:
 def by_foreign_key(df: DataFrame, fk: str) -> DataFrame:
     """Children of every parent, newest first, with the per-parent count.
 
-    A window per parent key; rank and count need the whole group in order.
+    Position and count come from the two-phase prefix sum over (parent,
+    created_at desc nulls first, id): a parent holding a third of all
+    children is spread over many tasks instead of one window partition.
     """
-    w = Window.partitionBy(fk).orderBy(*newest_first())
-    return (live(df).filter(F.col(fk).isNotNull())
-            .withColumn("position", F.row_number().over(w))
-            .withColumn("n_children", F.count(F.lit(1)).over(Window.partitionBy(fk))))
+    rows = live(df).filter(F.col(fk).isNotNull())
+    ts = F.col("created_at")
+    keyed = rows.withColumn("_has_ts", ts.isNotNull().cast("int")) \
+        .withColumn("_neg_ts", F.coalesce(-F.unix_micros(ts.cast("timestamp")), F.lit(0)))
+    ranked = prefix_sums(keyed, ["_has_ts", "_neg_ts", "id"], [], group_cols=[fk])
+    return ranked.withColumnRenamed("rows_cum", "position").withColumnRenamed("rows_total", "n_children") \
+        .drop("_has_ts", "_neg_ts")
 
 
 def to_record(df: DataFrame, kind: str) -> DataFrame:

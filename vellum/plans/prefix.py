@@ -30,7 +30,10 @@ from vellum.session import checkpoint_root
 def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
                 group_cols: list[str] | tuple = (), num_partitions: int | None = None) -> DataFrame:
     """Add ``<v>_cum`` (inclusive running sum in (group, order) row order) for
-    each value column and ``rows_cum`` (the running row count = row number).
+    each value column, ``rows_cum`` (the running row count = row number) and
+    ``rows_total`` (rows in the group).  The totals travel with the offsets,
+    which are joined on (partition, group) -- a key a hot group does not
+    dominate.
 
     Order columns sort ascending; negate a column first for a descending
     order.  Group and order keys must be non-null.  Equal keys keep an
@@ -91,14 +94,17 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
         F.count(F.lit(1)).alias("rows_tot"))
     w = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group_cols)
     offs = tot.select("_pid", *group_cols,
                       *[F.coalesce(F.sum(f"{v}_tot").over(w), F.lit(0.0)).alias(f"{v}_off") for v in value_cols],
-                      F.coalesce(F.sum("rows_tot").over(w), F.lit(0)).alias("rows_off"))
+                      F.coalesce(F.sum("rows_tot").over(w), F.lit(0)).alias("rows_off"),
+                      F.sum("rows_tot").over(whole).alias("rows_total"))
     joined = local.join(sized_broadcast(offs), ["_pid", *group_cols], "left")
     return joined.select(
         *df.columns,
         *[(F.col(f"{v}_lcum") + F.coalesce(F.col(f"{v}_off"), F.lit(0.0))).alias(f"{v}_cum") for v in value_cols],
-        (F.col("rows_lcum") + F.coalesce(F.col("rows_off"), F.lit(0))).cast("bigint").alias("rows_cum"))
+        (F.col("rows_lcum") + F.coalesce(F.col("rows_off"), F.lit(0))).cast("bigint").alias("rows_cum"),
+        F.col("rows_total").cast("bigint").alias("rows_total"))
 
 
 def exact_quantile(df: DataFrame, group_cols: list[str], value: str, q: float, name: str) -> DataFrame:
