@@ -317,3 +317,15 @@ def test_profile_approx_distinct_close(spark, sf_small):
     prof = {r["column_name"]: r["approx_distinct"] for r in C.profile(cust).collect()}
     exact = cust.select(F.countDistinct("c_custkey")).first()[0]
     assert abs(prof["c_custkey"] - exact) <= 0.05 * exact
+
+
+def test_history_counts_empty_upload_and_skips_garbage(spark):
+    from vellum.session import scratch_path
+    from vellum.sources import ingest as I
+    root = scratch_path(spark, "hist-edge")
+    df = spark.range(5).select(F.col("id"))
+    df.write.parquet(f"{root}/upload=20240101_000000")
+    df.limit(0).write.parquet(f"{root}/upload=20240102_000000")
+    spark.range(1).select(F.lit("junk").alias("v")).write.text(f"{root}/upload=20240103_000000")
+    got = [(r["filename"], r["rows_added"], r["cumulative_rows"]) for r in I.dataset_history(spark, root).collect()]
+    assert got == [("20240101_000000", 5, 5), ("20240102_000000", 0, 5)]
