@@ -153,26 +153,29 @@ def tokens(x) -> Column:
     return F.filter(F.split(c, TOKEN_SPLIT), lambda s: s != "")
 
 
-def _ngrams(toks: Column, n: int) -> Column:
+_GRAM = "struct<n:int,side:string,gram:string>"
+
+
+def _tagged_ngrams(toks: Column, n: int, side: str) -> Column:
+    """All n-grams of a token array as (n, side, gram) structs (empty when
+    the text is shorter than n)."""
     idx = F.sequence(F.lit(0), F.size(toks) - n)
-    return F.when(F.size(toks) >= n,
-                  F.transform(idx, lambda i: F.array_join(F.slice(toks, i + 1, n), " "))) \
-        .otherwise(F.array().cast("array<string>"))
+    grams = F.transform(idx, lambda i: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"),
+                                                F.array_join(F.slice(toks, i + 1, n), " ").alias("gram")))
+    return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast(f"array<{_GRAM}>"))
 
 
 def ngram_overlap(df: DataFrame, key: list[str], ref: str, out: str, orders=(1, 2, 3, 4)) -> DataFrame:
     """Per (pair, n): clipped overlap, output n-gram count, reference n-gram count.
 
-    N-grams are exploded and counted per (pair, n, gram); the shuffle key
-    includes the gram, so one very long text spreads over many tasks.
+    One pass explodes every order of both texts; the n-grams are counted per
+    (pair, n, gram) -- the shuffle key includes the gram, so one very long
+    text spreads over many tasks.
     """
     base = df.select(*key, tokens(ref).alias("_r"), tokens(out).alias("_o"))
-    sides = []
-    for side, col in (("r", "_r"), ("o", "_o")):
-        for n in orders:
-            sides.append(base.select(*key, F.lit(n).alias("n"), F.lit(side).alias("side"),
-                                     F.explode(_ngrams(F.col(col), n)).alias("gram")))
-    grams = reduce(DataFrame.unionByName, sides)
+    every = F.concat(*[_tagged_ngrams(F.col(col), n, side)
+                       for side, col in (("r", "_r"), ("o", "_o")) for n in orders])
+    grams = base.select(*key, F.explode(every).alias("_g")).select(*key, "_g.n", "_g.side", "_g.gram")
     cnt = grams.groupBy(*key, "n", "gram").agg(
         F.count_if(F.col("side") == "r").alias("cr"), F.count_if(F.col("side") == "o").alias("co"))
     per = cnt.groupBy(*key, "n").agg(F.sum(F.least("cr", "co")).alias("overlap"),

@@ -30,6 +30,8 @@ from vellum.operators import schema as C
 
 # A time-of-day-only text (DuckDB infers TIME for it).
 TIME_ONLY = r"^[0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?$"
+# Rows looked at to tell a time-of-day column from a timestamp column.
+TIME_SNIFF_ROWS = 20_000
 # Size limits per file and per dataset (bytes).
 MAX_FILE_BYTES = 1 << 30
 MAX_DATASET_BYTES = 10 << 30
@@ -80,7 +82,9 @@ def infer_csv(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame
                if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
     overrides: dict[str, str] = {}
     if ts_cols:
-        raw = reader().csv(path)
+        # a time-of-day column is recognised on its leading rows (as a CSV
+        # sniffer does), so the check costs no second full pass over the file
+        raw = reader().csv(path).select(*ts_cols).limit(TIME_SNIFF_ROWS)
         flags = raw.agg(*[F.bool_and(F.col(c).isNull() | F.col(c).rlike(TIME_ONLY)).alias(c) for c in ts_cols]).first()
         time_cols = [c for c in ts_cols if flags[c]]
         if time_cols:
