@@ -118,8 +118,13 @@ def by_foreign_key(df: DataFrame, fk: str) -> DataFrame:
     """
     rows = live(df).filter(F.col(fk).isNotNull())
     ts = F.col("created_at")
+    if dict(rows.dtypes)["created_at"] == "timestamp_ntz":
+        # micros since the epoch on the wall clock: no session time zone involved
+        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    else:
+        micros = F.unix_micros(ts)
     keyed = rows.withColumn("_has_ts", ts.isNotNull().cast("int")) \
-        .withColumn("_neg_ts", F.coalesce(-F.unix_micros(ts.cast("timestamp")), F.lit(0)))
+        .withColumn("_neg_ts", F.coalesce(-micros, F.lit(0)))
     ranked = prefix_sums(keyed, ["_has_ts", "_neg_ts", "id"], [], group_cols=[fk])
     return ranked.withColumnRenamed("rows_cum", "position").withColumnRenamed("rows_total", "n_children") \
         .drop("_has_ts", "_neg_ts")
