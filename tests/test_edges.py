@@ -329,3 +329,14 @@ def test_history_counts_empty_upload_and_skips_garbage(spark):
     spark.range(1).select(F.lit("junk").alias("v")).write.text(f"{root}/upload=20240103_000000")
     got = [(r["filename"], r["rows_added"], r["cumulative_rows"]) for r in I.dataset_history(spark, root).collect()]
     assert got == [("20240101_000000", 5, 5), ("20240102_000000", 0, 5)]
+
+
+def test_search_with_metadata_filters(spark):
+    df = _reg(spark)
+    eq = R.search_conjunctive(df, metadata_col="metadata", metadata_key="x.y", metadata_value="q")
+    assert [r["id"] for r in eq.collect()] == [1]
+    has = R.search_conjunctive(df, name="a", metadata_col="metadata", metadata_key="t")
+    assert [r["id"] for r in has.collect()] == [1]
+    con = R.search_conjunctive(df, metadata_col="metadata", metadata_key="x.y", metadata_value="Q",
+                               metadata_match="contains")
+    assert [r["id"] for r in con.collect()] == [1]

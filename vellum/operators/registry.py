@@ -72,9 +72,21 @@ def keyword_search(df: DataFrame, keyword: str | None, status: str | None = None
 
 
 def search_conjunctive(df: DataFrame, name: str | None = None, description: str | None = None,
-                       suite_id=None, dataset_id=None, status: str | None = None) -> DataFrame:
-    """AND of the optional filters; absent / blank ones are skipped."""
+                       suite_id=None, dataset_id=None, status: str | None = None,
+                       metadata_col: str | None = None, metadata_key: str | None = None,
+                       metadata_value: str | None = None, metadata_match: str = "equals") -> DataFrame:
+    """AND of the optional filters; absent / blank ones are skipped.
+
+    A metadata key with a value filters on it (``equals`` for datasets,
+    ``contains`` for suites and evaluations); a key alone keeps rows that
+    have the key (P9-P11)."""
     out = live(df)
+    if metadata_col and metadata_key:
+        if metadata_value:
+            out = (metadata_equals if metadata_match == "equals" else metadata_contains)(
+                out, metadata_col, metadata_key, metadata_value)
+        else:
+            out = metadata_has_key(out, metadata_col, metadata_key)
     if name and name.strip():
         out = out.filter(S.ilike("name", f"%{name.strip()}%"))
     if description and description.strip():
