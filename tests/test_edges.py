@@ -128,10 +128,10 @@ def test_nulls_first_newest_first(spark):
 # ------------------------------------------------------------- validation
 
 def test_name_rules_unicode_space_and_limits(spark):
-    rows = [(1, "ok name"), (2, "with nbsp"), (3, "   "), (4, None), (5, "x" * 256), (6, "bad#")]
+    rows = [(1, "ok name"), (2, "with nbsp"), (3, "   "), (4, None), (5, "x" * 256), (6, "bad#"), (7, "")]
     df = spark.createDataFrame(rows, "id int, name string")
     got = {r["id"]: r["rule"] for r in V.check_name(df).collect()}
-    assert got == {3: "name_blank", 4: "name_missing", 5: "name_too_long", 6: "name_invalid_chars"}
+    assert got == {3: "name_blank", 4: "name_missing", 5: "name_too_long", 6: "name_invalid_chars", 7: "name_missing"}
 
 
 def test_metadata_rules(spark):

@@ -34,7 +34,7 @@ def _violations(df: DataFrame, id_col: str, rule: Column) -> DataFrame:
 
 def name_rule(name: Column) -> Column:
     """V1: first failing rule of a name, null when valid."""
-    return (F.when(name.isNull(), F.lit("name_missing"))
+    return (F.when(name.isNull() | (name == ""), F.lit("name_missing"))
             .when(S.strip(name) == "", F.lit("name_blank"))
             .when(F.length(name) > NAME_MAX, F.lit("name_too_long"))
             .when(~name.rlike(NAME_PATTERN), F.lit("name_invalid_chars")))

@@ -44,7 +44,7 @@ _NAME_CLASS_SQL = V.NAME_CLASS
 @query("check_name", f"""
 with n as (select p_partkey as id, case when p_size=1 then '   ' when p_size=2 then null when p_size=3 then repeat(p_name, 30)
   when p_size=4 then concat(p_name, '#') when p_size=5 then concat(p_name, chr(160), 'x') else p_name end as name from part)
-select id, rule from (select id, case when name is null then 'name_missing' when {strip_sql('name')} = '' then 'name_blank'
+select id, rule from (select id, case when name is null or name = '' then 'name_missing' when {strip_sql('name')} = '' then 'name_blank'
   when length(name) > 255 then 'name_too_long' when not regexp_matches(name, '^[{_NAME_CLASS_SQL}]+$') then 'name_invalid_chars' end as rule from n)
 where rule is not null
 """)
