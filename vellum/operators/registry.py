@@ -50,7 +50,7 @@ def exists_by(df: DataFrame, keys: DataFrame, key: str, key_col: str | None = No
     key_col = key_col or key
     present = live(df).select(F.col(key).alias("_k")).distinct().withColumn("_hit", F.lit(True))
     wanted = keys.select(F.col(key_col).alias(key)).distinct()
-    return (wanted.join(present, wanted[key] == present["_k"], "left")
+    return (wanted.join(sized_broadcast(present), wanted[key] == present["_k"], "left")
             .select(F.col(key), F.coalesce(F.col("_hit"), F.lit(False)).alias("exists")))
 
 
