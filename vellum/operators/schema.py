@@ -38,18 +38,23 @@ def schema_table(spark: SparkSession, schema: T.StructType, overrides: dict[str,
     rows = [(i, f.name, overrides.get(f.name, canonical_type(f.dataType)), True)
             for i, f in enumerate(schema.fields)]
     # a CSV-derived table is always nullable, as DESCRIBE of a CTAS reports
-    return spark.createDataFrame(rows, SCHEMA_TABLE)
+    # one row per column: a single partition, not one task per core
+    return spark.createDataFrame(rows, SCHEMA_TABLE).coalesce(1)
 
 
 def schema_drift(new: DataFrame, old: DataFrame | None) -> DataFrame:
     """Per column: missing (error), extra (warning), type_mismatch
-    (error) or ok.  No previous schema -> every column is ok."""
+    (error) or ok.  No previous schema -> every column is ok.  Column names
+    are unique within a schema table."""
     if old is None:
         return new.select("column_name", F.lit(None).cast("string").alias("old_type"),
                           F.col("type").alias("new_type"), F.lit("ok").alias("kind"))
-    n = new.select("column_name", F.col("type").alias("new_type"))
-    o = old.select("column_name", F.col("type").alias("old_type"))
-    j = o.join(n, "column_name", "full")
+    # a full outer match on the column name, written as one grouped union
+    # (one shuffle) rather than a join (two)
+    n = new.select("column_name", F.lit(None).cast("string").alias("old_type"), F.col("type").alias("new_type"))
+    o = old.select("column_name", F.col("type").alias("old_type"), F.lit(None).cast("string").alias("new_type"))
+    j = o.unionByName(n).groupBy("column_name").agg(F.max("old_type").alias("old_type"),
+                                                    F.max("new_type").alias("new_type"))
     kind = (F.when(F.col("new_type").isNull(), F.lit("missing"))
             .when(F.col("old_type").isNull(), F.lit("extra"))
             .when(F.col("old_type") != F.col("new_type"), F.lit("type_mismatch"))

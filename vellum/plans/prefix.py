@@ -121,7 +121,8 @@ def exact_quantile(df: DataFrame, group_cols: list[str], value: str, q: float, n
     pos = pos.select(*group_cols, "_h", F.floor("_h").cast("bigint").alias("_lo"),
                      F.ceil("_h").cast("bigint").alias("_hi"))
     ranked = prefix_sums(vals, ["_v"], [], group_cols=group_cols).withColumn("_i", F.col("rows_cum") - 1)
-    hit = (ranked.join(pos, group_cols)
+    # one row per group: broadcast when proven small (a hot group then needs no hot join task)
+    hit = (ranked.join(sized_broadcast(pos), group_cols)
            .filter((F.col("_i") == F.col("_lo")) | (F.col("_i") == F.col("_hi"))))
     agg = hit.groupBy(*group_cols, "_h", "_lo").agg(
         F.max(F.when(F.col("_i") == F.col("_lo"), F.col("_v"))).alias("_a"),

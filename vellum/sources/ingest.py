@@ -137,16 +137,21 @@ class DatasetStore:
             return None
         return C.current_schema(mine).select("ordinal", "column_name", "type", "nullable")
 
-    def _stamp(self, dataset_id, now: _dt.datetime | None) -> str:
-        """F5 stamp of the upload; a second upload in the same second gets a
-        sequence suffix instead of overwriting the first."""
+    def _log_state(self, dataset_id, now: _dt.datetime | None) -> tuple[DataFrame | None, str]:
+        """The schema in force and the stamp for a new upload, from one
+        aggregate over the schema log.  A second upload in the same second
+        gets a sequence suffix instead of overwriting the first."""
         base = (now or _dt.datetime.now(_dt.timezone.utc)).strftime("%Y%m%d_%H%M%S")
         s = self.schemas()
         if s is None:
-            return base
-        taken = (s.filter((F.col("dataset_id") == str(dataset_id)) & F.col("upload").startswith(base))
-                 .select("upload").distinct().count())
-        return base if taken == 0 else f"{base}_{taken + 1}"
+            return None, base
+        mine = s.filter(F.col("dataset_id") == str(dataset_id))
+        st = mine.agg(F.max("upload").alias("latest"),
+                      F.count_distinct(F.when(F.col("upload").startswith(base), F.col("upload"))).alias("taken")).first()
+        if st["latest"] is None:
+            return None, base
+        old = mine.filter(F.col("upload") == st["latest"]).select("ordinal", "column_name", "type", "nullable")
+        return old, (base if st["taken"] == 0 else f"{base}_{st['taken'] + 1}")
 
     # -- S4
     def upload_csv(self, dataset_id, source: str, now: _dt.datetime | None = None, sep: str = ",") -> dict:
@@ -160,13 +165,12 @@ class DatasetStore:
             rep["errors"] = ["Only CSV files are allowed"]
             return self._report(rep)
         df, new_schema, _ = infer_csv(self.spark, source, sep)
-        old = self.current_schema(dataset_id)
+        old, stamp = self._log_state(dataset_id, now)
         verdict = C.drift_verdict(C.schema_drift(new_schema, old)).first()
         rep.update(is_first_upload=old is None, errors=list(verdict["errors"]), warnings=list(verdict["warnings"]),
                    n_columns=len(df.columns))
         if not verdict["valid"]:
             return self._report(rep)
-        stamp = self._stamp(dataset_id, now)
         df.write.mode("errorifexists").parquet(f"{self.data_dir(dataset_id)}/upload={stamp}")
         written = self.spark.read.parquet(f"{self.data_dir(dataset_id)}/upload={stamp}")
         row_count = written.count()  # footer-level count of what was stored
@@ -174,12 +178,12 @@ class DatasetStore:
         (new_schema.withColumn("dataset_id", F.lit(str(dataset_id))).withColumn("upload", F.lit(stamp))
          .withColumn("row_count", F.lit(row_count).cast("bigint"))
          .withColumn("created_at", F.lit(created).cast("timestamp_ntz"))
-         .write.mode("append").parquet(self.schemas_dir))
+         .coalesce(1).write.mode("append").parquet(self.schemas_dir))
         rep.update(accepted=True, upload=stamp, row_count=row_count)
         return self._report(rep)
 
     def _report(self, rep: dict) -> dict:
-        self.spark.createDataFrame([rep], REPORT_SCHEMA).write.mode("append").parquet(self.uploads_dir)
+        self.spark.createDataFrame([rep], REPORT_SCHEMA).coalesce(1).write.mode("append").parquet(self.uploads_dir)
         return rep
 
     # -- S5
