@@ -5,30 +5,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import exact_dedup, sharding
+from vellum.llm import bpe, exact_dedup, mixing, sharding, token_counts
 from vellum.sources.tables import table
 
 SHARDS = 16
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def rank_file(name: str = RANKS) -> bytes:
+    """Content of a public rank file (under 1 MB), read on the driver."""
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
 def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(documents(spark, sf_dir), "doc_id", "text", SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, size, copies, sizes, target = mixing.mix(documents(spark, sf_dir), F.array("source"))
+    known = spark.createDataFrame([(s, int(sizes[s]), float(target[s])) for s in mixing.source_order(sizes)],
+                                  "name string, source_size long, target double")
+    return (rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name")), "left")
+            .select("doc_id", F.col(size).alias("size"), "source_size", "target",
+                    (F.col(size) * F.col(copies)).alias("taken")))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.encode(docs, rank_file(), public_tokenizers.PATTERN, n_tokens="n_tokens", ids_sha256="ids_sha256",
+                      decoded_sha256="decoded_sha256")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), digest=True)
 
 
+def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("source", "text")
+    lengths = token_counts.token_lengths(docs, rank_file(), public_tokenizers.PATTERN)
+    return token_counts.histogram(lengths, ["source"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jump_sharding, op9_exact_dedup)
+    f.__name__: f for f in (op1_jump_sharding, op3_mix_sources, op4_byte_bpe, op9_exact_dedup, op10_token_histogram)
 }
 
 ORACLES: dict[str, str] = {
