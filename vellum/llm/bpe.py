@@ -26,12 +26,11 @@ from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vellum.llm.common import fresh
+from vellum.llm.common import with_made
 
 # Symbols in one replay and pieces remembered by a task: bounds of memory, not of input.
 REPLAY_SYMBOLS = 200_000
@@ -174,55 +173,29 @@ def _codec(tokens: bytes, pattern: str) -> Codec:
     return Codec({base64.b64decode(a): int(b) for a, b in (x.split() for x in tokens.splitlines())}, pattern)
 
 
-def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of texts of about ``most`` characters, a longer text alone."""
-    run, held = [], 0
-    for t in texts:
-        run.append(t)
-        held += len(t)
-        if held >= most:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
-
-
 def encode(docs: DataFrame, tokens: bytes, pattern: str, text: str = "text", *, ids: str | None = None,
            n_tokens: str | None = None, ids_sha256: str | None = None, decoded_sha256: str | None = None) -> DataFrame:
     """``docs`` without ``text`` and with those of the four columns that get a
     name: the ids (array of int), their number, and the digests of the packed ids and of
     the bytes they decode to.  ``tokens`` is the rank file's content, of fixed size.
     """
-    wanted = {"ids": ids, "n": n_tokens, "ids_sha": ids_sha256, "decoded_sha": decoded_sha256}
-    kinds = {"ids": "array<int>", "n": "long", "ids_sha": "string", "decoded_sha": "string"}
-    names = [n for n in wanted.values() if n]
-    keep = [c for c in docs.columns if c != text]
-    clash = {c.lower() for c in keep} & {n.lower() for n in names}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already; give other names")
+    kinds = ((ids, T.ArrayType(T.IntegerType())), (n_tokens, T.LongType()), (ids_sha256, T.StringType()),
+             (decoded_sha256, T.StringType()))
+    added = T.StructType([T.StructField(name, kind) for name, kind in kinds if name])
     held = docs.sparkSession.sparkContext.broadcast(tokens)
-    whole, = fresh(docs, "whole_text")
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias(whole))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != whole),
-                        *(f"`{n}` {kinds[k]}" for k, n in wanted.items() if n)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str | None]) -> list[list]:
         codec = _codec(held.value, pattern)
-        for batch in batches:
-            at = 0
-            for texts in _groups(batch[whole].tolist()):
-                part = batch.iloc[at:at + len(texts)].drop(columns=whole)
-                at += len(texts)
-                packed = list(codec.encode(texts))
-                made = {}
-                if ids:
-                    made[ids] = [np.frombuffer(p, dtype="<u4").astype("int32") for p in packed]
-                if n_tokens:
-                    made[n_tokens] = [len(p) // 4 for p in packed]
-                if ids_sha256:
-                    made[ids_sha256] = [hashlib.sha256(p).hexdigest() for p in packed]
-                if decoded_sha256:
-                    made[decoded_sha256] = [hashlib.sha256(codec.decode(p)).hexdigest() for p in packed]
-                yield part.assign(**made)
-
-    return source.mapInPandas(run, schema)
+        packed = list(codec.encode([t or "" for t in texts]))
+        made = []
+        if ids:
+            made.append([np.frombuffer(p, dtype="<u4").astype("int32") for p in packed])
+        if n_tokens:
+            made.append([len(p) // 4 for p in packed])
+        if ids_sha256:
+            made.append([hashlib.sha256(p).hexdigest() for p in packed])
+        if decoded_sha256:
+            made.append([hashlib.sha256(codec.decode(p)).hexdigest() for p in packed])
+        return made
+
+    return with_made(docs, text, added, make)

@@ -8,14 +8,21 @@
   thousandth of all rows (fewer than a thousand groups) are broadcast, all
   others are shuffled, so no group's rows meet in one task.
 * ``repeated`` emits a row n times, large n over many tasks.
+* ``with_made`` and ``where_text`` run a Python function over texts inside Spark's tasks,
+  a run of about a million characters at a time; other columns pass as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vellum.session import scratch_path
 
@@ -32,6 +39,7 @@ BITMAP_BUCKETS = 1024
 
 HOT_PARTS = 1000
 CHUNK = 4096
+RUN_CHARS = 1 << 20
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -124,3 +132,58 @@ def repeated(df: DataFrame, times: str, index: str) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def _runs(texts: pa.Array, most: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
+    """(start, number) of runs of about ``most`` bytes; a longer text is alone."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    if len(sizes) > start:
+        yield start, len(sizes) - start
+
+
+def with_made(docs: DataFrame, text: str, added: T.StructType, make: Callable[[list], list[list]], keep_text: bool = False) -> DataFrame:
+    """``docs`` (without ``text`` unless kept) and the ``added`` columns, whose
+    values ``make`` gives, a list per column, for a list of texts."""
+    kept = [c for c in docs.columns if keep_text or c != text]
+    clash = {c.lower() for c in kept} & {f.name.lower() for f in added}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already; give other names")
+    whole, = fresh(docs, "whole_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(whole))
+    schema = T.StructType([*[f for f in source.schema if f.name != whole], *added])
+    kinds = [to_arrow_type(f.dataType) for f in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(kept))
+            for start, n in _runs(texts):
+                made = make(texts.slice(start, n).to_pylist())
+                columns = [batch.column(i).slice(start, n) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays(
+                    columns + [pa.array(v, type=k) for v, k in zip(made, kinds)], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def where_text(docs: DataFrame, text: str, test: Callable[[str | None], bool]) -> DataFrame:
+    """The rows of ``docs`` whose text passes ``test``, all columns as they are."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, n in _runs(batch.column(at)):
+                part = batch.slice(start, n)
+                yield part.filter(pa.array([test(t) for t in part.column(at).to_pylist()], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def columns(spec: str) -> T.StructType:
+    """A schema from its DDL text."""
+    return T.StructType.fromDDL(spec)

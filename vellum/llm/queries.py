@@ -6,10 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, exact_dedup, mixing, sharding, token_counts
+from vellum.llm import bpe, exact_dedup, langid, mixing, sharding, token_counts
 from vellum.sources.tables import table
 
 SHARDS = 16
@@ -31,6 +31,17 @@ def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def fold(n: int, rest: int) -> Column:
+    """Whether a document is held out: crc32 of its id as text leaves ``rest``."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n == rest
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.filter(~fold(4, 2)))
+    return langid.predict(docs.select("doc_id", fold(4, 2).alias("held_out"), "text"), model)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, size, copies, sizes, target = mixing.mix(documents(spark, sf_dir), F.array("source"))
     known = spark.createDataFrame([(s, int(sizes[s]), float(target[s])) for s in mixing.source_order(sizes)],
@@ -57,7 +68,7 @@ def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jump_sharding, op3_mix_sources, op4_byte_bpe, op9_exact_dedup, op10_token_histogram)
+    f.__name__: f for f in (op1_jump_sharding, op2_language_id, op3_mix_sources, op4_byte_bpe, op9_exact_dedup, op10_token_histogram)
 }
 
 ORACLES: dict[str, str] = {
