@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, exact_dedup, langid, mixing, sharding, token_counts
+from vellum.llm import bpe, exact_dedup, langid, licenses, mixing, rules, sharding, token_counts
+from vellum.llm.common import saved
 from vellum.sources.tables import table
 
 SHARDS = 16
@@ -57,6 +58,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       decoded_sha256="decoded_sha256")
 
 
+def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = saved(rules.statistics(documents(spark, sf_dir).select("doc_id", "text")), "quality-stats")
+    learned = rules.fit(stats, table(spark, sf_dir, "labels"))
+    failed = rules.base_failed()
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        failed.alias("base_failed"), (~failed & rules.verdict(learned)).alias("kept"),
+                        rules.fired(learned).alias("rule"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), digest=True)
 
@@ -68,7 +82,7 @@ def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jump_sharding, op2_language_id, op3_mix_sources, op4_byte_bpe, op9_exact_dedup, op10_token_histogram)
+    f.__name__: f for f in (op1_jump_sharding, op2_language_id, op3_mix_sources, op4_byte_bpe, op6_license_templates, op8_quality_rules, op9_exact_dedup, op10_token_histogram)
 }
 
 ORACLES: dict[str, str] = {
