@@ -184,6 +184,6 @@ def where_text(docs: DataFrame, text: str, test: Callable[[str | None], bool]) -
     return docs.mapInArrow(run, docs.schema)
 
 
-def columns(spec: str) -> T.StructType:
-    """A schema from its DDL text."""
-    return T.StructType.fromDDL(spec)
+def columns(**kinds: T.DataType) -> T.StructType:
+    """A schema of nullable columns."""
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])

@@ -21,7 +21,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vellum.llm.common import with_made
+from vellum.llm.common import columns, with_made
 
 words_of = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
@@ -194,7 +194,9 @@ class Scanner:
                 ",".join(sorted(labels | {label for _, _, label in hits})), len(covered) / len(words) if words else 0.0)
 
 
-COLUMNS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+COLUMNS = columns(n_words=T.LongType(), n_base=T.LongType(), first_word=T.LongType(), last_word=T.LongType(),
+                  base_labels=T.StringType(), labels=T.StringType(), score=T.DoubleType())
+MATCHES = columns(matches=T.ArrayType(columns(start=T.LongType(), end=T.LongType(), label=T.StringType())))
 
 
 def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = None,
@@ -202,7 +204,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = N
     """``docs`` without ``text``, with the columns of ``COLUMNS``: the phrase
     places, the labels and the share of words that templates cover."""
     scanner = Scanner(PHRASES if phrases is None else phrases, templates)
-    return with_made(docs, text, T.StructType.fromDDL(COLUMNS),
+    return with_made(docs, text, COLUMNS,
                      lambda texts: [list(x) for x in zip(*map(scanner.scan, texts))])
 
 
@@ -215,4 +217,4 @@ def spans(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str],
         low = [lower_ascii(t or "") for t in texts]
         return [[[dict(zip(("start", "end", "label"), m)) for m in scanner.matches(words_of(t), t)] for t in low]]
 
-    return with_made(docs, text, T.StructType.fromDDL("matches array<struct<start: long, end: long, label: string>>"), make)
+    return with_made(docs, text, MATCHES, make)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, exact_dedup, langid, licenses, mixing, rules, sharding, token_counts
+from vellum.llm import bpe, exact_dedup, langid, licenses, mixing, near_dedup, rules, sharding, token_counts
 from vellum.llm.common import saved
 from vellum.sources.tables import table
 
@@ -58,6 +58,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       decoded_sha256="decoded_sha256")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(documents(spark, sf_dir), words=3, threshold=85)
+
+
 def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -82,7 +86,7 @@ def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jump_sharding, op2_language_id, op3_mix_sources, op4_byte_bpe, op6_license_templates, op8_quality_rules, op9_exact_dedup, op10_token_histogram)
+    f.__name__: f for f in (op1_jump_sharding, op2_language_id, op3_mix_sources, op4_byte_bpe, op5_minhash_near_dedup, op6_license_templates, op8_quality_rules, op9_exact_dedup, op10_token_histogram)
 }
 
 ORACLES: dict[str, str] = {
