@@ -22,6 +22,7 @@ and text are taken or left together; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 import pandas as pd
@@ -34,8 +35,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 MAX_PASSES = 2
 SEED = 20_240_501
-# Rows that one hash range holds on average; single rows are read of one range per pattern.
-ROWS_PER_RANGE = 10_000
 GAP_DOCS = 8
 
 
@@ -169,11 +168,12 @@ def mix(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str = "t
     flow = route(words, target, passes)
     spark = docs.sparkSession
     plan = []
+    # A pattern of n rows is cut into sqrt(n) / 4 ranges of 4 * sqrt(n) rows; single rows are read of one range.
     for r in by_pattern:
         p = tuple(r["members"])
         give = sum(flow.get(p, {}).values())
         whole = give // words[p] if words.get(p) else 0
-        plan.append((r["pattern"], int(whole), int(give - whole * words.get(p, 0)), max(1, r["n"] // ROWS_PER_RANGE)))
+        plan.append((r["pattern"], int(whole), int(give - whole * words.get(p, 0)), max(1, math.isqrt(r["n"]) // 4)))
     plan = spark.createDataFrame(plan, "pattern string, whole long, left long, ranges long")
     ranged = slim.join(F.broadcast(plan.filter("left > 0")), "pattern").withColumn(
         "at", F.floor(F.col("h").cast("double") / F.lit(float(1 << 62)) * F.col("ranges")).cast("long"))

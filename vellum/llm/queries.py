@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, exact_dedup, langid, licenses, mixing, near_dedup, rules, sharding, token_counts
+from vellum.llm import bpe, exact_dedup, hpylm, langid, licenses, mixing, near_dedup, rules, sharding, token_counts
 from vellum.llm.common import saved
 from vellum.sources.tables import table
 
@@ -66,6 +66,10 @@ def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op7_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(documents(spark, sf_dir), fold(7, 2))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = saved(rules.statistics(documents(spark, sf_dir).select("doc_id", "text")), "quality-stats")
     learned = rules.fit(stats, table(spark, sf_dir, "labels"))
@@ -86,7 +90,7 @@ def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jump_sharding, op2_language_id, op3_mix_sources, op4_byte_bpe, op5_minhash_near_dedup, op6_license_templates, op8_quality_rules, op9_exact_dedup, op10_token_histogram)
+    f.__name__: f for f in (op1_jump_sharding, op2_language_id, op3_mix_sources, op4_byte_bpe, op5_minhash_near_dedup, op6_license_templates, op7_pitman_yor_lm, op8_quality_rules, op9_exact_dedup, op10_token_histogram)
 }
 
 ORACLES: dict[str, str] = {
