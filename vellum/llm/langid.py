@@ -67,6 +67,8 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", *, fit_rows
             for name, whole in zip(batch["lang"], batch["text"]):
                 seen.setdefault(name, Counter()).update(words_of(whole.lower()))
             for name, counts in seen.items():
+                if not counts:
+                    continue
                 yield pd.DataFrame({"lang": name, "item": list(counts), "n": list(counts.values())})
 
     counts = rows.mapInPandas(count_words, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
