@@ -224,8 +224,9 @@ def test_mrr_and_map_without_relevant(spark):
 
 def test_confusion_matrix_zero_fill(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b")], "y_true string, y_pred string")
-    got = {(r["y_true"], r["y_pred"]): r["n"] for r in M.confusion_matrix(df).collect()}
+    got = {(r["y_true"], r["y_pred"]): r["n"] for r in M.confusion_matrix(df, labels=["a", "b"]).collect()}
     assert got == {("a", "a"): 1, ("a", "b"): 1, ("b", "a"): 0, ("b", "b"): 0}
+    assert M.confusion_matrix(df).count() == 2  # the pairs that occur
 
 
 # ------------------------------------------------------------- replay
@@ -340,3 +341,103 @@ def test_search_with_metadata_filters(spark):
     con = R.search_conjunctive(df, metadata_col="metadata", metadata_key="x.y", metadata_value="Q",
                                metadata_match="contains")
     assert [r["id"] for r in con.collect()] == [1]
+
+
+def test_prefix_sums_null_groups_wide_sums_and_late_years(spark):
+    rows = [(None, 1, 2**53 + 1, "9999-12-31 00:00:00"), (None, 2, 1, None), ("g", 1, None, "2300-01-01 00:00:00"), ("g", 2, 5, None)]
+    df = spark.createDataFrame(rows, "g string, o int, v bigint, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    out = prefix_sums(df, ["o"], ["v"], group_cols=["g"], num_partitions=3)
+    got = {(r["g"], r["o"]): (r["v_cum"], r["v_total"], r["rows_cum"], r["rows_total"]) for r in out.collect()}
+    assert got == {(None, 1): (2**53 + 1, 2**53 + 2, 1, 2), (None, 2): (2**53 + 2, 2**53 + 2, 2, 2),
+                   ("g", 1): (0, 5, 1, 2), ("g", 2): (5, 5, 2, 2)}
+    assert out.filter("year(t) = 9999").count() == 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "MapInArrow" not in plan
+
+
+def test_quantile_of_a_hot_value_and_a_null_group(spark):
+    vals = [7.0] * 5000 + list(range(5000))
+    df = spark.createDataFrame([("a", float(v)) for v in vals] + [(None, 1.0), (None, 3.0), ("b", None)], "k string, x double")
+    got = {r["k"]: r["q"] for r in exact_quantile(df, ["k"], "x", 0.95, "q").collect()}
+    assert got == pytest.approx({"a": float(np.quantile(vals, 0.95)), None: 2.9})
+
+
+def test_run_summary_of_a_null_run(spark):
+    from vellum.operators import runs as RU
+
+    df = spark.createDataFrame([(None, 200, 1.0), (None, 500, 3.0), (1, 200, 2.0)], "run_id int, status_code int, response_time_ms double")
+    got = {r["run_id"]: (r["rows"], r["failed"], r["p95_response_ms"]) for r in RU.run_summary(df).collect()}
+    assert got == {None: (2, 1, pytest.approx(2.9)), 1: (1, 0, 2.0)}
+
+
+def test_run_progress_counts_a_resent_row_once(spark):
+    from vellum.operators import runs as RU
+
+    inputs = spark.createDataFrame([(1, 1), (1, 2)], "run_id int, row_id int")
+    outputs = spark.createDataFrame([(1, 1, "2024-01-01 00:00:00", 500), (1, 1, "2024-01-01 00:01:00", 200)],
+                                    "run_id int, row_id int, ts string, status_code int").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    r = RU.run_progress(inputs, outputs, "2024-01-02 00:00:00").first()
+    assert (r["expected"], r["processed"], r["failed"], r["remaining"]) == (2, 1, 0, 1)
+
+
+def test_null_labels_are_labels(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), (None, None), ("a", "a")], "y_true string, y_pred string")
+    pairs = {(r["y_true"], r["y_pred"]): r["n"] for r in M.confusion_matrix(df).collect()}
+    assert pairs == {("a", None): 1, (None, "a"): 1, (None, None): 1, ("a", "a"): 1}
+    zero = {(r["y_true"], r["y_pred"]): r["n"] for r in M.confusion_matrix(df, labels=["a", "b"]).collect()}
+    assert zero == {("a", "a"): 1, ("a", "b"): 0, ("b", "a"): 0, ("b", "b"): 0}
+    rep = {r["label"]: (r["precision"], r["recall"], r["support"]) for r in M.classification_report(df).collect()}
+    assert rep["a"] == rep[None] == (0.5, 0.5, 2)
+    assert rep["macro avg"] == (0.5, 0.5, 4)
+
+
+def test_many_labels(spark):
+    df = spark.range(6000).select((F.col("id") % 1500).alias("y_true"), (F.col("id") % 1500).alias("y_pred"))
+    assert M.confusion_matrix(df).count() == 1500
+    assert M.classification_report(df, average="macro").first()["f1"] == 1.0
+
+
+def test_report_per_run_with_labels_and_average(spark):
+    df = spark.createDataFrame([(1, "a", "a"), (1, "b", "a"), (2, "b", "b")], "run int, y_true string, y_pred string")
+    got = {r["run"]: r["recall"] for r in M.classification_report(df, group="run", labels=["a", "b"], average="macro").collect()}
+    assert got == {1: 0.5, 2: 0.5}
+    micro = {r["run"]: (r["precision"], r["recall"]) for r in M.classification_report(df, group="run", labels=["a"], average="micro").collect()}
+    assert micro == {1: (0.5, 1.0), 2: (0.0, 0.0)}
+
+
+def test_auc_skips_rows_without_label_or_score(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (None, 0.95), (0, None)], "y_true int, score double")
+    assert tuple(M.auc_roc(df).first()) == (1.0, 1, 1)
+    per = {r["g"]: r["auc"] for r in M.auc_roc(df.withColumn("g", F.lit(3)), group="g").collect()}
+    assert per == {3: 1.0}
+
+
+def test_reciprocal_rank_takes_text_item_ids(spark):
+    df = spark.createDataFrame([(1, "b", 0.5, 2), (1, "a", 0.5, 0), (1, "c", 0.9, 1)], "query_id int, item_id string, score double, grade int")
+    assert M.reciprocal_rank_per_query(df).first()["rr"] == pytest.approx(1 / 3)
+
+
+def test_ilike_takes_a_backslash_before_an_ordinary_character(spark):
+    from vellum.functions import scalar as S
+
+    df = spark.createDataFrame([("xaby",), ("xa%by",), ("a\\b",)], "t string")
+    hit = lambda p: {r["t"] for r in df.filter(S.ilike("t", p)).collect()}
+    assert hit("%a\\b%") == {"xaby"}
+    assert hit("%a\\%b%") == {"xa%by"}
+    assert hit("%a\\\\b%") == {"a\\b"}
+
+
+def test_metadata_length_is_that_of_the_escaped_text(spark):
+    from vellum.operators import validate as V
+
+    df = spark.createDataFrame([(1, '{"a":"' + "é" * 30_000 + '"}'), (2, '{"a":"' + "e" * 30_000 + '"}'), (3, "[1]"), (4, "x"), (5, None),
+                                (6, '{"a":"' + "\U0001F600" * 9_000 + '"}')], "id int, metadata string")
+    checked = V.check_metadata(df)
+    assert {r["id"]: r["rule"] for r in checked.collect()} == {1: "metadata_too_long", 3: "metadata_not_object", 4: "metadata_not_json", 6: "metadata_too_long"}
+    assert checked._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") <= 1
+
+
+def test_sort_puts_nulls_where_the_listing_does(spark):
+    df = spark.createDataFrame([(1, 5, False), (2, None, False), (3, 7, False)], "id int, v int, is_deleted boolean")
+    assert [r["id"] for r in R.sort_by(df, "v").collect()] == [1, 3, 2]
+    assert [r["id"] for r in R.sort_by(df, "v", descending=True).collect()] == [2, 3, 1]

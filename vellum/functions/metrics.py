@@ -1,23 +1,25 @@
 """Metric library: classification, regression, ranking, text overlap, vectors.
 
 Every metric is a DataFrame -> DataFrame aggregate (optionally per run via
-``group``), built from JVM-side expressions.  Heavy intermediates (n-grams,
-rankings) are exploded and shuffled on keys that spread a single large group
-over many tasks.
+``group``), built from JVM-side expressions.  Only the n-gram counts of the
+text metrics run in Python, on Arrow batches: a pair of texts is one row, so its
+n-grams never need a shuffle.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vellum.plans.joins import sized_broadcast
 from vellum.plans.prefix import prefix_sums
 
-# Largest label vocabulary for a zero-filled confusion matrix (cells = K^2).
-MAX_LABELS = 1000
 # Names of the averaged rows of a classification report.
 AVERAGE_ROWS = ["macro avg", "micro avg", "weighted avg"]
 # Token separator of the text metrics: ASCII whitespace runs.
@@ -60,75 +62,97 @@ def pair_counts(df: DataFrame, t: str = "y_true", p: str = "y_pred", group=None)
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-def label_set(df: DataFrame, t: str = "y_true", p: str = "y_pred", max_labels: int = MAX_LABELS) -> list:
-    """The label vocabulary (true and predicted), size-checked before collect."""
-    labels = df.select(F.col(t).alias("l")).union(df.select(F.col(p).alias("l"))).distinct()
-    got = labels.limit(max_labels + 1).collect()
-    if len(got) > max_labels:
-        raise ValueError(f"more than {max_labels} labels; a zero-filled matrix is not bounded")
-    return sorted((r["l"] for r in got), key=lambda x: (x is None, x))
-
-
-def confusion_matrix(df: DataFrame, t: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """M6: counts by (true, predicted), zero-filled over the label set."""
-    labels = label_set(df, t, p)
-    arr = F.array(*[F.lit(x) for x in labels])
-    grid = (df.sparkSession.range(1).select(F.explode(arr).alias("y_true"))
-            .select("y_true", F.explode(arr).alias("y_pred")))
-    counts = pair_counts(df, t, p)
-    return (grid.join(counts, ["y_true", "y_pred"], "left")
-            .select("y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n")))
-
-
-def classification_report(df: DataFrame, t: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """M3-M5: per-label precision, recall, F1 and support, plus macro, micro and
-    weighted averages; 0/0 counts as 0."""
-    pc = pair_counts(df, t, p)
-    hit = F.col("y_true") == F.col("y_pred")
-    by_true = pc.groupBy(F.col("y_true").alias("label")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("tp"))
-    by_pred = pc.groupBy(F.col("y_pred").alias("label")).agg(F.sum("n").alias("predicted"))
-    per = (by_true.join(by_pred, "label", "full")
-           .select("label", F.coalesce("support", F.lit(0)).alias("support"),
-                   F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("predicted", F.lit(0)).alias("predicted")))
+def _labelled_grid(df: DataFrame, group: list[str], labels: list, *names: str) -> DataFrame:
+    """Every group with every combination of the given labels: the list is a
+    parameter, so nothing about the data reaches the driver."""
+    out = df.select(*group).distinct() if group else df.sparkSession.range(1).select()
+    for name in names:
+        out = out.select("*", F.explode(F.array(*[F.lit(x) for x in labels])).alias(name))
+    return out
+
+
+def confusion_matrix(df: DataFrame, t: str = "y_true", p: str = "y_pred", group=None, labels: list | None = None) -> DataFrame:
+    """M6: counts by (true, predicted), per run with ``group``: the pairs that
+    occur, or with ``labels`` every pair of these, absent ones as 0.  Null is a
+    label like any other."""
+    keys = _g(group)
+    counts = pair_counts(df, t, p, group)
+    if labels is None:
+        return counts
+    zero = _labelled_grid(df, keys, labels, "y_true", "y_pred").withColumn("n", F.lit(0).cast("bigint"))
+    wanted = reduce(Column.__and__, [reduce(Column.__or__, [F.col(c).eqNullSafe(F.lit(x)) for x in labels])
+                                     for c in ("y_true", "y_pred")])
+    return (counts.filter(wanted).unionByName(zero.select(*counts.columns))
+            .groupBy(*keys, "y_true", "y_pred").agg(F.sum("n").alias("n")))
+
+
+def classification_report(df: DataFrame, t: str = "y_true", p: str = "y_pred", group=None, labels: list | None = None,
+                          average: str | None = None) -> DataFrame:
+    """M3-M5: per label precision, recall, F1 and support, plus macro, micro and
+    weighted averages, per run with ``group``; 0/0 counts as 0.
+
+    Null is a label like any other.  ``labels`` restricts the report and its
+    averages to these labels (absent ones count with zeros); ``average`` keeps
+    one averaged row: macro, micro or weighted.
+    """
+    keys = _g(group)
+    pc = pair_counts(df, t, p, group)
+    hit = F.col("y_true").eqNullSafe(F.col("y_pred"))
+    zero = F.lit(0).cast("bigint")
+    sides = pc.select(*keys, F.explode(F.array(
+        F.struct(F.col("y_true").alias("label"), F.col("n").alias("support"), F.when(hit, F.col("n")).otherwise(zero).alias("tp"),
+                 zero.alias("predicted")),
+        F.struct(F.col("y_pred").alias("label"), zero.alias("support"), zero.alias("tp"), F.col("n").alias("predicted")))).alias("s"))
+    sides = sides.select(*keys, "s.*")
+    if labels is not None:
+        wanted = reduce(Column.__or__, [F.col("label").eqNullSafe(F.lit(x)) for x in labels])
+        none = _labelled_grid(df, keys, labels, "label")
+        sides = sides.filter(wanted).unionByName(none.withColumns({c: zero for c in ("support", "tp", "predicted")}))
+    per = sides.groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in ("support", "tp", "predicted")])
     prec = _safe_div(F.col("tp"), F.col("predicted"))
     rec = _safe_div(F.col("tp"), F.col("support"))
-    per = per.select("label", "support", "tp", "predicted", prec.alias("precision"), rec.alias("recall"))
+    per = per.select(*keys, "label", "support", "tp", "predicted", prec.alias("precision"), rec.alias("recall"))
     per = per.withColumn("f1", _safe_div(2 * F.col("precision") * F.col("recall"),
                                          F.col("precision") + F.col("recall")))
-    tot = per.agg(F.sum("support").alias("s"), F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("k"),
-                  F.sum("precision").alias("sp"), F.sum("recall").alias("sr"), F.sum("f1").alias("sf"),
-                  F.sum(F.col("precision") * F.col("support")).alias("wp"),
-                  F.sum(F.col("recall") * F.col("support")).alias("wr"),
-                  F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    micro = _safe_div(F.col("tp"), F.col("s"))
-    avgs = tot.select(F.explode(F.array(
-        F.struct(F.lit("macro avg").alias("label"), (F.col("sp") / F.col("k")).alias("precision"),
-                 (F.col("sr") / F.col("k")).alias("recall"), (F.col("sf") / F.col("k")).alias("f1"),
-                 F.col("s").alias("support")),
-        F.struct(F.lit("micro avg").alias("label"), micro.alias("precision"), micro.alias("recall"),
-                 micro.alias("f1"), F.col("s").alias("support")),
-        F.struct(F.lit("weighted avg").alias("label"), _safe_div(F.col("wp"), F.col("s")).alias("precision"),
-                 _safe_div(F.col("wr"), F.col("s")).alias("recall"),
-                 _safe_div(F.col("wf"), F.col("s")).alias("f1"), F.col("s").alias("support")))).alias("r")).select("r.*")
-    return per.select(F.col("label").cast("string"), "precision", "recall", "f1", "support").unionByName(avgs)
-
-
-def auc_roc(df: DataFrame, y: str = "y_true", score: str = "score") -> DataFrame:
-    """M7: ROC AUC = Mann-Whitney U / (P * N), ties count one half.
+    tot = per.groupBy(*keys).agg(
+        F.sum("support").alias("s"), F.sum("tp").alias("tp"), F.sum("predicted").alias("pr"), F.count(F.lit(1)).alias("k"),
+        F.sum("precision").alias("sp"), F.sum("recall").alias("sr"), F.sum("f1").alias("sf"),
+        F.sum(F.col("precision") * F.col("support")).alias("wp"),
+        F.sum(F.col("recall") * F.col("support")).alias("wr"),
+        F.sum(F.col("f1") * F.col("support")).alias("wf"))
+    micro_p, micro_r = _safe_div(F.col("tp"), F.col("pr")), _safe_div(F.col("tp"), F.col("s"))
+    rows = {
+        "macro avg": [F.col(c) / F.col("k") for c in ("sp", "sr", "sf")],
+        "micro avg": [micro_p, micro_r, _safe_div(2 * micro_p * micro_r, micro_p + micro_r)],
+        "weighted avg": [_safe_div(F.col(c), F.col("s")) for c in ("wp", "wr", "wf")],
+    }
+    if average is not None:
+        rows = {f"{average} avg": rows[f"{average} avg"]}
+    avgs = tot.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("label"), *[v.alias(c) for v, c in zip(values, ("precision", "recall", "f1"))],
+                 F.col("s").alias("support")) for name, values in rows.items()])).alias("r")).select(*keys, "r.*")
+    if average is not None:
+        return avgs
+    return per.select(*keys, F.col("label").cast("string"), "precision", "recall", "f1", "support").unionByName(avgs)
+
+
+def auc_roc(df: DataFrame, y: str = "y_true", score: str = "score", group=None) -> DataFrame:
+    """M7: ROC AUC = Mann-Whitney U / (P * N), ties count one half, per run
+    with ``group``.  Rows without a label or score are skipped.
 
     A histogram by distinct score (partial aggregate) followed by a two-phase
     prefix sum of negatives in score order -- no single-task global window.
     """
-    hist = df.groupBy(F.col(score).alias("score")).agg(
-        F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
-    cum = prefix_sums(hist, ["score"], ["neg"])
-    below = F.col("neg_cum") - F.col("neg")
-    return (cum.agg(F.sum(F.col("pos") * (below + F.lit(0.5) * F.col("neg"))).alias("u"),
-                    F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-            .select(_safe_div(F.col("u"), F.col("p") * F.col("n")).alias("auc"),
-                    F.col("p").cast("bigint").alias("positives"), F.col("n").cast("bigint").alias("negatives")))
+    keys = _g(group)
+    known = df.filter(F.col(y).isNotNull() & F.col(score).isNotNull())
+    hist = known.groupBy(*keys, F.col(score).alias("score")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    cum = prefix_sums(hist, ["score"], ["neg"], group_cols=keys)
+    below = (F.col("neg_cum") - F.col("neg")).cast("double")
+    return (cum.groupBy(*keys).agg(F.sum(F.col("pos") * (below + F.lit(0.5) * F.col("neg"))).alias("u"),
+                                   F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+            .select(*keys, _safe_div(F.col("u"), F.col("p").cast("double") * F.col("n")).alias("auc"),
+                    F.coalesce("p", F.lit(0)).alias("positives"), F.coalesce("n", F.lit(0)).alias("negatives")))
 
 
 # ---------------------------------------------------------------- regression
@@ -148,60 +172,53 @@ def regression_metrics(df: DataFrame, t: str = "y_true", p: str = "y_pred", grou
 
 # ---------------------------------------------------------------- text overlap
 
-def tokens(x) -> Column:
-    c = F.col(x) if isinstance(x, str) else x
-    return F.filter(F.split(c, TOKEN_SPLIT), lambda s: s != "")
-
-
-_GRAM = "struct<n:int,side:string,gram:string>"
-
-
-def _tagged_ngrams(toks: Column, n: int, side: str) -> Column:
-    """All n-grams of a token array as (n, side, gram) structs (empty when
-    the text is shorter than n)."""
-    idx = F.sequence(F.lit(0), F.size(toks) - n)
-    grams = F.transform(idx, lambda i: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"),
-                                                F.array_join(F.slice(toks, i + 1, n), " ").alias("gram")))
-    return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast(f"array<{_GRAM}>"))
+def _overlaps(ref: str | None, out: str | None, orders) -> list[tuple[int, int, int]]:
+    """(clipped overlap, n-grams of the output, of the reference) per order."""
+    r, o = [[w for w in re.split(TOKEN_SPLIT, x or "") if w] for x in (ref, out)]
+    made = []
+    for n in orders:
+        have, said = [Counter(zip(*[w[i:] for i in range(n)])) for w in (r, o)]
+        made.append((sum(min(c, have[g]) for g, c in said.items()), said.total(), have.total()))
+    return made + [(0, len(o), len(r))]
 
 
-def ngram_overlap(df: DataFrame, key: list[str], ref: str, out: str, orders=(1, 2, 3, 4)) -> DataFrame:
-    """Per (pair, n): clipped overlap, output n-gram count, reference n-gram count.
+def ngram_overlap(df: DataFrame, keep: list[str], ref: str, out: str, orders=(1, 2, 3, 4)) -> DataFrame:
+    """Per (pair, n): clipped overlap, output n-gram count, reference n-gram
+    count, and the token numbers of both texts.
 
-    One pass explodes every order of both texts; the n-grams are counted per
-    (pair, n, gram) -- the shuffle key includes the gram, so one very long
-    text spreads over many tasks.
+    A pair is whole in its row, so it is counted where it is read; nothing is
+    shuffled.
     """
-    base = df.select(*key, tokens(ref).alias("_r"), tokens(out).alias("_o"))
-    every = F.concat(*[_tagged_ngrams(F.col(col), n, side)
-                       for side, col in (("r", "_r"), ("o", "_o")) for n in orders])
-    grams = base.select(*key, F.explode(every).alias("_g")).select(*key, "_g.n", "_g.side", "_g.gram")
-    cnt = grams.groupBy(*key, "n", "gram").agg(
-        F.count_if(F.col("side") == "r").alias("cr"), F.count_if(F.col("side") == "o").alias("co"))
-    per = cnt.groupBy(*key, "n").agg(F.sum(F.least("cr", "co")).alias("overlap"),
-                                     F.sum("co").alias("out_total"), F.sum("cr").alias("ref_total"))
-    # pairs where one side has no n-grams of this order still count (zeros)
-    lens = base.select(*key, F.size("_r").alias("ref_len"), F.size("_o").alias("out_len"))
-    orders_arr = F.array(*[F.lit(n) for n in orders])
-    allp = lens.select(*key, "ref_len", "out_len", F.explode(orders_arr).alias("n"))
-    return (allp.join(per, [*key, "n"], "left")
-            .select(*key, "n", "ref_len", "out_len",
-                    F.coalesce("overlap", F.lit(0)).cast("bigint").alias("overlap"),
-                    F.coalesce("out_total", F.lit(0)).cast("bigint").alias("out_total"),
-                    F.coalesce("ref_total", F.lit(0)).cast("bigint").alias("ref_total")))
-
-
-def bleu(df: DataFrame, key: list[str], ref: str = "reference", out: str = "output") -> DataFrame:
-    """Corpus BLEU-4 (single reference): clipped n-gram precisions
-    n = 1..4, geometric mean, brevity penalty; any zero precision gives 0."""
-    ov = ngram_overlap(df, key, ref, out)
+    counts = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "overlap", "out_total", "ref_total", "out_len", "ref_len")])
+    base = df.select(*keep, F.col(ref).alias("_r"), F.col(out).alias("_o"))
+    schema = T.StructType([*base.schema.fields[:-2], T.StructField("per", T.ArrayType(counts))])
+    orders = list(orders)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in counts.names]))
+        for batch in batches:
+            rows = []
+            for r, o in zip(batch.column("_r").to_pylist(), batch.column("_o").to_pylist()):
+                *per, (_, out_len, ref_len) = _overlaps(r, o, orders)
+                rows.append([dict(zip(counts.names, (n, *x, out_len, ref_len))) for n, x in zip(orders, per)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rows, type=kind)], names=schema.names)
+
+    return base.mapInArrow(run, schema).select(*keep, F.inline("per"))
+
+
+def bleu(df: DataFrame, key: list[str] = (), ref: str = "reference", out: str = "output", group=None) -> DataFrame:
+    """Corpus BLEU-4 (single reference), per run with ``group``: clipped
+    n-gram precisions n = 1..4, geometric mean, brevity penalty; any zero
+    precision gives 0.  A pair is a row, so ``key`` isn't needed to tell pairs apart."""
+    keys = _g(group)
+    ov = ngram_overlap(df, keys, ref, out)
     ks = (1, 2, 3, 4)
-    summary = ov.agg(
+    summary = ov.groupBy(*keys).agg(
         *[F.sum(F.when(F.col("n") == k, F.col("overlap"))).alias(f"m{k}") for k in ks],
         *[F.sum(F.when(F.col("n") == k, F.col("out_total"))).alias(f"t{k}") for k in ks],
         F.sum(F.when(F.col("n") == 1, F.col("out_len"))).cast("bigint").alias("hyp_len"),
         F.sum(F.when(F.col("n") == 1, F.col("ref_len"))).cast("bigint").alias("ref_len"))
-    summary = summary.select(*[_safe_div(F.col(f"m{k}"), F.col(f"t{k}")).alias(f"p{k}") for k in ks],
+    summary = summary.select(*keys, *[_safe_div(F.col(f"m{k}"), F.col(f"t{k}")).alias(f"p{k}") for k in ks],
                              "hyp_len", "ref_len")
     pr = [F.col(f"p{k}") for k in ks]
     allpos = reduce(lambda a, b: a & b, [c > 0 for c in pr])
@@ -209,85 +226,89 @@ def bleu(df: DataFrame, key: list[str], ref: str = "reference", out: str = "outp
     geo = F.exp(reduce(lambda a, b: a + b, [F.log(F.when(c > 0, c)) for c in pr]) / 4)
     c, r = F.col("hyp_len"), F.col("ref_len")
     bp = F.when(c == 0, F.lit(0.0)).when(c < r, F.exp(F.lit(1.0) - r / c)).otherwise(F.lit(1.0))
-    return summary.select(F.when(allpos, bp * geo).otherwise(F.lit(0.0)).alias("bleu"),
+    return summary.select(*keys, F.when(allpos, bp * geo).otherwise(F.lit(0.0)).alias("bleu"),
                           bp.alias("brevity_penalty"), *pr, "hyp_len", "ref_len")
 
 
-def rouge_n(df: DataFrame, key: list[str], ref: str = "reference", out: str = "output",
-            orders=(1, 2)) -> DataFrame:
-    """ROUGE-N recall / precision / F1 per pair, averaged over pairs."""
-    ov = ngram_overlap(df, key, ref, out, orders)
+def rouge_n(df: DataFrame, key: list[str] = (), ref: str = "reference", out: str = "output",
+            orders=(1, 2), group=None) -> DataFrame:
+    """ROUGE-N recall / precision / F1 per pair, averaged over pairs, per
+    run with ``group``."""
+    keys = _g(group)
+    ov = ngram_overlap(df, keys, ref, out, orders)
     r = _safe_div(F.col("overlap"), F.col("ref_total"))
     p = _safe_div(F.col("overlap"), F.col("out_total"))
-    per = ov.select("n", r.alias("r"), p.alias("p"))
+    per = ov.select(*keys, F.col("n").cast("int").alias("n"), r.alias("r"), p.alias("p"))
     per = per.withColumn("f", _safe_div(2 * F.col("r") * F.col("p"), F.col("r") + F.col("p")))
-    return per.groupBy("n").agg(F.avg("r").alias("recall"), F.avg("p").alias("precision"),
-                                F.avg("f").alias("f1"), F.count(F.lit(1)).alias("pairs"))
+    return per.groupBy(*keys, "n").agg(F.avg("r").alias("recall"), F.avg("p").alias("precision"),
+                                       F.avg("f").alias("f1"), F.count(F.lit(1)).alias("pairs"))
 
 
 # ---------------------------------------------------------------- ranking
 
-def _salted_top_k(df: DataFrame, q: str, order: list[Column], k: int, salts: int) -> DataFrame:
+def _salted_top_k(df: DataFrame, q: list[str], order: list[Column], k: int, salts: int) -> DataFrame:
     """Top k rows per query in ``order``; a first cut per (query, salt) keeps a
     hot query from landing in one task."""
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    w1 = Window.partitionBy(q, "_salt").orderBy(*order)
+    w1 = Window.partitionBy(*q, "_salt").orderBy(*order)
     cut = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_salt")
-    w2 = Window.partitionBy(q).orderBy(*order)
+    w2 = Window.partitionBy(*q).orderBy(*order)
     return cut.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
 
 
 def ndcg_per_query(df: DataFrame, k: int = 10, q: str = "query_id", item: str = "item_id",
-                   score: str = "score", grade: str = "grade", salts: int = 16) -> DataFrame:
-    """NDCG@k per query: gain 2^g - 1, discount log2(rank + 1), ranking by
-    score desc then item id; ideal = grades desc; ideal 0 -> 0."""
-    base = df.select(q, item, score, grade)
+                   score: str = "score", grade: str = "grade", salts: int = 16, group=None) -> DataFrame:
+    """NDCG@k per query (of each run with ``group``): gain 2^g - 1, discount
+    log2(rank + 1), ranking by score desc then item id; ideal = grades desc;
+    ideal 0 -> 0."""
+    keys = [*_g(group), q]
+    base = df.select(*keys, item, score, grade)
     gain = F.pow(F.lit(2.0), F.col(grade)) - 1
     disc = F.log2(F.col("rank") + 1)
-    dcg = (_salted_top_k(base, q, [F.col(score).desc(), F.col(item).asc()], k, salts)
-           .groupBy(q).agg(F.sum(gain / disc).alias("dcg")))
-    idcg = (_salted_top_k(base, q, [F.col(grade).desc(), F.col(item).asc()], k, salts)
-            .groupBy(q).agg(F.sum(gain / disc).alias("idcg")))
-    return dcg.join(idcg, q).select(q, F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg"))
-                                    .otherwise(F.lit(0.0)).alias("ndcg"))
-
-
-def average_precision_per_query(df: DataFrame, q: str = "query_id", item: str = "item_id",
-                                score: str = "score", grade: str = "grade", relevant_grade: int = 2) -> DataFrame:
-    """AP per query = mean over relevant items of precision at their rank;
-    a query without relevant items scores 0.  Ranks come from the two-phase
-    prefix sum (no per-query single-task window)."""
-    base = df.select(F.col(q).alias("q"), F.col(item).alias("item"), (-F.col(score)).alias("neg_score"),
+    top = lambda order: _salted_top_k(base, keys, order, k, salts)
+    dcg = top([F.col(score).desc(), F.col(item).asc()]).groupBy(*keys).agg(F.sum(gain / disc).alias("dcg"))
+    idcg = top([F.col(grade).desc(), F.col(item).asc()]).groupBy(*keys).agg(F.sum(gain / disc).alias("idcg"))
+    return dcg.join(idcg, keys).select(*keys, F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg"))
+                                       .otherwise(F.lit(0.0)).alias("ndcg"))
+
+
+def average_precision_per_query(df: DataFrame, q: str = "query_id", item: str = "item_id", score: str = "score",
+                                grade: str = "grade", relevant_grade: int = 2, group=None) -> DataFrame:
+    """AP per query (of each run with ``group``) = mean over relevant items
+    of precision at their rank; a query without relevant items scores 0.  Ranks
+    come from the two-phase prefix sum (no per-query single-task window)."""
+    keys = [*_g(group), q]
+    base = df.select(*keys, F.col(item).alias("_item"), (-F.col(score)).alias("_neg_score"),
                      (F.col(grade) >= relevant_grade).cast("int").alias("rel"))
-    cum = prefix_sums(base, ["neg_score", "item"], ["rel"], group_cols=["q"])
+    cum = prefix_sums(base, ["_neg_score", "_item"], ["rel"], group_cols=keys)
     prec = F.col("rel_cum") / F.col("rows_cum")
-    return (cum.groupBy("q").agg(F.sum(F.when(F.col("rel") == 1, prec)).alias("_s"), F.sum("rel").alias("_r"))
-            .select(F.col("q").alias(q), F.when(F.col("_r") > 0, F.col("_s") / F.col("_r"))
-                    .otherwise(F.lit(0.0)).alias("ap")))
+    return (cum.groupBy(*keys).agg(F.sum(F.when(F.col("rel") == 1, prec)).alias("_s"), F.sum("rel").alias("_r"))
+            .select(*keys, F.when(F.col("_r") > 0, F.col("_s") / F.col("_r")).otherwise(F.lit(0.0)).alias("ap")))
 
 
-def reciprocal_rank_per_query(df: DataFrame, q: str = "query_id", item: str = "item_id",
-                              score: str = "score", grade: str = "grade", relevant_grade: int = 2) -> DataFrame:
-    """1 / rank of the first relevant item (none -> 0).
+def reciprocal_rank_per_query(df: DataFrame, q: str = "query_id", item: str = "item_id", score: str = "score",
+                              grade: str = "grade", relevant_grade: int = 2, group=None) -> DataFrame:
+    """1 / rank of the first relevant item (none -> 0), per query (of each
+    run with ``group``); items may have ids of any ordered type.
 
-    The best relevant item per query is a max aggregate; its rank is one plus
+    The best relevant item per query is a min aggregate; its rank is one plus
     the number of items ranked above it, another aggregate -- both partial
     (map-side), so a hot query is no single task.
     """
-    rank_key = F.struct(F.col(score).alias("s"), (-F.col(item)).alias("ni"))
-    best = (df.filter(F.col(grade) >= relevant_grade).groupBy(q)
-            .agg(F.max(rank_key).alias("_best")))
-    above = (df.select(q, rank_key.alias("_k"))
-             .join(sized_broadcast(best), q, "inner")
-             .groupBy(q).agg(F.count_if(F.col("_k") > F.col("_best")).alias("_above")))
-    queries = df.select(q).distinct()
-    return (queries.join(above, q, "left")
-            .select(q, F.when(F.col("_above").isNotNull(), F.lit(1.0) / (F.col("_above") + 1))
+    keys = [*_g(group), q]
+    rank_key = F.struct((-F.col(score)).alias("s"), F.col(item).alias("i"))
+    best = (df.filter(F.col(grade) >= relevant_grade).groupBy(*keys)
+            .agg(F.min(rank_key).alias("_best")))
+    above = (df.select(*keys, rank_key.alias("_k")).join(best, keys, "inner")
+             .groupBy(*keys).agg(F.count_if(F.col("_k") < F.col("_best")).alias("_above")))
+    queries = df.select(*keys).distinct()
+    return (queries.join(above, keys, "left")
+            .select(*keys, F.when(F.col("_above").isNotNull(), F.lit(1.0) / (F.col("_above") + 1))
                     .otherwise(F.lit(0.0)).alias("rr")))
 
 
-def mean_of(df: DataFrame, col: str, name: str) -> DataFrame:
-    return df.agg(F.avg(col).alias(name), F.count(F.lit(1)).alias("n_queries"))
+def mean_of(df: DataFrame, col: str, name: str, group=None) -> DataFrame:
+    return df.groupBy(*_g(group)).agg(F.avg(col).alias(name), F.count(F.lit(1)).alias("n_queries"))
 
 
 # ---------------------------------------------------------------- long form
@@ -301,5 +322,68 @@ def metrics_long(wide: DataFrame, keys: list[str], metric_cols: list[str]) -> Da
 def threshold_check(long: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Metric >= threshold -> pass (metrics without a threshold are not
     reported).  The threshold table is one row per metric name."""
-    return (long.join(sized_broadcast(thresholds), "metric_name", "inner")
+    return (long.join(thresholds, "metric_name", "inner")
             .withColumn("passed", F.col("metric_value") >= F.col("threshold")))
+
+
+# ---------------------------------------------------------------- dispatch by name
+
+def _averaged(metric: str):
+    def run(df, group, c, options):
+        report = classification_report(df, c["y_true"], c["y_pred"], group, options.get("labels"), options.get("average", "macro"))
+        return report.select(*group, F.col(metric).alias("v"))
+    return run
+
+
+def _regressed(metric: str):
+    return lambda df, group, c, options: regression_metrics(df, c["y_true"], c["y_pred"], group).select(*group, F.col(metric).alias("v"))
+
+
+def _ranked(per_query, metric: str):
+    def run(df, group, c, options):
+        how = {k: options[k] for k in ("k", "relevant_grade") if k in options and (k == "k") == (metric == "ndcg")}
+        per = per_query(df, q=c["query_id"], item=c["item_id"], score=c["score"], grade=c["grade"], group=group, **how)
+        return mean_of(per, metric, "v", group).drop("n_queries")
+    return run
+
+
+# Run metrics by the name a config gives: (rows, group, columns, options) -> (group..., v).
+RUN_METRICS = {
+    "accuracy": lambda df, group, c, options: accuracy(df, c["y_true"], c["y_pred"], group).select(*group, F.col("accuracy").alias("v")),
+    "precision": _averaged("precision"), "recall": _averaged("recall"), "f1_score": _averaged("f1"),
+    "auc_roc": lambda df, group, c, options: auc_roc(df, c["y_true"], c["score"], group).select(*group, F.col("auc").alias("v")),
+    **{m: _regressed(m) for m in ("mae", "mse", "rmse", "r2", "mape")},
+    "bleu": lambda df, group, c, options: bleu(df, ref=c["reference"], out=c["output"], group=group).select(*group, F.col("bleu").alias("v")),
+    "rouge_1": lambda df, group, c, options: rouge_n(df, ref=c["reference"], out=c["output"], orders=(1,), group=group).select(*group, F.col("f1").alias("v")),
+    "rouge_2": lambda df, group, c, options: rouge_n(df, ref=c["reference"], out=c["output"], orders=(2,), group=group).select(*group, F.col("f1").alias("v")),
+    "ndcg": _ranked(ndcg_per_query, "ndcg"), "map": _ranked(average_precision_per_query, "ap"),
+    "mrr": _ranked(reciprocal_rank_per_query, "rr"),
+}
+
+COLUMNS = {c: c for c in ("y_true", "y_pred", "score", "reference", "output", "query_id", "item_id", "grade")}
+
+
+def run_metrics(df: DataFrame, names: list[str], group, columns: dict[str, str] | None = None,
+                options: dict[str, dict] | None = None) -> DataFrame:
+    """E6 over whole runs: the named metrics per group as the long table
+    (group..., metric_name, metric_value).  Unknown names are ignored.
+
+    ``columns`` renames the columns metrics read; ``options`` gives a metric's
+    parameters (labels, average, k, relevant_grade).  ``confusion_matrix`` gives a row per
+    pair, named ``confusion_matrix[true,predicted]``.
+    """
+    keys, c, options = _g(group), COLUMNS | (columns or {}), options or {}
+    parts = []
+    for name in dict.fromkeys(names):
+        given = options.get(name, {})
+        if name == "confusion_matrix":
+            m = confusion_matrix(df, c["y_true"], c["y_pred"], keys, given.get("labels"))
+            label = F.concat(F.lit("confusion_matrix["), F.coalesce(F.col("y_true").cast("string"), F.lit("null")), F.lit(","),
+                             F.coalesce(F.col("y_pred").cast("string"), F.lit("null")), F.lit("]"))
+            parts.append(m.select(*keys, label.alias("metric_name"), F.col("n").cast("double").alias("metric_value")))
+        elif name in RUN_METRICS:
+            parts.append(RUN_METRICS[name](df, keys, c, given).select(
+                *keys, F.lit(name).alias("metric_name"), F.col("v").cast("double").alias("metric_value")))
+    if not parts:
+        return df.select(*keys, F.lit("").alias("metric_name"), F.lit(0.0).alias("metric_value")).limit(0)
+    return reduce(DataFrame.unionByName, parts)

@@ -6,6 +6,8 @@ Each function takes column names or ``Column`` objects and returns a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,8 +32,11 @@ def _c(x) -> Column:
 
 
 def ilike(x, pattern: str) -> Column:
-    """case-insensitive LIKE; ``%``/``_`` are live wildcards."""
-    return _c(x).ilike(pattern)
+    """case-insensitive LIKE; ``%``/``_`` are live wildcards, and a
+    backslash escapes them or itself.  Before any other character it escapes
+    that character (which then stands for itself); at the end it is literal."""
+    safe = re.sub(r"\\(.?)", lambda m: m[0] if m[1] in ("%", "_", "\\") and m[1] else (m[1] or r"\\"), pattern, flags=re.S)
+    return _c(x).ilike(safe)
 
 
 def strip(x) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import scalar as S
-from vellum.plans.joins import sized_broadcast
 from vellum.plans.prefix import prefix_sums
 
 # Status enums of the registries (lower-case values).
@@ -50,7 +49,7 @@ def exists_by(df: DataFrame, keys: DataFrame, key: str, key_col: str | None = No
     key_col = key_col or key
     present = live(df).select(F.col(key).alias("_k")).distinct().withColumn("_hit", F.lit(True))
     wanted = keys.select(F.col(key_col).alias(key)).distinct()
-    return (wanted.join(sized_broadcast(present), wanted[key] == present["_k"], "left")
+    return (wanted.join(present, wanted[key] == present["_k"], "left")
             .select(F.col(key), F.coalesce(F.col("_hit"), F.lit(False)).alias("exists")))
 
 
@@ -107,7 +106,7 @@ def metadata_equals(df: DataFrame, meta_col: str, key: str, value: str) -> DataF
 
 def metadata_contains(df: DataFrame, meta_col: str, key: str, value: str) -> DataFrame:
     """P10: ``metadata->>key ILIKE %value%``."""
-    return df.filter(S.json_text(meta_col, key).ilike(f"%{value}%"))
+    return df.filter(S.ilike(S.json_text(meta_col, key), f"%{value}%"))
 
 
 def metadata_has_key(df: DataFrame, meta_col: str, key: str) -> DataFrame:
@@ -169,7 +168,7 @@ def normalise_args(df: DataFrame, col: str) -> DataFrame:
 def row_search(df: DataFrame, keyword: str) -> DataFrame:
     """Rows where any string column contains ``keyword`` (ILIKE)."""
     pat = f"%{keyword}%"
-    conds = [F.coalesce(F.col(n).ilike(pat), F.lit(False)) for n, t in df.dtypes if t == "string"]
+    conds = [F.coalesce(S.ilike(n, pat), F.lit(False)) for n, t in df.dtypes if t == "string"]
     if not conds:
         return df.limit(0)
     cond = conds[0]
@@ -214,9 +213,10 @@ def recent_n(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def sort_by(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """L4: live rows sorted by any column (range-partitioned global sort)."""
+    """L4: live rows sorted by any column (range-partitioned global sort).
+    Nulls sort as the largest value, as in PostgreSQL and ``newest_first``."""
     c = F.col(column)
-    return live(df).orderBy(c.desc_nulls_last() if descending else c.asc_nulls_first(), F.col("id"))
+    return live(df).orderBy(c.desc_nulls_first() if descending else c.asc_nulls_last(), F.col("id"))
 
 
 # ---------------------------------------------------------------- J1 - J2
@@ -235,10 +235,10 @@ def suite_frozen(suites: DataFrame, evals: DataFrame) -> DataFrame:
 
 def suite_with_dataset(suites: DataFrame, datasets: DataFrame) -> DataFrame:
     """Suite detail with the name of its dataset; a deleted or missing
-    dataset leaves it null.  The dataset side is broadcast only after its
-    size is proven small."""
+    dataset leaves it null.  The planner broadcasts the dataset side by its
+    bytes; AQE splits a hot dataset's suites otherwise."""
     ds = live(datasets).select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"))
-    return live(suites).select("id", "name", "dataset_id").join(sized_broadcast(ds), "dataset_id", "left")
+    return live(suites).select("id", "name", "dataset_id").join(ds, "dataset_id", "left")
 
 
 # ---------------------------------------------------------------- A2 - A6

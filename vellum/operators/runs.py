@@ -26,7 +26,8 @@ def run_summary(outputs: DataFrame, run: str = "run_id", q: float = 0.95) -> Dat
         F.count_if(F.col("status_code") >= FAILED_STATUS).alias("failed"),
         F.avg("response_time_ms").alias("mean_response_ms"))
     p = exact_quantile(outputs, [run], "response_time_ms", q, "p95_response_ms")
-    return (agg.join(p, run, "left")
+    p = p.withColumnRenamed(run, "_run")
+    return (agg.join(p, F.col(run).eqNullSafe(F.col("_run")), "left")
             .select(run, "rows", "failed", (F.col("failed") / F.col("rows")).alias("error_rate"),
                     "mean_response_ms", "p95_response_ms"))
 
@@ -38,7 +39,9 @@ def run_progress(inputs: DataFrame, outputs: DataFrame, as_of, run: str = "run_i
     elapsed / processed * remaining (elapsed from the run's first output)."""
     cut = F.lit(as_of).cast("timestamp_ntz")
     done = outputs.filter(F.col("ts") < cut).select(run, row, "ts", "status_code")
-    j = inputs.select(run, row).join(done, [run, row], "left")
+    # one output per row: a row sent again (a retry) counts by its last output
+    done = done.groupBy(run, row).agg(F.min("ts").alias("ts"), F.max_by("status_code", "ts").alias("status_code"))
+    j = inputs.select(run, row).distinct().join(done, [run, row], "left")
     agg = j.groupBy(run).agg(
         F.count(F.lit(1)).alias("expected"),
         F.count("ts").alias("processed"),
@@ -110,12 +113,15 @@ def compare_runs(long: DataFrame, run_a, run_b, run: str = "run_id") -> DataFram
                     F.when(F.col("run_a") != 0, d / F.abs("run_a")).alias("relative_delta")))
 
 
-def metric_trend(long: DataFrame, window: int = 3, run: str = "run_id") -> DataFrame:
-    """Per metric over runs in order: previous value and a rolling mean of
-    the last ``window`` runs (over the run-level table, one row per run)."""
-    w = Window.partitionBy("metric_name").orderBy(run)
+def metric_trend(long: DataFrame, window: int = 3, run: str = "run_id", suite: str | None = None,
+                 order: str | None = None) -> DataFrame:
+    """Per suite (when given) and metric over its runs in time order
+    (``order``, else the run's id): previous value and a rolling mean of the
+    last ``window`` runs (over the run-level table, one row per run)."""
+    suites = [suite] if suite else []
+    w = Window.partitionBy(*suites, "metric_name").orderBy(*([order] if order else []), run)
     return long.select(
-        run, "metric_name", "metric_value",
+        *suites, run, *([order] if order else []), "metric_name", "metric_value",
         F.lag("metric_value").over(w).alias("previous_value"),
         F.round(F.avg("metric_value").over(w.rowsBetween(-(window - 1), 0)), 4).alias("rolling_mean"))
 

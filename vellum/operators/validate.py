@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import scalar as S
-from vellum.plans.joins import sized_broadcast
 
 # Limits of the registry fields.
 NAME_MAX = 255
@@ -51,36 +50,44 @@ def check_description(df: DataFrame, id_col: str = "id", col: str = "description
                                           F.lit("description_too_long")))
 
 
-def metadata_rule(m: Column, v: Column | None = None) -> Column:
-    """V3: a JSON object whose text is at most 100 000 characters.  ``v`` is
-    the parsed value when the caller already has it."""
-    v = F.try_parse_json(m) if v is None else v
-    return (F.when(m.isNull(), F.lit(None))
-            .when(v.isNull(), F.lit("metadata_not_json"))
-            .when(~F.schema_of_variant(v).startswith("OBJECT"), F.lit("metadata_not_object"))
-            .when(F.length(m) > METADATA_MAX, F.lit("metadata_too_long")))
+def escaped_length(text: Column) -> Column:
+    """Characters of the text with every non-ASCII one written as a JSON escape:
+    6 each, 12 beyond the basic plane."""
+    extra = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
+    beyond = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return F.length(text) + 5 * extra + 6 * beyond
+
+
+def metadata_rule(m: Column) -> Column:
+    """V3: a JSON object whose ASCII-escaped text is at most 100 000 characters.
+
+    The text is parsed once: the schema of the parsed value is null for text
+    that isn't JSON and tells objects from the rest."""
+    kind = F.schema_of_variant(F.try_parse_json(m))
+    return F.when(m.isNotNull(), F.transform(F.array(F.struct(kind.alias("k"))), lambda x: (
+        F.when(x["k"].isNull(), F.lit("metadata_not_json"))
+        .when(~x["k"].startswith("OBJECT"), F.lit("metadata_not_object"))
+        .when(escaped_length(m) > METADATA_MAX, F.lit("metadata_too_long")))))
 
 
 def check_metadata(df: DataFrame, id_col: str = "id", col: str = "metadata") -> DataFrame:
-    # parse once in its own projection; the rule reads the parsed value twice
-    parsed = df.select(id_col, col, F.try_parse_json(col).alias("_v"))
-    return _violations(parsed, id_col, metadata_rule(F.col(col), F.col("_v")))
+    # a generator: the filter on the rule can't be pushed below it with a copy of the parse
+    rows = df.select(F.col(id_col).alias("id"), F.explode(metadata_rule(F.col(col))).alias("rule"))
+    return rows.filter(F.col("rule").isNotNull())
 
 
 def check_counts(df: DataFrame, cols: list[str], id_col: str = "id") -> DataFrame:
     """V4: every counter parses as an integer and is >= 0 (one row per bad column)."""
-    parts = []
+    rules = []
     for c in cols:
         v = F.trim(F.col(c).cast("string"))
         parsed = v.try_cast("bigint")
-        rule = (F.when(v.isNull(), F.lit(None))
-                .when(~v.rlike(INTEGER_TEXT) | parsed.isNull(), F.lit(f"{c}_not_integer"))
-                .when(parsed < 0, F.lit(f"{c}_negative")))
-        parts.append(_violations(df, id_col, rule))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        rules.append(F.when(v.isNull(), F.lit(None))
+                     .when(~v.rlike(INTEGER_TEXT) | parsed.isNull(), F.lit(f"{c}_not_integer"))
+                     .when(parsed < 0, F.lit(f"{c}_negative")))
+    # all columns in one pass over the table
+    rows = df.select(F.col(id_col).alias("id"), F.explode(F.array(*rules)).alias("rule"))
+    return rows.filter(F.col("rule").isNotNull())
 
 
 def uuid_hex(x: Column) -> Column:
@@ -102,13 +109,13 @@ def check_unique_name(df: DataFrame, id_col: str = "id", name_col: str = "name")
 
     Counting by name is a partial (map-side) aggregate, so a name held by a
     third of the rows costs no single hot task; the duplicated names are
-    joined back (broadcast when proven small, else a shuffle join that AQE
-    can split on skew).
+    joined back (AQE broadcasts a small side by its bytes at run time and
+    splits skewed partitions of a shuffle join).
     """
     rows = df.filter(~F.col("is_deleted")) if "is_deleted" in df.columns else df
     dups = (rows.groupBy(name_col).agg(F.count(F.lit(1)).alias("_n"))
             .filter(F.col("_n") > 1).select(name_col))
-    return (rows.join(sized_broadcast(dups), name_col, "left_semi")
+    return (rows.join(dups, name_col, "left_semi")
             .select(F.col(id_col).alias("id"), F.lit("name_not_unique").alias("rule")))
 
 
@@ -123,9 +130,7 @@ def check_references(child: DataFrame, fk: str, parent: DataFrame, rule_prefix:
     """V8: a foreign key must name an existing parent row; a soft-deleted
     parent is reported separately.  Null keys are not checked."""
     p = parent.select(F.col("id").alias("_pid"), F.col("is_deleted").alias("_pdel")).distinct()
-    # one row per parent: broadcast when proven small, so a parent referenced
-    # by a third of the children costs no hot join partition
-    j = child.filter(F.col(fk).isNotNull()).join(sized_broadcast(p), F.col(fk) == F.col("_pid"), "left")
+    j = child.filter(F.col(fk).isNotNull()).join(p, F.col(fk) == F.col("_pid"), "left")
     rule = (F.when(F.col("_pid").isNull(), F.lit(f"{rule_prefix}_missing"))
             .when(F.col("_pdel"), F.lit(f"{rule_prefix}_deleted")))
     return _violations(j, id_col, rule)

@@ -79,19 +79,20 @@ def f1_score(fx: Fixtures):
 
 
 @query("confusion_matrix", """
-with l as (select y_true as label from pred_class union select y_pred from pred_class),
+with l as (select unnest(['A', 'N', 'R']) as label),
 c as (select y_true, y_pred, count(*) as n from pred_class group by all)
 select a.label as y_true, b.label as y_pred, coalesce(c.n, 0) as n
 from l a cross join l b left join c on c.y_true = a.label and c.y_pred = b.label
 """, ["pred_class"])
 def confusion_matrix(fx: Fixtures):
-    return M.confusion_matrix(fx.pred_class)
+    return M.confusion_matrix(fx.pred_class, labels=["A", "N", "R"])
 
 
 @query("auc_roc", """
-with r as (select y_true, rank() over (order by score) as rk, count(*) over (partition by score) as c from pred_binary),
+with r as (select y_true, rank() over (order by score) as rk, count(*) over (partition by score) as c from pred_binary
+  where y_true is not null and score is not null),
 a as (select sum(case when y_true = 1 then rk + (c - 1) / 2.0 end) as rs, count(*) filter (where y_true = 1) as p,
-  count(*) filter (where y_true is distinct from 1) as n from r)
+  count(*) filter (where y_true <> 1) as n from r)
 select round(case when p * n <> 0 then (rs - p * (p + 1) / 2.0) / (p * n) else 0.0 end, 6) as auc, p as positives, n as negatives from a
 """, ["pred_binary"])
 def auc_roc(fx: Fixtures):
@@ -152,7 +153,7 @@ select round(case when p1 > 0 and p2 > 0 and p3 > 0 and p4 > 0 then bp * exp((ln
  round(bp, 6) as brevity_penalty, round(p1, 6) as p1, round(p2, 6) as p2, round(p3, 6) as p3, round(p4, 6) as p4, hyp_len, ref_len from b
 """, ["pred_text"])
 def bleu(fx: Fixtures):
-    b = M.bleu(fx.pred_text, ["conv_id", "turn"])
+    b = M.bleu(fx.pred_text)
     return b.select(*[F.round(c, 6).alias(c) for c in ("bleu", "brevity_penalty", "p1", "p2", "p3", "p4")],
                     "hyp_len", "ref_len")
 
@@ -163,7 +164,7 @@ per2 as (select *, case when r + p <> 0 then 2 * r * p / (r + p) else 0.0 end as
 select n, round(avg(r), 6) as recall, round(avg(p), 6) as precision, round(avg(f), 6) as f1, count(*) as pairs from per2 group by n
 """, ["pred_text"])
 def rouge_n(fx: Fixtures):
-    r = M.rouge_n(fx.pred_text, ["conv_id", "turn"])
+    r = M.rouge_n(fx.pred_text)
     return r.select("n", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"),
                     F.round("f1", 6).alias("f1"), "pairs")
 
@@ -299,11 +300,89 @@ def compare_runs(fx: Fixtures):
     return RU.compare_runs(_run_metrics_long(fx), 1, 2)
 
 
-@query("metric_trend", _LONG_SQL + """
-select cast(run_id as int) as run_id, metric_name, metric_value,
- lag(metric_value) over (partition by metric_name order by run_id) as previous_value,
- round(avg(metric_value) over (partition by metric_name order by run_id rows between 2 preceding and current row), 4) as rolling_mean
-from long
+# Runs of suites for the trend: run = line number, suite = whether it is odd, started a day per run, latest first.
+@query("metric_trend", _LONG_SQL + """,
+runs as (select cast(run_id as int) as run_id, cast(run_id % 2 as int) as suite_id, date '2024-02-01' - cast(run_id as int) as started,
+  metric_name, metric_value from long)
+select suite_id, run_id, strftime(started, '%Y-%m-%d') as started, metric_name, metric_value,
+ lag(metric_value) over (partition by suite_id, metric_name order by started, run_id) as previous_value,
+ round(avg(metric_value) over (partition by suite_id, metric_name order by started, run_id rows between 2 preceding and current row), 4) as rolling_mean
+from runs
 """, ["pred_class", "pred_reg"])
 def metric_trend(fx: Fixtures):
-    return RU.metric_trend(_run_metrics_long(fx), window=3)
+    run = F.col("run_id").cast("int")
+    runs = _run_metrics_long(fx).withColumns({"suite_id": run % 2, "started": F.date_sub(F.lit("2024-02-01").cast("date"), run)})
+    out = RU.metric_trend(runs, window=3, suite="suite_id", order="started")
+    return out.withColumn("started", F.date_format("started", "yyyy-MM-dd"))
+
+
+# --------------------------------------------------------------- metrics of every run, by name
+
+# One report per run: precision, recall and F1 are macro averages over the run's labels.
+@query("run_metrics_classification", """
+with pc as (select l_linenumber as run_id, y_true, y_pred, count(*) as n from pred_class group by all),
+sides as (select run_id, y_true as label, n as support, case when y_true = y_pred then n else 0 end as tp, 0 as predicted from pc
+  union all select run_id, y_pred, 0, 0, n from pc),
+per0 as (select run_id, label, sum(support) as support, sum(tp) as tp, sum(predicted) as predicted from sides group by all),
+per1 as (select *, case when predicted <> 0 then tp / predicted else 0.0 end as p, case when support <> 0 then tp / support else 0.0 end as r from per0),
+per as (select *, case when p + r <> 0 then 2 * p * r / (p + r) else 0.0 end as f from per1),
+w as (select run_id, sum(tp) / sum(support) as accuracy, avg(p) as precision, avg(r) as recall, avg(f) as f1_score from per group by 1),
+long as (unpivot w on accuracy, precision, recall, f1_score into name metric_name value metric_value)
+select run_id, metric_name, round(metric_value, 6) as metric_value from long
+union all select run_id, 'confusion_matrix[' || y_true || ',' || y_pred || ']', cast(n as double) from pc
+""", ["pred_class"])
+def run_metrics_classification(fx: Fixtures):
+    rows = fx.pred_class.withColumnRenamed("l_linenumber", "run_id")
+    names = ["accuracy", "precision", "recall", "f1_score", "confusion_matrix", "no such metric"]
+    return M.run_metrics(rows, names, "run_id").withColumn("metric_value", F.round("metric_value", 6))
+
+
+@query("run_metrics_regression", f"""
+with w as (select l_linenumber as run_id, {", ".join(f"round({_REG_SQL[m]}, {_REG_ROUND[m]}) as {m}" for m in _REG_SQL)} from pred_reg group by 1)
+select * from (unpivot w on mae, mse, rmse, r2, mape into name metric_name value metric_value)
+""", ["pred_reg"])
+def run_metrics_regression(fx: Fixtures):
+    rows = fx.pred_reg.withColumnRenamed("l_linenumber", "run_id")
+    long = M.run_metrics(rows, list(_REG_ROUND), "run_id")
+    value = F.lit(None).cast("double")
+    for m, digits in _REG_ROUND.items():
+        value = F.when(F.col("metric_name") == m, F.round("metric_value", digits)).otherwise(value)
+    return long.withColumn("metric_value", value)
+
+
+@query("run_metrics_ranking", _AP_SQL.rstrip() + _NDCG_SQL.strip().replace("with d as", ",\nd as").replace("\nq as", "\nqn as") + """,
+w as (select q.query_id % 3 as run_id, round(avg(ndcg), 6) as ndcg, round(avg(ap), 6) as map, round(avg(rr), 6) as mrr
+  from q join qn using (query_id) group by 1)
+select * from (unpivot w on ndcg, map, mrr into name metric_name value metric_value)
+""", ["pred_rank"])
+def run_metrics_ranking(fx: Fixtures):
+    rows = fx.pred_rank.withColumn("run_id", F.col("query_id") % 3)
+    return M.run_metrics(rows, ["ndcg", "map", "mrr"], "run_id").withColumn("metric_value", F.round("metric_value", 6))
+
+
+@query("run_metrics_text", "with " + _TOKENS_SQL.format(orders="[1, 2, 3, 4]") + """,
+s as (select conv_id % 4 as run_id, sum(m) filter (where n = 1) as m1, sum(m) filter (where n = 2) as m2, sum(m) filter (where n = 3) as m3,
+  sum(m) filter (where n = 4) as m4, sum(ot) filter (where n = 1) as t1, sum(ot) filter (where n = 2) as t2, sum(ot) filter (where n = 3) as t3,
+  sum(ot) filter (where n = 4) as t4, sum(out_len) filter (where n = 1) as c, sum(ref_len) filter (where n = 1) as r from ov group by 1),
+b as (select run_id, case when m1 * m2 * m3 * m4 > 0 then case when c < r then exp(1 - r / c) else 1.0 end
+  * exp((ln(m1 / t1) + ln(m2 / t2) + ln(m3 / t3) + ln(m4 / t4)) / 4) else 0.0 end as bleu from s),
+per as (select conv_id % 4 as run_id, n, case when rt <> 0 then m / rt else 0.0 end as rr, case when ot <> 0 then m / ot else 0.0 end as pp from ov),
+f as (select run_id, avg(case when rr + pp <> 0 then 2 * rr * pp / (rr + pp) else 0.0 end) as rouge_1 from per where n = 1 group by 1)
+select run_id, 'bleu' as metric_name, round(bleu, 6) as metric_value from b
+union all select run_id, 'rouge_1', round(rouge_1, 6) from f
+""", ["pred_text"])
+def run_metrics_text(fx: Fixtures):
+    rows = fx.pred_text.withColumn("run_id", F.col("conv_id") % 4)
+    return M.run_metrics(rows, ["bleu", "rouge_1"], "run_id").withColumn("metric_value", F.round("metric_value", 6))
+
+
+@query("run_metrics_auc", """
+with r as (select row_id % 4 as run_id, y_true, rank() over (partition by row_id % 4 order by score) as rk,
+  count(*) over (partition by row_id % 4, score) as c from pred_binary where y_true is not null and score is not null),
+a as (select run_id, sum(case when y_true = 1 then rk + (c - 1) / 2.0 end) as rs, count(*) filter (where y_true = 1) as p,
+  count(*) filter (where y_true <> 1) as n from r group by 1)
+select run_id, 'auc_roc' as metric_name, round(case when p * n <> 0 then (rs - p * (p + 1) / 2.0) / (p * n) else 0.0 end, 6) as metric_value from a
+""", ["pred_binary"])
+def run_metrics_auc(fx: Fixtures):
+    rows = fx.pred_binary.withColumn("run_id", F.col("row_id") % 4)
+    return M.run_metrics(rows, ["auc_roc"], "run_id").withColumn("metric_value", F.round("metric_value", 6))

@@ -2,130 +2,82 @@
 
 ``Window.orderBy(x)`` with no partition -- or a partition holding a third of
 the rows -- sorts everything in one task.  The two-phase prefix sum below
-keeps every task bounded:
+keeps every task bounded and stays in the JVM:
 
 1. range-partition the rows on (group, order) -- a hot group is spread over
-   many partitions because the range cut continues inside the group;
-2. inside each partition (sorted), a pandas ``cumsum`` per group gives the
-   local running sums (Arrow batches, carry kept across batches);
+   many partitions because the range cut continues inside the group -- and
+   write them once with their partition number, because the boundaries are
+   sampled at run time;
+2. a window per (partition number, group) gives the local running sums;
 3. the per-(partition, group) totals -- at most partitions + groups rows --
-   get an exclusive running sum over the partition index per group;
-4. those offsets are joined back (broadcast when proven small).
+   get an exclusive running sum over the partition number per group;
+4. those offsets are joined back on (partition, group), nulls matching nulls.
 
-Step 2's output is checkpointed into the shared checkpoint folder: the range
-boundaries are sampled at run time, so pinning the partition index once keeps
-steps 3 and 4 consistent and survives executor loss.
+Sums keep Spark's own types (bigint for integers, decimal for decimals), so
+integers stay exact.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from vellum.plans.joins import sized_broadcast
-from vellum.session import checkpoint_root
+from vellum.session import saved
 
 
 def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
                 group_cols: list[str] | tuple = (), num_partitions: int | None = None) -> DataFrame:
-    """Add ``<v>_cum`` (inclusive running sum in (group, order) row order) for
-    each value column, ``rows_cum`` (the running row count = row number) and
-    ``rows_total`` (rows in the group).  The totals travel with the offsets,
-    which are joined on (partition, group) -- a key a hot group does not
-    dominate.
+    """Add, for each value column, ``<v>_cum`` (inclusive running sum in
+    (group, order) row order) and ``<v>_total`` (sum over the group), and for
+    the rows ``rows_cum`` (the row number) and ``rows_total``.
 
-    Order columns sort ascending; negate a column first for a descending
-    order.  Group and order keys must be non-null.  Equal keys keep an
-    arbitrary but fixed order.
+    Order columns sort ascending, nulls first; negate a column first for a
+    descending order.  A null group key is a group of its own, a null value
+    counts as 0.  Equal order keys keep an arbitrary but fixed order.
     """
-    spark = df.sparkSession
-    checkpoint_root(spark)
     group_cols, order_cols, value_cols = list(group_cols), list(order_cols), list(value_cols)
     keys = group_cols + order_cols
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(df.repartitionByRange(parts, *keys).withColumn("_pid", F.spark_partition_id()), "prefix")
 
-    lcols = [f"{v}_lcum" for v in value_cols] + ["rows_lcum"]
-    fields = list(df.schema.fields) + [T.StructField("_pid", T.IntegerType(), False)] + \
-        [T.StructField(c, T.DoubleType(), True) for c in lcols[:-1]] + \
-        [T.StructField("rows_lcum", T.LongType(), False)]
-    out_schema = T.StructType(fields)
+    here = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumns({f"{v}_lcum": F.sum(F.coalesce(v, F.lit(0))).over(here) for v in value_cols}
+                              | {"rows_lcum": F.count(F.lit(1)).over(here)})
 
-    def local_cumsum(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry_key, carry = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.copy()
-            pdf["_one"] = 1
-            vals = value_cols + ["_one"]
-            num = pdf[vals].astype("float64").fillna(0.0)
-            if group_cols:
-                g = pdf[group_cols]
-                seg = (g != g.shift()).any(axis=1).cumsum().to_numpy()
-                cum = num.groupby(seg, sort=False).cumsum()
-                first = tuple(g.iloc[0])
-                if carry is not None and first == carry_key:
-                    head = seg == seg[0]
-                    cum.loc[head, vals] = cum.loc[head, vals].to_numpy() + carry
-                last_key = tuple(g.iloc[-1])
-            else:
-                cum = num.cumsum()
-                if carry is not None:
-                    cum = cum + carry
-                last_key = ()
-            carry, carry_key = cum.iloc[-1][vals].to_numpy(), last_key
-            out = pdf.drop(columns=["_one"])
-            out["_pid"] = pid
-            for v in value_cols:
-                out[f"{v}_lcum"] = cum[v].to_numpy()
-            out["rows_lcum"] = cum["_one"].to_numpy().astype("int64")
-            yield out
-
-    local = (df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-             .mapInPandas(local_cumsum, out_schema)
-             .checkpoint(eager=True))
-
-    tot = local.groupBy("_pid", *group_cols).agg(
-        *[F.sum(v).cast("double").alias(f"{v}_tot") for v in value_cols],
-        F.count(F.lit(1)).alias("rows_tot"))
-    w = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy("_pid") \
+    sums = {f"{v}_tot": F.sum(F.coalesce(v, F.lit(0))) for v in value_cols} | {"rows_tot": F.count(F.lit(1))}
+    tot = dealt.groupBy("_pid", *group_cols).agg(*[c.alias(n) for n, c in sums.items()])
+    before = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group_cols)
-    offs = tot.select("_pid", *group_cols,
-                      *[F.coalesce(F.sum(f"{v}_tot").over(w), F.lit(0.0)).alias(f"{v}_off") for v in value_cols],
-                      F.coalesce(F.sum("rows_tot").over(w), F.lit(0)).alias("rows_off"),
-                      F.sum("rows_tot").over(whole).alias("rows_total"))
-    joined = local.join(sized_broadcast(offs), ["_pid", *group_cols], "left")
-    return joined.select(
+    names = [*value_cols, "rows"]
+    offs = tot.select(F.col("_pid").alias("_opid"), *[F.col(g).alias(f"_o_{g}") for g in group_cols],
+                      *[F.coalesce(F.sum(f"{v}_tot").over(before), F.lit(0)).alias(f"{v}_off") for v in names],
+                      *[F.sum(f"{v}_tot").over(whole).alias(f"{v}_total") for v in names])
+    match = F.col("_pid") == F.col("_opid")
+    for g in group_cols:
+        match = match & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
+    return local.join(offs, match).select(
         *df.columns,
-        *[(F.col(f"{v}_lcum") + F.coalesce(F.col(f"{v}_off"), F.lit(0.0))).alias(f"{v}_cum") for v in value_cols],
-        (F.col("rows_lcum") + F.coalesce(F.col("rows_off"), F.lit(0))).cast("bigint").alias("rows_cum"),
-        F.col("rows_total").cast("bigint").alias("rows_total"))
+        *[(F.col(f"{v}_lcum") + F.col(f"{v}_off")).alias(f"{v}_cum") for v in names],
+        *[f"{v}_total" for v in names])
 
 
 def exact_quantile(df: DataFrame, group_cols: list[str], value: str, q: float, name: str) -> DataFrame:
     """Exact continuous quantile per group (linear interpolation between the
     values at positions floor(h) and ceil(h), h = q * (n - 1)) -- the
     definition of ``percentile`` / ``quantile_cont`` -- without buffering a
-    whole group in one task: ranks come from ``prefix_sums``, counts from a
-    partial aggregate.  Null values are ignored.
+    whole group in one task.
+
+    Equal values are counted first (map-side combine), so a value that fills
+    half a group is one row; the running sum of the counts gives each value's
+    positions.  Null values are ignored; a null group is a group.
     """
     group_cols = list(group_cols)
-    vals = df.select(*group_cols, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    n = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    pos = n.select(*group_cols, "_n", (F.lit(q) * (F.col("_n") - 1)).alias("_h"))
-    pos = pos.select(*group_cols, "_h", F.floor("_h").cast("bigint").alias("_lo"),
-                     F.ceil("_h").cast("bigint").alias("_hi"))
-    ranked = prefix_sums(vals, ["_v"], [], group_cols=group_cols).withColumn("_i", F.col("rows_cum") - 1)
-    # one row per group: broadcast when proven small (a hot group then needs no hot join task)
-    hit = (ranked.join(sized_broadcast(pos), group_cols)
-           .filter((F.col("_i") == F.col("_lo")) | (F.col("_i") == F.col("_hi"))))
-    agg = hit.groupBy(*group_cols, "_h", "_lo").agg(
-        F.max(F.when(F.col("_i") == F.col("_lo"), F.col("_v"))).alias("_a"),
-        F.max(F.when(F.col("_i") == F.col("_hi"), F.col("_v"))).alias("_b"))
-    return agg.select(*group_cols, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo")))
-                      .alias(name))
+    counts = (df.select(*group_cols, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+              .groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    h = F.lit(q) * (F.col("_c_total") - 1)
+    first, last = F.col("_c_cum") - F.col("_c"), F.col("_c_cum") - 1
+    at = lambda pos: F.max(F.when((pos >= first) & (pos <= last), F.col("_v")))
+    agg = prefix_sums(counts, ["_v"], ["_c"], group_cols=group_cols).groupBy(*group_cols).agg(
+        at(F.floor(h)).alias("_a"), at(F.ceil(h)).alias("_b"), F.max(h - F.floor(h)).alias("_f"))
+    return agg.select(*group_cols, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(name))

@@ -3,17 +3,18 @@
 Library code never creates its own session: operators take a DataFrame and
 return a DataFrame.  ``build_session`` is for tests, the bench and local runs.
 Scratch data (lineage cuts, ingest staging) lives under the folder the cluster
-names in ``spark.checkpoint.dir``; a private folder is only created when that
-setting is unset (local tests).
+names in ``spark.checkpoint.dir``.  Where that is unset a private folder is made
+for local masters only (tests, the bench); on a cluster it is an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of ours carries.  AQE re-plans joins and coalesces
 # shuffle partitions at runtime; skew-join splits oversized join partitions.
@@ -50,8 +51,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only when
-    neither is set -- a local test run -- a private folder is made and set.
+    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Where
+    neither is set, a local master (one machine) gets a private folder; any
+    other raises, because executors don't share the driver's disk.
     """
     sc = spark.sparkContext
     jdir = sc._jsc.sc().getCheckpointDir()
@@ -59,6 +61,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return jdir.get()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="vellum-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc._jsc.sc().getCheckpointDir().get()
@@ -68,3 +72,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read again: later reads
+    see the same rows in any task, and survive the loss of executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
