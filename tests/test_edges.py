@@ -161,10 +161,10 @@ def test_extract_path_index_key_and_errors(spark):
     df = spark.createDataFrame(rows, "id int, r string")
     got = {r["id"]: (r["output"], r["error_message"]) for r in P.postprocess_path(df, "r", ["c", "0", "t"], ["id"]).collect()}
     assert got[1] == ("x", None) and got[2] == ("y", None)
-    assert got[3][0] is None and "out of range" in got[3][1]
-    assert got[4][0] is None and "Cannot access field" in got[4][1]
-    assert got[5][0] is None and "not found" in got[5][1]
-    assert got[6][0] is None and "not valid JSON" in got[6][1]
+    assert got[3][0] is None and "no element" in got[3][1]
+    assert got[4][0] is None and "no step" in got[4][1]
+    assert got[5][0] is None and "no key" in got[5][1]
+    assert got[6][0] is None and "valid JSON" in got[6][1]
     one = P.postprocess_path(spark.createDataFrame([(1, '{"message": "hi"}')], "id int, r string"), "r", "message", ["id"])
     assert one.first()["output"] == "hi"
 
@@ -297,7 +297,7 @@ def test_drift_kinds(spark):
     kinds = {r["column_name"]: r["kind"] for r in C.schema_drift(new, old).collect()}
     assert kinds == {"a": "type_mismatch", "b": "missing", "c": "extra"}
     v = C.drift_verdict(C.schema_drift(new, old)).first()
-    assert not v["valid"] and v["warnings"] == ["New columns found: c"]
+    assert not v["valid"] and v["warnings"] == ["added: c"]
     assert C.drift_verdict(C.schema_drift(new, None)).first()["valid"]
 
 
@@ -305,8 +305,8 @@ def test_upload_sequence_and_history(spark, sf_small):
     q = E.queries()
     rep = {r["source"]: r for r in q["multi_file_upload"](spark, sf_small).collect()}
     assert [rep[s]["accepted"] for s in sorted(rep)] == [True, False, True, False, True, False, True, False]
-    assert rep["06_notes.txt"]["errors"] == ["Only CSV files are allowed"]
-    assert rep["03_extra_note.csv"]["warnings"] == ["New columns found: note"]
+    assert rep["06_notes.txt"]["errors"] == ["not a .csv source"]
+    assert rep["03_extra_note.csv"]["warnings"] == ["added: note"]
     hist = q["dataset_history"](spark, sf_small).collect()
     assert len(hist) == 30  # the partition holding only a non-Parquet file is skipped
     assert hist[-1]["timestamp"] == "manual-import" and hist[-1]["cumulative_rows"] == 1000

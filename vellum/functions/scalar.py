@@ -58,10 +58,11 @@ def isoformat(x) -> Column:
 
 
 def parse_upload_stamp(x) -> Column:
-    """``YYYYMMDD_HHMMSS`` -> ISO text; anything else is kept raw."""
+    """``YYYYMMDD_HHMMSS`` -> ISO text, also with the ``_n`` of a further
+    upload in the same second; anything else is kept raw."""
     c = _c(x)
-    parsed = F.try_to_timestamp(c, F.lit(UPLOAD_STAMP))
-    ok = c.rlike(r"^[0-9]{8}_[0-9]{6}$") & parsed.isNotNull()
+    parsed = F.try_to_timestamp(F.substring(c, 1, 15), F.lit(UPLOAD_STAMP))
+    ok = c.rlike(r"^[0-9]{8}_[0-9]{6}(_[0-9]+)?$") & parsed.isNotNull()
     return F.when(ok, isoformat(parsed)).otherwise(c)
 
 

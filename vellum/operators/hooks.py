@@ -8,6 +8,7 @@ partial states (sufficient statistics) instead of a whole run.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterable
 
@@ -35,13 +36,15 @@ SCORE_FIELDS = [
 
 def score_batches(df: DataFrame, scorer: Callable[[pd.DataFrame, int], pd.DataFrame],
                   batch_size: int = 100, workers: int | None = None, max_attempts: int = 3,
-                  retry_on: tuple[str, ...] = ("timeout", "rate_limit"), base_delay: float = 0.0) -> DataFrame:
+                  retry_on: tuple[str, ...] = ("timeout", "rate_limit"), base_delay: float = 0.0,
+                  max_delay: float = 60.0) -> DataFrame:
     """H2 + H3: the invocation step as a batched scorer with retries.
 
     ``scorer(chunk, attempt)`` gets up to ``batch_size`` rows and returns a
     frame with ``response`` and ``error`` (None when fine) in the same order.
-    Rows whose error kind is in ``retry_on`` are retried with exponential
-    back-off (``base_delay * 2**(attempt-1)`` seconds) up to
+    Rows whose error is in ``retry_on`` -- a kind by its name, or a family of
+    status codes such as ``5xx`` -- are retried with exponential back-off
+    (``base_delay * 2**(attempt-1)`` seconds, at most ``max_delay``) up to
     ``max_attempts``; the rest end as dead letters.  ``workers`` spreads the
     rows round-robin over that many tasks (the concurrency toward the
     scored service).
@@ -49,6 +52,13 @@ def score_batches(df: DataFrame, scorer: Callable[[pd.DataFrame, int], pd.DataFr
     if not 1 <= batch_size <= 1000:
         raise ValueError("batch_size must be within 1..1000")
     src = df.repartition(workers) if workers else df
+    kinds = {r for r in retry_on if not re.fullmatch(r"[1-5]xx", r)}
+    families = "".join(r[0] for r in retry_on if r not in kinds)
+    family = re.compile(rf"(?<![0-9])[{families}][0-9][0-9](?![0-9])") if families else None
+
+    def retried(error: str) -> bool:
+        return error in kinds or bool(family and family.search(error))
+
     schema = T.StructType(list(df.schema.fields) + SCORE_FIELDS)
 
     def call(chunk: pd.DataFrame, attempt: int) -> pd.DataFrame:
@@ -70,14 +80,14 @@ def score_batches(df: DataFrame, scorer: Callable[[pd.DataFrame, int], pd.DataFr
                 while todo and attempt < max_attempts:
                     attempt += 1
                     if attempt > 1 and base_delay > 0:
-                        time.sleep(base_delay * 2 ** (attempt - 2))
+                        time.sleep(min(max_delay, base_delay * 2 ** (attempt - 2)))
                     got = call(chunk.iloc[todo], attempt)
                     retry = []
                     for j, i in enumerate(todo):
                         attempts[i] = attempt
                         e = got["error"][j]
                         resp[i], err[i] = got["response"][j], e
-                        if e is not None and e in retry_on:
+                        if e is not None and retried(str(e)):
                             retry.append(i)
                     todo = retry
                 out = chunk.copy()

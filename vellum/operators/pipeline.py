@@ -28,9 +28,9 @@ def preprocess_select(df: DataFrame, input_columns: list[str] | None, groundtrut
     have = set(df.columns)
     input_columns = list(input_columns or [])
     if input_columns and not set(input_columns) <= have:
-        raise PipelineError("All input_columns must be present in the data")
+        raise PipelineError(f"no such input columns: {sorted(set(input_columns) - have)}")
     if groundtruth_column and groundtruth_column not in have:
-        raise PipelineError("groundtruth_column must be present in the data")
+        raise PipelineError(f"no such ground-truth column: {groundtruth_column}")
     cols = input_columns or [c for c in df.columns]
     gt = F.col(groundtruth_column) if groundtruth_column else F.lit(None)
     return df.select(*keys, F.struct(*[F.col(c) for c in cols]).alias("input"), gt.alias("groundtruth"))
@@ -55,23 +55,33 @@ def extract_path(response: Column, path) -> tuple[Column, Column]:
     """
     if isinstance(path, str):
         path = [path]
-    v = F.try_parse_json(response)
-    err = F.when(response.isNotNull() & v.isNull(), F.lit("response is not valid JSON"))
+    start = F.struct(F.try_parse_json(response).alias("v"),
+                     F.when(response.isNotNull() & F.try_parse_json(response).isNull(), F.lit("no valid JSON")).alias("err"))
+    state = F.array(start)
     for step in path:
-        by_key = F.try_variant_get(v, _key_path(step), "variant")
-        if step.isdigit():
-            by_idx = F.try_variant_get(v, f"$[{int(step)}]", "variant")
-            nxt = F.coalesce(by_idx, by_key)
-        else:
-            nxt = by_key
-        kind = F.schema_of_variant(v)
-        why = (F.when(kind.startswith("OBJECT"), F.lit(f"Field '{step}' not found in data at current level"))
-               .when(kind.startswith("ARRAY") & F.lit(step.isdigit()), F.lit(f"Index {step} is out of range"))
-               .otherwise(F.concat(F.lit(f"Cannot access field '{step}' on "), kind)))
-        err = F.coalesce(err, F.when(v.isNotNull() & nxt.isNull(), why))
-        v = nxt
-    out = F.when(err.isNull(), F.try_variant_get(v, "$", "string"))
-    return out, err
+        state = F.transform(state, _walk(step))
+    done = F.transform(state, lambda s: F.struct(
+        F.when(s["err"].isNull(), F.try_variant_get(s["v"], "$", "string")).alias("out"), s["err"].alias("err")))[0]
+    return done["out"], done["err"]
+
+
+def _walk(step: str):
+    """One step of a path over (value, error).  The step before is a lambda's
+    variable, so the expression grows with the path's length, not its power."""
+    def run(s: Column) -> Column:
+        by_key = F.try_variant_get(s["v"], _key_path(step), "variant")
+        found = F.coalesce(F.try_variant_get(s["v"], f"$[{int(step)}]", "variant"), by_key) if step.isdigit() else by_key
+        return F.transform(F.array(F.struct(found.alias("n"))), lambda x: F.struct(
+            x["n"].alias("v"),
+            F.when(s["err"].isNotNull(), s["err"]).when(s["v"].isNotNull() & x["n"].isNull(), _why(s["v"], step)).alias("err")))[0]
+    return run
+
+
+def _why(v: Column, step: str) -> Column:
+    kind = F.schema_of_variant(v)
+    return (F.when(kind.startswith("OBJECT"), F.lit(f"no key {step!r} in the object"))
+            .when(kind.startswith("ARRAY") & F.lit(step.isdigit()), F.lit(f"no element {step} in the list"))
+            .otherwise(F.concat(F.lit(f"no step {step!r} into "), kind)))
 
 
 def postprocess_path(df: DataFrame, response_col: str, path, keys: list[str] = ()) -> DataFrame:

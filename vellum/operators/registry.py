@@ -207,6 +207,19 @@ def paginate(df: DataFrame, page: int, page_size: int, clamp: bool = True) -> Da
             .withColumn("has_prev", F.lit(page > 1)))
 
 
+def page_after(df: DataFrame, created_at, last_id, page_size: int, clamp: bool = True) -> DataFrame:
+    """L1 for deep pages: the page that follows the row (``created_at``,
+    ``last_id``) in listing order.  The rows before it are filtered away, so any page
+    costs a take-ordered of one page, however deep it lies."""
+    _, page_size = page_args(1, page_size, clamp)
+    ts, at = F.col("created_at"), F.lit(created_at)
+    if created_at is None:  # nulls come first: the rest of them, then everything else
+        behind = (ts.isNull() & (F.col("id") > F.lit(last_id))) | ts.isNotNull()
+    else:
+        behind = (ts < at) | ((ts == at) & (F.col("id") > F.lit(last_id)))
+    return live(df).filter(behind).orderBy(*newest_first()).limit(page_size)
+
+
 def recent_n(df: DataFrame, n: int = 5) -> DataFrame:
     """L3: the n newest live rows (TakeOrderedAndProject, no full sort)."""
     return live(df).orderBy(*newest_first()).limit(n)

@@ -67,18 +67,27 @@ def drift_verdict(drift: DataFrame) -> DataFrame:
     names = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("column_name"))))
     mism = F.array_sort(F.collect_list(F.when(
         F.col("kind") == "type_mismatch",
-        F.concat(F.lit("Column '"), F.col("column_name"), F.lit("' type mismatch: expected "),
-                 F.col("old_type"), F.lit(", got "), F.col("new_type")))))
+        F.concat(F.col("column_name"), F.lit(": "), F.col("new_type"), F.lit(" where "), F.col("old_type"), F.lit(" is stored")))))
     agg = drift.agg(names("missing").alias("missing"), names("extra").alias("extra"), mism.alias("mismatch"))
     errors = F.concat(
-        F.when(F.size("missing") > 0, F.array(F.concat(F.lit("Missing columns: "), F.array_join("missing", ", "))))
+        F.when(F.size("missing") > 0, F.array(F.concat(F.lit("absent: "), F.array_join("missing", ", "))))
         .otherwise(F.array().cast("array<string>")),
         F.col("mismatch"))
-    warnings = F.when(F.size("extra") > 0, F.array(F.concat(F.lit("New columns found: "), F.array_join("extra", ", ")))) \
+    warnings = F.when(F.size("extra") > 0, F.array(F.concat(F.lit("added: "), F.array_join("extra", ", ")))) \
         .otherwise(F.array().cast("array<string>"))
     return agg.select((F.size(errors) == 0).alias("valid"), errors.alias("errors"), warnings.alias("warnings"))
 
 
+def drift_lists(new: dict[str, str], old: dict[str, str] | None) -> tuple[list[str], list[str]]:
+    """C3 verdict of two column -> type mappings: the errors and warnings that
+    ``drift_verdict`` gives for the same schemas."""
+    if old is None:
+        return [], []
+    absent, added = sorted(set(old) - set(new)), sorted(set(new) - set(old))
+    changed = sorted(f"{c}: {new[c]} where {old[c]} is stored" for c in old if c in new and new[c] != old[c])
+    return ([f"absent: {', '.join(absent)}"] if absent else []) + changed, [f"added: {', '.join(added)}"] if added else []
+
+
 def compare_versions(schemas: DataFrame, dataset_id, version_a: str, version_b: str) -> DataFrame:
     """Drift between two stored versions of one dataset's schema."""
     pick = lambda v: schemas.filter((F.col("dataset_id") == dataset_id) & (F.col("upload") == v))
@@ -86,9 +95,9 @@ def compare_versions(schemas: DataFrame, dataset_id, version_a: str, version_b:
 
 
 def current_schema(schemas: DataFrame) -> DataFrame:
-    """The latest stored schema per dataset (max upload wins)."""
-    latest = schemas.groupBy("dataset_id").agg(F.max("upload").alias("upload"))
-    return schemas.join(latest, ["dataset_id", "upload"], "left_semi")
+    """The latest stored schema per dataset, by the upload's number."""
+    latest = schemas.groupBy("dataset_id").agg(F.max("seq").alias("seq"))
+    return schemas.join(latest, ["dataset_id", "seq"], "left_semi")
 
 
 def schema_with_total(schemas: DataFrame, registry: DataFrame) -> DataFrame:
@@ -115,18 +124,26 @@ def response_schema(df: DataFrame, response_col: str, group: list[str] = ()) ->
     return df.groupBy(*group).agg(F.schema_of_variant_agg(F.try_parse_json(F.col(response_col))).alias("schema"))
 
 
+SAMPLES = 3
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """Per column: rows, non-null, min, max (as text) and an approximate
-    distinct count -- one aggregate pass over all columns, then unpivoted."""
+    """Per column: rows, non-null, min, max (as text), an approximate
+    distinct count and sample values (the distinct ones whose text has the
+    smallest digest under ``SAMPLES`` salts) -- one aggregate pass over all columns,
+    then unpivoted."""
     cols = df.columns
+    drawn = lambda c, k: F.min_by(F.col(c).cast("string"), F.md5(F.concat(F.lit(f"{k}:"), F.col(c).cast("string")).cast("binary")))
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
         aggs += [F.count(c).alias(f"nn{i}"), F.min(c).cast("string").alias(f"mn{i}"),
-                 F.max(c).cast("string").alias(f"mx{i}"), F.approx_count_distinct(c).alias(f"ad{i}")]
+                 F.max(c).cast("string").alias(f"mx{i}"), F.approx_count_distinct(c).alias(f"ad{i}"),
+                 F.array_sort(F.array_distinct(F.array_compact(F.array(*[drawn(c, k) for k in range(SAMPLES)])))).alias(f"sv{i}")]
     row = df.agg(*aggs)
     per = F.explode(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"),
                                        F.lit(canonical_type(df.schema[c].dataType)).alias("type"),
                                        F.col(f"nn{i}").alias("non_null"), F.col(f"mn{i}").alias("min"),
-                                       F.col(f"mx{i}").alias("max"), F.col(f"ad{i}").alias("approx_distinct"))
+                                       F.col(f"mx{i}").alias("max"), F.col(f"ad{i}").alias("approx_distinct"),
+                                       F.col(f"sv{i}").alias("samples"))
                               for i, c in enumerate(cols)])).alias("p")
     return row.select(F.col("_rows").alias("rows"), per).select("p.*", "rows")

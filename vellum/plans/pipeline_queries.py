@@ -92,13 +92,13 @@ def _workflow_configs(fx: Fixtures):
     step = lambda d, script, inp: F.struct(F.lit(d).alias("description"), F.lit(script).alias("script"),
                                            inp.alias("input"))
     steps = F.struct(
-        step("Preprocess data", "preprocessing-script.py",
+        step("pick the columns", "prepare.py",
              F.struct(F.array(F.lit("c_name")).alias("input_columns"), F.lit("c_acctbal").alias("groundtruth_column"))).alias("preprocessing"),
-        step("request invocation", "invocation-script.py",
-             F.struct(F.lit("http://localhost:8000/api/").alias("url"), F.lit("GET").alias("method"))).alias("invocation"),
-        step("Postprocess data", "postprocessing-script.py", F.struct(F.lit("message").alias("field"))).alias("postprocessing"),
+        step("ask the model", "ask.py",
+             F.struct(F.lit("http://model.example/ask").alias("url"), F.lit("GET").alias("method"))).alias("invocation"),
+        step("read the answer", "answer.py", F.struct(F.lit("message").alias("field"))).alias("postprocessing"),
         F.when(F.col("status") != "failed",
-               step("Evaluation", "evaluation-script.py",
+               step("grade it", "grade.py",
                     F.struct(F.array(F.lit("similarity"), F.col("description")).alias("metrics")))).alias("evaluation"))
     wf = F.struct(F.struct(F.col("name").alias("name"), F.col("description").alias("description"),
                            F.lit(0).alias("version"), steps.alias("steps")).alias("workflow"))
@@ -106,8 +106,8 @@ def _workflow_configs(fx: Fixtures):
 
 
 @query("extract_step", """
-with c as (select id as suite_id, case when status <> 'failed' then 'Evaluation' end as d,
-  case when status <> 'failed' then 'evaluation-script.py' end as s,
+with c as (select id as suite_id, case when status <> 'failed' then 'grade it' end as d,
+  case when status <> 'failed' then 'grade.py' end as s,
   case when status <> 'failed' then cast(to_json(struct_pack(metrics := ['similarity', description])) as varchar) end as i from reg_suites)
 select suite_id, coalesce(d, '') as description, coalesce(s, '') as script, coalesce(i, '') as input from c
 """, ["reg_suites"])

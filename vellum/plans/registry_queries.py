@@ -219,6 +219,16 @@ def paginate(fx: Fixtures):
                       "page", "page_size", "total_pages", "has_next", "has_prev")
 
 
+@query("page_after", f"""
+select id, name, {iso_sql('created_at')} as created_at from reg_suites where not is_deleted order by created_at desc nulls first, id limit 20 offset 40
+""", ["reg_suites"])
+def page_after(fx: Fixtures):
+    """L1 by key: the third page, found from the last row of the second."""
+    last = R.paginate(fx.reg_suites, page=2, page_size=20).select("created_at", "id").tail(1)[0]
+    out = R.page_after(fx.reg_suites, last["created_at"], last["id"], 20)
+    return out.select("id", "name", S.isoformat("created_at").alias("created_at"))
+
+
 @query("recent_n", f"""
 select id, name, {iso_sql('created_at')} as created_at from reg_datasets where not is_deleted
 order by created_at desc nulls first, id limit 5

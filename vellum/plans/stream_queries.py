@@ -28,7 +28,11 @@ def _stream_rows(fx: Fixtures):
     return fx.run_outputs.drop("payload").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def write_stream_folder(fx: Fixtures, copies: int = 1) -> str:
+# Part files of a slice; a micro-batch takes one slice.
+FILES_PER_SLICE = 2
+
+
+def write_stream_folder(fx: Fixtures, copies: int = 1, late: bool = False) -> str:
     """Rows arrive in event-time order: one append per 4-day slice, so file
     modification times follow event time.  A second copy models a re-run
     that sends every row again."""
@@ -37,24 +41,30 @@ def write_stream_folder(fx: Fixtures, copies: int = 1) -> str:
     n_slices = 8
     for _ in range(copies):
         for k in range(n_slices):
-            rows.filter(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(folder)
+            _slice(rows, k).write.mode("append").parquet(folder)
+    if late:  # the first slice once more, long after its time
+        _slice(rows, 0).write.mode("append").parquet(folder)
     return folder
 
 
-def _run(fx: Fixtures, build, mode: str, copies: int = 1, transform=None):
+def _slice(rows, k: int):
+    return rows.filter(F.col("_slice") == k).drop("_slice").repartition(FILES_PER_SLICE)
+
+
+def _run(fx: Fixtures, build, mode: str, copies: int = 1, transform=None, keys=(), late: bool = False):
     spark = fx.spark
-    folder = write_stream_folder(fx, copies)
-    src = ST.file_stream(spark, folder, _stream_rows(fx).schema)
+    folder = write_stream_folder(fx, copies, late)
+    src = ST.file_stream(spark, folder, _stream_rows(fx).schema, max_files=FILES_PER_SLICE)
     out = ST.run_to_table(build(src), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt"),
                           mode, transform)
-    return spark.read.parquet(out)
+    return ST.read_result(spark, out, mode, list(keys))
 
 
 @query("stream_progress", """
 select run_id, count(*) as processed, count(*) filter (where status_code >= 400) as failed from run_outputs group by run_id
 """, ["run_outputs"])
 def stream_progress(fx: Fixtures):
-    return _run(fx, ST.stream_progress, "complete")
+    return _run(fx, ST.stream_progress, "update", keys=["run_id"])
 
 
 def _fmt(df):
@@ -86,6 +96,19 @@ def stream_throughput_sliding(fx: Fixtures):
     return _fmt(_run(fx, lambda s: ST.stream_throughput(s, "1 day", "12 hours"), "complete"))
 
 
+@query("stream_throughput_append", """
+select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start,
+ strftime(date_trunc('day', ts) + interval 1 day, '%Y-%m-%d %H:%M:%S') as window_end,
+ count(*) as requests, count(*) filter (where status_code >= 400) as failures, round(sum(response_time_ms), 2) as total_response_ms
+from run_outputs group by 1, 2, date_trunc('day', ts)
+having date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from run_outputs)
+""", ["run_outputs"])
+def stream_throughput_append(fx: Fixtures):
+    """Closed windows only; the rows of a slice that comes again too late are
+    dropped by the watermark."""
+    return _fmt(_run(fx, lambda s: ST.stream_throughput(s, "1 day"), "append", late=True))
+
+
 ALERT_LIMIT = 0.4
 
 
@@ -111,24 +134,32 @@ def stream_resume_dedup(fx: Fixtures):
 
 
 def write_upload_stream(fx: Fixtures) -> str:
-    """One single-file CSV upload per order priority, written one after the
-    other; the '4-NOT SPECIFIED' upload lacks the amount column."""
+    """One CSV upload (a folder of parts) per order priority, and a text file;
+    the '4-NOT SPECIFIED' upload lacks the amount column."""
     folder = scratch_path(fx.spark, "upload-stream")
     o = fx.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"),
                          F.col("o_totalprice").alias("amt"), F.to_date("o_orderdate").alias("d"))
     for i, p in enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]):
-        part = o.filter(F.col("name") == p)
+        part = o.filter(F.col("name") == p).repartition(2)
         if p.startswith("4"):
             part = part.drop("amt")
-        I.stage_csv(part.coalesce(1), f"{folder}/{i + 1:02d}_{p[2:].replace(' ', '_').lower()}")
+        I.stage_csv(part, f"{folder}/{i + 1:02d}_{p[2:].replace(' ', '_').lower()}.csv")
+    o.select("name").distinct().write.text(f"{folder}/06_names.txt")
     return folder
 
 
-@query("stream_ingest")
+@query("stream_ingest", """
+select lpad(substr(p, 1, 1), 2, '0') || '_' || replace(lower(substr(p, 3)), ' ', '_') || '.csv' as source, p not like '4%' as accepted,
+ case when p not like '4%' then n end as row_count, case when p like '4%' then 3 else 4 end as n_columns,
+ case when p like '4%' then 'absent: amt' else '' end as errors, '' as warnings
+from (select o_orderpriority as p, count(*) as n from orders group by 1)
+union all select '06_names.txt', false, null, null, 'not a .csv source', ''
+""")
 def stream_ingest(fx: Fixtures):
     spark = fx.spark
     folder = write_upload_stream(fx)
     store = I.DatasetStore(spark, scratch_path(spark, "stream-store"))
     out = ST.ingest_stream(spark, folder, store, "orders_stream", scratch_path(spark, "ingest-ckpt"),
-                           scratch_path(spark, "ingest-reports"), max_files=1)
-    return spark.read.parquet(out).select("epoch", "accepted", "row_count", "n_columns", "errors", "warnings")
+                           scratch_path(spark, "ingest-reports"), max_files=5)
+    rows = spark.read.parquet(out)
+    return rows.select("source", "accepted", "row_count", "n_columns", *[F.array_join(c, "; ").alias(c) for c in ("errors", "warnings")])

@@ -11,27 +11,40 @@ reference becomes "one partition = one upload").  An upload source is any
 path Spark reads as CSV -- a single file or a folder of part files -- and its
 name is what the extension gate looks at.
 
-Each upload is a handful of Spark jobs (infer + count, drift check on two
-tiny schema tables, one Parquet write); uploads run in order because each
-drift check depends on the schema the previous accepted upload left.
+An upload is committed by its rows in the schema log, written after the data:
+readers only see logged uploads, so a failure in between leaves nothing behind
+that anyone reads.  Uploads of a dataset are numbered in the log; the number,
+not the stamp's text, says which is the latest.
+
+A CSV source is read twice: once as text for one aggregate over all columns (row
+count, cells per candidate type, malformed rows), once to store it under the
+chosen types.  Types look at every row, so they never depend on a prefix.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 import re
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.functions import scalar as S
 from vellum.operators import schema as C
 
-# A time-of-day-only text (DuckDB infers TIME for it).
-TIME_ONLY = r"^[0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?$"
-# Rows looked at to tell a time-of-day column from a timestamp column.
-TIME_SNIFF_ROWS = 20_000
+# Cell patterns of the types a column may get, next to what try_cast accepts.
+INTEGER_CELL = r"^\s*[+-]?[0-9]+\s*$"
+DOUBLE_CELL = r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|NaN|[+-]?Infinity)\s*$"
+BOOLEAN_CELL = r"(?i)^(true|false)$"
+DATE_CELL = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+STAMP_CELL = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?$"
+TIME_CELL = r"^[0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?$"
+# Column that holds the text of a row with too many or too few cells.
+MALFORMED = "_malformed_row"
+# Uploads of a batch that are read or written at the same time.
+PARALLEL = 4
 # Size limits per file and per dataset (bytes).
 MAX_FILE_BYTES = 1 << 30
 MAX_DATASET_BYTES = 10 << 30
@@ -44,6 +57,12 @@ REPORT_SCHEMA = T.StructType([
     T.StructField("errors", T.ArrayType(T.StringType())), T.StructField("warnings", T.ArrayType(T.StringType())),
 ])
 
+SCHEMA_LOG = T.StructType([
+    T.StructField("ordinal", T.IntegerType()), T.StructField("column_name", T.StringType()), T.StructField("type", T.StringType()),
+    T.StructField("nullable", T.BooleanType()), T.StructField("dataset_id", T.StringType()), T.StructField("upload", T.StringType()),
+    T.StructField("seq", T.LongType()), T.StructField("source", T.StringType()), T.StructField("row_count", T.LongType()), T.StructField("created_at", T.TimestampNTZType()),
+])
+
 
 def source_name(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1]
@@ -61,38 +80,74 @@ def list_drop_folder(spark: SparkSession, folder: str) -> DataFrame:
     folder = folder.rstrip("/")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
              .select("path", "length"))
-    rel = F.regexp_extract(F.col("path"), r"^.*?" + _re_escape(source_name(folder)) + r"/([^/]+)", 1)
-    return (files.select(rel.alias("source"), "length")
+    return (files.select(source_in(folder).alias("source"), "length")
             .groupBy("source").agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
             .withColumn("accepted", F.lower("source").endswith(".csv")))
 
 
-def _re_escape(s: str) -> str:
-    return re.escape(s)
+def source_in(folder: str, path: str = "path") -> Column:
+    """The name directly under ``folder`` that a file's path goes through."""
+    return F.regexp_extract(F.col(path), r"^.*?" + re.escape(source_name(folder)) + r"/([^/]+)", 1)
 
 
-def infer_csv(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame, dict]:
-    """Header CSV with full type inference; time-only columns are re-read
-    as text and reported as TIME so the result does not depend on the day."""
-    def reader():
-        return spark.read.option("header", True).option("sep", sep)
+def csv_reader(spark: SparkSession, sep: str = ",", multi_line: bool = True):
+    """Reader for CSV as tools write it: quoted line breaks and doubled quotes.
 
-    df = reader().option("inferSchema", True).option("enforceSchema", False).csv(path)
-    ts_cols = [f.name for f in df.schema.fields
-               if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
-    overrides: dict[str, str] = {}
-    if ts_cols:
-        # a time-of-day column is recognised on its leading rows (as a CSV
-        # sniffer does), so the check costs no second full pass over the file
-        raw = reader().csv(path).select(*ts_cols).limit(TIME_SNIFF_ROWS)
-        flags = raw.agg(*[F.bool_and(F.col(c).isNull() | F.col(c).rlike(TIME_ONLY)).alias(c) for c in ts_cols]).first()
-        time_cols = [c for c in ts_cols if flags[c]]
-        if time_cols:
-            fields = [T.StructField(f.name, T.StringType() if f.name in time_cols else f.dataType, True)
-                      for f in df.schema.fields]
-            df = reader().schema(T.StructType(fields)).option("enforceSchema", False).csv(path)
-            overrides = {c: "TIME" for c in time_cols}
-    return df, C.schema_table(spark, df.schema, overrides), overrides
+    ``multi_line`` keeps a quoted cell with line breaks whole; a file is then
+    read by one task, so large uploads should come as folders of parts.
+    """
+    return (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line).option("enforceSchema", False))
+
+
+# Candidate types in order of preference: canonical name -> (Spark type, test of a cell).
+CELL_TYPES = {
+    "BIGINT": ("bigint", lambda c: c.rlike(INTEGER_CELL) & c.try_cast("bigint").isNotNull()),
+    "DOUBLE": ("double", lambda c: c.rlike(DOUBLE_CELL) & c.try_cast("double").isNotNull()),
+    "BOOLEAN": ("boolean", lambda c: c.rlike(BOOLEAN_CELL)),
+    "DATE": ("date", lambda c: c.rlike(DATE_CELL) & c.try_cast("date").isNotNull()),
+    "TIMESTAMP": ("timestamp_ntz", lambda c: c.rlike(STAMP_CELL) & c.try_cast("timestamp_ntz").isNotNull()),
+    "TIME": ("string", lambda c: c.rlike(TIME_CELL)),
+}
+
+
+class CsvSource:
+    """One CSV source, inferred: ``types`` by column, ``row_count`` and the
+    number of ``malformed`` rows, all from one pass over the whole source."""
+
+    def __init__(self, spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True):
+        self.spark, self.path = spark, path
+        reader = csv_reader(spark, sep, multi_line)
+        self.columns = reader.csv(path).columns
+        text = T.StructType([*[T.StructField(c, T.StringType()) for c in self.columns], T.StructField(MALFORMED, T.StringType())])
+        self.text = reader.option("columnNameOfCorruptRecord", MALFORMED).schema(text).csv(path)
+        cells = [F.col(f"`{c}`") for c in self.columns]
+        counts = [F.count(F.lit(1)).alias("rows"), F.count(MALFORMED).alias("bad")]
+        counts += [F.count(c).alias(f"n{i}") for i, c in enumerate(cells)]
+        counts += [F.count_if(test(c)).alias(f"{t}{i}") for i, c in enumerate(cells) for t, (_, test) in CELL_TYPES.items()]
+        found = self.text.agg(*counts).first()
+        self.row_count, self.malformed = found["rows"], found["bad"]
+        self.types = {c: next((t for t in CELL_TYPES if found[f"n{i}"] and found[f"{t}{i}"] == found[f"n{i}"]), "VARCHAR")
+                      for i, c in enumerate(self.columns)}
+
+    def typed(self) -> DataFrame:
+        """The rows under the inferred types (a time of day stays text)."""
+        return self.text.select(*[F.trim(F.col(f"`{c}`")).cast(CELL_TYPES[t][0]).alias(c)
+                                  if t in CELL_TYPES and t != "TIME" else F.col(f"`{c}`") for c, t in self.types.items()])
+
+    def schema(self) -> DataFrame:
+        rows = [(i, c, t, True) for i, (c, t) in enumerate(self.types.items())]
+        return self.spark.createDataFrame(rows, C.SCHEMA_TABLE).coalesce(1)
+
+
+def infer_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> tuple[DataFrame, DataFrame, dict]:
+    """Header CSV with full type inference over all rows.  Returns the
+    typed rows, the schema table and the columns reported as TIME.  Rows with
+    too many or too few cells raise, with their number."""
+    source = CsvSource(spark, path, sep, multi_line)
+    if source.malformed:
+        raise ValueError(f"{source_name(path)}: {source.malformed} rows with too many or too few cells")
+    return source.typed(), source.schema(), {c: t for c, t in source.types.items() if t == "TIME"}
 
 
 class DatasetStore:
@@ -117,7 +172,7 @@ class DatasetStore:
     # -- tables
     def schemas(self) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self.schemas_dir)
+            return self.spark.read.schema(SCHEMA_LOG).parquet(self.schemas_dir)
         except Exception as e:  # noqa: BLE001 -- no schema log yet
             if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
                 return None
@@ -133,78 +188,104 @@ class DatasetStore:
         if s is None:
             return None
         mine = s.filter(F.col("dataset_id") == str(dataset_id))
-        if mine.limit(1).count() == 0:
+        if mine.isEmpty():
             return None
         return C.current_schema(mine).select("ordinal", "column_name", "type", "nullable")
 
-    def _log_state(self, dataset_id, now: _dt.datetime | None) -> tuple[DataFrame | None, str]:
-        """The schema in force and the stamp for a new upload, from one
-        aggregate over the schema log.  A second upload in the same second
-        gets a sequence suffix instead of overwriting the first."""
-        base = (now or _dt.datetime.now(_dt.timezone.utc)).strftime("%Y%m%d_%H%M%S")
+    def committed(self, dataset_id) -> list[tuple[int, str]]:
+        """(number, upload) of every logged upload: a row per upload."""
         s = self.schemas()
         if s is None:
-            return None, base
-        mine = s.filter(F.col("dataset_id") == str(dataset_id))
-        st = mine.agg(F.max("upload").alias("latest"),
-                      F.count_distinct(F.when(F.col("upload").startswith(base), F.col("upload"))).alias("taken")).first()
-        if st["latest"] is None:
-            return None, base
-        old = mine.filter(F.col("upload") == st["latest"]).select("ordinal", "column_name", "type", "nullable")
-        return old, (base if st["taken"] == 0 else f"{base}_{st['taken'] + 1}")
+            return []
+        mine = s.filter(F.col("dataset_id") == str(dataset_id)).groupBy("seq", "upload").agg(F.lit(1))
+        return sorted((r["seq"], r["upload"]) for r in mine.collect())
+
+    def seen_sources(self, dataset_id) -> set[str]:
+        """Names of the sources that are stored or were refused."""
+        logs = [x for x in (self.schemas(), self._reports()) if x is not None]
+        return {r["source"] for x in logs for r in x.filter(F.col("dataset_id") == str(dataset_id)).select("source").distinct().collect()}
+
+    def _reports(self) -> DataFrame | None:
+        try:
+            return self.uploads()
+        except Exception as e:  # noqa: BLE001 -- no report yet
+            if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+                return None
+            raise
 
     # -- S4
     def upload_csv(self, dataset_id, source: str, now: _dt.datetime | None = None, sep: str = ",") -> dict:
-        """Gate -> infer -> drift check -> append Parquet -> save schema ->
-        report.  Returns the report row as a dict (also appended to the
-        uploads table)."""
-        name = source_name(source)
-        rep = dict(dataset_id=str(dataset_id), source=name, accepted=False, upload=None, row_count=None,
-                   n_columns=None, is_first_upload=None, errors=[], warnings=[])
-        if not csv_gate_ok(name):
-            rep["errors"] = ["Only CSV files are allowed"]
-            return self._report(rep)
-        df, new_schema, _ = infer_csv(self.spark, source, sep)
-        old, stamp = self._log_state(dataset_id, now)
-        verdict = C.drift_verdict(C.schema_drift(new_schema, old)).first()
-        rep.update(is_first_upload=old is None, errors=list(verdict["errors"]), warnings=list(verdict["warnings"]),
-                   n_columns=len(df.columns))
-        if not verdict["valid"]:
-            return self._report(rep)
-        df.write.mode("errorifexists").parquet(f"{self.data_dir(dataset_id)}/upload={stamp}")
-        written = self.spark.read.parquet(f"{self.data_dir(dataset_id)}/upload={stamp}")
-        row_count = written.count()  # footer-level count of what was stored
-        created = (now or _dt.datetime.now(_dt.timezone.utc)).replace(tzinfo=None)
-        (new_schema.withColumn("dataset_id", F.lit(str(dataset_id))).withColumn("upload", F.lit(stamp))
-         .withColumn("row_count", F.lit(row_count).cast("bigint"))
-         .withColumn("created_at", F.lit(created).cast("timestamp_ntz"))
-         .coalesce(1).write.mode("append").parquet(self.schemas_dir))
-        rep.update(accepted=True, upload=stamp, row_count=row_count)
-        return self._report(rep)
-
-    def _report(self, rep: dict) -> dict:
-        self.spark.createDataFrame([rep], REPORT_SCHEMA).coalesce(1).write.mode("append").parquet(self.uploads_dir)
-        return rep
+        """Gate -> infer -> drift check -> append Parquet -> log.  Returns
+        the report row as a dict (also appended to the uploads table)."""
+        return self._upload(dataset_id, [(source, now)], sep)[0]
+
+    def _upload(self, dataset_id, sources: list[tuple[str, _dt.datetime | None]], sep: str = ",") -> list[dict]:
+        """Several sources in order, each accepted or rejected on its own: read
+        side by side, checked one after the other on their schemas (a few names
+        each), written side by side, logged last."""
+        done = self.committed(dataset_id)
+        old = self.current_schema(dataset_id)
+        in_force = None if old is None else {r["column_name"]: r["type"] for r in old.orderBy("ordinal").collect()}
+        taken, seq = {u for _, u in done}, max((n for n, _ in done), default=0)
+        with ThreadPoolExecutor(PARALLEL) as pool:
+            read = list(pool.map(lambda x: CsvSource(self.spark, x[0], sep) if csv_gate_ok(source_name(x[0])) else None, sources))
+            reports, accepted = [], []
+            for (path, now), src in zip(sources, read):
+                rep = dict(dataset_id=str(dataset_id), source=source_name(path), accepted=False, upload=None, row_count=None,
+                           n_columns=None, is_first_upload=None, errors=[], warnings=[])
+                reports.append(rep)
+                if src is None:
+                    rep["errors"] = ["not a .csv source"]
+                    continue
+                errors, rep["warnings"] = C.drift_lists(src.types, in_force)
+                bad = [f"{src.malformed} rows with too many or too few cells"] if src.malformed else []
+                rep.update(is_first_upload=in_force is None, n_columns=len(src.columns), errors=errors + bad)
+                if rep["errors"]:
+                    continue
+                at = now or _dt.datetime.now(_dt.timezone.utc)
+                base = stamp = at.strftime("%Y%m%d_%H%M%S")
+                n = 1
+                while stamp in taken:  # a second upload in the same second never replaces the first
+                    n += 1
+                    stamp = f"{base}_{n}"
+                taken.add(stamp)
+                seq += 1
+                rep.update(accepted=True, upload=stamp, row_count=src.row_count)
+                in_force = src.types
+                accepted.append((rep, src, seq, at.replace(tzinfo=None)))
+
+            def write(x: tuple) -> None:
+                # what an upload that failed before it was logged may have left here is replaced
+                x[1].typed().write.mode("overwrite").parquet(f"{self.data_dir(dataset_id)}/upload={x[0]['upload']}")
+
+            list(pool.map(write, accepted))
+        log = [(i, c, t, True, str(dataset_id), rep["upload"], n, rep["source"], rep["row_count"], at)
+               for rep, src, n, at in accepted for i, (c, t) in enumerate(src.types.items())]
+        if log:
+            self.spark.createDataFrame(log, SCHEMA_LOG).coalesce(1).write.mode("append").parquet(self.schemas_dir)
+        self.spark.createDataFrame(reports, REPORT_SCHEMA).coalesce(1).write.mode("append").parquet(self.uploads_dir)
+        return reports
 
     # -- S5
     def upload_many(self, dataset_id, folder: str, now: _dt.datetime | None = None) -> DataFrame:
         """Every source of a drop folder in name order, each accepted or
         rejected on its own; returns the report rows of this batch."""
         names = sorted(r["source"] for r in list_drop_folder(self.spark, folder).select("source").collect())
-        reps = []
-        for i, n in enumerate(names):
-            t = (now + _dt.timedelta(seconds=i)) if now else None
-            reps.append(self.upload_csv(dataset_id, f"{folder.rstrip('/')}/{n}", now=t))
-        return self.spark.createDataFrame(reps, REPORT_SCHEMA)
+        return self.spark.createDataFrame(self.upload_sources(dataset_id, folder, names, now), REPORT_SCHEMA)
+
+    def upload_sources(self, dataset_id, folder: str, names: list[str], now: _dt.datetime | None = None) -> list[dict]:
+        """The named sources of a drop folder, in order."""
+        at = [now + _dt.timedelta(seconds=i) if now else None for i in range(len(names))]
+        return self._upload(dataset_id, [(f"{folder.rstrip('/')}/{n}", t) for n, t in zip(names, at)])
 
     # -- S6 / S8
     def read_all(self, dataset_id) -> DataFrame:
-        """The dataset over all uploads; columns absent from older
-        uploads come back null; unreadable files are skipped."""
-        return (self.spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True)
-                .parquet(self.data_dir(dataset_id)))
+        """The dataset over all logged uploads; columns absent from
+        older uploads come back null.  A damaged file raises."""
+        paths = [f"{self.data_dir(dataset_id)}/upload={u}" for _, u in self.committed(dataset_id)]
+        return self.spark.read.option("mergeSchema", True).option("basePath", f"{self.root}/data").parquet(*paths)
 
-    # -- S7
+# -- S7
     def list_uploads(self, dataset_id) -> DataFrame:
         return list_uploads(self.spark, self.data_dir(dataset_id))
 
@@ -221,50 +302,75 @@ def list_uploads(spark: SparkSession, dataset_dir: str) -> DataFrame:
             .orderBy("upload", "file_name"))
 
 
+def upload_order(upload: str = "upload") -> list[Column]:
+    """Order of upload names: by stamp, then by its number within the second
+    (``_10`` after ``_9``); other names by their text."""
+    stamp = F.regexp_extract(upload, r"^([0-9]{8}_[0-9]{6})(_[0-9]+)?$", 1)
+    n = F.regexp_extract(upload, r"^[0-9]{8}_[0-9]{6}_([0-9]+)$", 1)
+    return [F.when(stamp != "", stamp).otherwise(F.col(upload)), F.coalesce(n.try_cast("bigint"), F.lit(1)), F.col(upload)]
+
+
+# A Parquet file without rows holds a schema and no more; a larger file without rows isn't one.
+EMPTY_FILE_BYTES = 16 << 20
+
+
+def _empty_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Those of the files that are Parquet without rows (not damaged), looked
+    into by Spark tasks."""
+    import pyarrow as pa
+
+    def look(batches):
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            rows = []
+            for data in batch.column("content"):
+                try:
+                    rows.append(pq.read_metadata(pa.BufferReader(data.as_buffer())).num_rows)
+                except (pa.ArrowException, OSError):
+                    rows.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(rows, type=pa.int64())], names=["file_path", "rows"])
+
+    files = spark.read.format("binaryFile").load(paths).filter(F.col("length") <= EMPTY_FILE_BYTES)
+    return files.select("path", "content").mapInArrow(look, "file_path string, rows long").filter("rows = 0")
+
+
 def dataset_history(spark: SparkSession, dataset_dir: str) -> DataFrame:
-    """Per upload in name order: ISO timestamp (raw text when the name is
-    no stamp), name, rows added, cumulative rows, bytes, cumulative bytes.
+    """Per upload in order: ISO timestamp (raw text when the name is no
+    stamp), name, rows added, cumulative rows, bytes, cumulative bytes.
     Unreadable files are skipped and not counted.
 
-    Row counts come from one column-less scan grouped by file; files that
-    gave no rows are probed one by one (empty vs unreadable) -- only those.
+    Row counts come from one column-less scan (footers only) grouped by file;
+    the files that gave no rows are looked into together, in tasks, to tell
+    empty from unreadable ones.  Only the sums per upload are ordered.
     """
     files = list_uploads(spark, dataset_dir).select("file_path", "file_size", "upload")
     data = spark.read.option("ignoreCorruptFiles", True).parquet(dataset_dir)
     counts = data.select(F.col("_metadata.file_path").alias("file_path")).groupBy("file_path") \
         .agg(F.count(F.lit(1)).alias("rows"))
-    per_file = files.join(counts, "file_path", "left")
-    silent = [r["file_path"] for r in per_file.filter(F.col("rows").isNull()).select("file_path").collect()]
-    readable_empty = []
-    for p in silent:
-        try:
-            # a footer read only: a readable file yields a schema, a corrupt one none
-            spark.read.option("ignoreCorruptFiles", True).parquet(p).schema
-            readable_empty.append(p)
-        except Exception:  # noqa: BLE001 -- unreadable: skipped
-            pass
-    per_file = per_file.filter(F.col("rows").isNotNull() | F.col("file_path").isin(readable_empty) if readable_empty
-                               else F.col("rows").isNotNull()) \
-        .withColumn("rows", F.coalesce("rows", F.lit(0)))
-    per_upload = per_file.groupBy("upload").agg(F.sum("rows").cast("bigint").alias("rows_added"),
-                                                F.sum("file_size").cast("bigint").alias("file_size_bytes"))
-    # one dataset's uploads: a small, already-aggregated table (one row per upload)
-    w = Window.orderBy("upload").rowsBetween(Window.unboundedPreceding, 0)
+    silent = [r["file_path"] for r in files.join(counts, "file_path", "left_anti").select("file_path").collect()]
+    if silent:
+        counts = counts.unionByName(_empty_files(spark, silent))
+    good = files.join(counts, "file_path")
+    per_upload = good.groupBy("upload").agg(F.sum("rows").alias("rows_added"), F.sum("file_size").alias("file_size_bytes"))
+    # one row per upload of one dataset
+    w = Window.orderBy(*upload_order()).rowsBetween(Window.unboundedPreceding, 0)
     return per_upload.select(
         S.parse_upload_stamp("upload").alias("timestamp"), F.col("upload").alias("filename"),
         "rows_added", F.sum("rows_added").over(w).alias("cumulative_rows"),
         "file_size_bytes", F.sum("file_size_bytes").over(w).alias("cumulative_file_size_bytes"))
 
 
-def preview(spark: SparkSession, dataset_dir: str, n: int = 10) -> DataFrame:
-    """L2: the first n rows of the oldest upload, ordered by the first column,
-    temporal values as ISO text, with that upload's row count."""
-    first = list_uploads(spark, dataset_dir).agg(F.min("upload")).first()[0]
-    df = spark.read.option("ignoreCorruptFiles", True).parquet(f"{dataset_dir.rstrip('/')}/upload={first}")
+def preview(spark: SparkSession, dataset_dir: str, n: int = 10, upload: str | None = None) -> DataFrame:
+    """L2: the first n rows of one upload (the oldest unless named), ordered by
+    the first column, temporal values as ISO text, with that upload's row count."""
+    if upload is None:
+        upload = list_uploads(spark, dataset_dir).select("upload").distinct().orderBy(*upload_order()).first()[0]
+    df = spark.read.parquet(f"{dataset_dir.rstrip('/')}/upload={upload}")
     cols = [S.isoformat(c).alias(c) if t.startswith("timestamp") else F.col(c) for c, t in df.dtypes]
     total = df.agg(F.count(F.lit(1))).scalar()
     return (df.orderBy(df.columns[0]).limit(n).select(*cols)
-            .withColumn("file_row_count", total).withColumn("upload", F.lit(first)))
+            .withColumn("file_row_count", total).withColumn("upload", F.lit(upload)))
 
 
 def check_upload_size(listing: DataFrame, max_file: int = MAX_FILE_BYTES,
@@ -282,7 +388,7 @@ def export_rows(df: DataFrame, path: str, fmt: str = "csv") -> str:
     """Export rows as CSV (with header) or JSON lines; returns the path."""
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        _csv_options(w.option("header", True)).csv(path)
     elif fmt == "json":
         w.json(path)
     else:
@@ -290,6 +396,12 @@ def export_rows(df: DataFrame, path: str, fmt: str = "csv") -> str:
     return path
 
 
+def _csv_options(writer, sep: str = ","):
+    """Quotes doubled inside quotes, spaces kept: what ``csv_reader`` reads."""
+    return (writer.option("sep", sep).option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
 def write_run_table(df: DataFrame, path: str, run: str, order: list[str], partition_col: str,
                     partitions: int | None = None) -> str:
     """Append a run table partitioned by ``partition_col`` (e.g. day),
@@ -306,6 +418,6 @@ def write_run_table(df: DataFrame, path: str, run: str, order: list[str], partit
 
 def stage_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> str:
     """Write a CSV upload source (a folder of part files)."""
-    df.write.mode("overwrite").option("header", header).option("sep", sep).csv(path)
+    _csv_options(df.write.mode("overwrite").option("header", header), sep).csv(path)
     return path
 

@@ -2,8 +2,11 @@
 
 Sources are file streams (new Parquet / CSV files in a folder); every query
 is checkpointed in the shared checkpoint folder and written through
-``foreachBatch`` to a Parquet table (no driver-side memory sink).  Tests and
-the query catalog drive them with ``trigger(availableNow=True)``.
+``foreachBatch`` to a Parquet table (no driver-side memory sink).  A micro-batch
+may run again after a failure: each writes its own ``epoch=`` partition and
+replaces it, so a table never holds a batch twice, and readers of another epoch
+are not disturbed.  Tests and the query catalog drive them with
+``trigger(availableNow=True)``.
 """
 
 from __future__ import annotations
@@ -56,41 +59,58 @@ def dedup_reruns(outputs: DataFrame, keys: list[str], watermark: str = "1 day",
     return outputs.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
+def epoch_sink(out_path: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes a batch as its epoch's partition,
+    replacing what an earlier attempt at the same epoch left."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        rows = transform(batch) if transform else batch
+        rows.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+    return sink
+
+
 def run_to_table(stream: DataFrame, out_path: str, checkpoint: str, mode: str = "append",
                  transform: Callable[[DataFrame], DataFrame] | None = None) -> str:
     """Run a streaming query to the end of the available input
-    (``availableNow``) into a Parquet table.  ``complete`` results replace the
-    table each micro-batch; ``append`` / ``update`` rows are appended."""
-    def sink(batch: DataFrame, epoch: int) -> None:
-        b = transform(batch) if transform else batch
-        b.write.mode("overwrite" if mode == "complete" else "append").parquet(out_path)
-
+    (``availableNow``) into a Parquet table with a partition per epoch."""
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-         .foreachBatch(sink).trigger(availableNow=True).start())
+         .foreachBatch(epoch_sink(out_path, transform)).trigger(availableNow=True).start())
     q.awaitTermination()
     return out_path
 
 
-def ingest_stream(spark: SparkSession, drop_folder: str, store, dataset_id, checkpoint: str,
-                  report_path: str, max_files: int = 2) -> str:
-    """ST4: CSV files arriving in a drop folder are drift-checked and
-    appended (S4) micro-batch by micro-batch; the upload reports are
-    appended to ``report_path``.  Only the file names of a batch (bounded by
-    ``max_files``) reach the driver; the rows are read by Spark."""
-    from vellum.sources.ingest import REPORT_SCHEMA
+def read_result(spark: SparkSession, out_path: str, mode: str, keys: list[str] = ()) -> DataFrame:
+    """The state of a table that ``run_to_table`` wrote: all rows (``append``),
+    those of the last epoch (``complete``) or of each key's last one (``update``)."""
+    rows = spark.read.parquet(out_path)
+    if mode == "append":
+        return rows.drop("epoch")
+    if mode == "complete":
+        return rows.filter(F.col("epoch") == rows.agg(F.max("epoch")).scalar()).drop("epoch")
+    values = [c for c in rows.columns if c not in (*keys, "epoch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_last"))
+    return last.select(*keys, "_last.*")
 
+
+def ingest_stream(spark: SparkSession, drop_folder: str, store, dataset_id, checkpoint: str,
+                  report_path: str, max_files: int = 100) -> str:
+    """ST4: CSV sources arriving in a drop folder are drift-checked and
+    appended (S4) micro-batch by micro-batch.  A source is a file or a folder of
+    part files directly under the drop folder, as in S5; names that the gate refuses
+    are reported.  A source is taken once: whatever the dataset's logs name is
+    skipped, also when a batch runs again.  Only the names of a batch reach the driver."""
+    from vellum.sources.ingest import REPORT_SCHEMA, source_in
+
+    folder = drop_folder.rstrip("/")
     listing = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
                             T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
-    files = (spark.readStream.format("binaryFile").schema(listing).option("pathGlobFilter", "*.[cC][sS][vV]")
-             .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files)
-             .load(drop_folder).select("path"))
+    files = (spark.readStream.format("binaryFile").schema(listing).option("recursiveFileLookup", "true")
+             .option("maxFilesPerTrigger", max_files).load(folder).select("path"))
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        paths = sorted(r["path"] for r in batch.collect())
-        reps = [store.upload_csv(dataset_id, p) for p in paths]
+        names = {r["source"] for r in batch.select(source_in(folder).alias("source")).distinct().collect()}
+        reps = store.upload_sources(dataset_id, folder, sorted(names - store.seen_sources(dataset_id)))
         if reps:
-            spark.createDataFrame(reps, REPORT_SCHEMA).withColumn("epoch", F.lit(epoch)) \
-                .write.mode("append").parquet(report_path)
+            spark.createDataFrame(reps, REPORT_SCHEMA).write.mode("overwrite").parquet(f"{report_path}/epoch={epoch}")
 
     q = (files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
          .trigger(availableNow=True).start())
