@@ -40,3 +40,58 @@ def test_small_dimension_is_broadcast(spark, sf_small):
 def test_top_k_page_does_not_sort_everything(spark, sf_small):
     p = plan(Q["recent_n"](spark, sf_small))
     assert "TakeOrderedAndProject" in p
+
+
+def jobs_before_the_action(spark, build) -> int:
+    """Jobs that building a query starts by itself."""
+    spark.sparkContext.setJobGroup("build", "build")
+    build()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup("build"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return n
+
+
+def test_no_eager_size_checks(spark, sf_small):
+    from vellum.operators import registry as R
+    from vellum.operators import validate as V
+    from vellum.plans.fixtures import Fixtures
+
+    fx = Fixtures(spark, sf_small)
+    suites, evals, datasets = fx.reg_suites, fx.reg_evals, fx.reg_datasets
+    assert jobs_before_the_action(spark, lambda: R.suite_with_dataset(suites, datasets)) == 0
+    assert jobs_before_the_action(spark, lambda: V.check_references(evals, "suite_id", suites, "suite")) == 0
+    assert jobs_before_the_action(spark, lambda: V.check_unique_name(suites)) == 0
+
+
+def test_counts_are_checked_in_one_scan(spark, sf_small):
+    from vellum.operators import validate as V
+
+    orders = spark.read.parquet(f"{sf_small}/orders.parquet")
+    p = plan(V.check_counts(orders, ["o_custkey", "o_totalprice", "o_orderstatus"], "o_orderkey"))
+    assert p.count("Scan parquet") == 2  # once in the tree, once in its details
+
+
+def test_text_metrics_shuffle_no_grams(spark):
+    from vellum.functions import metrics as M
+
+    df = spark.createDataFrame([("a b c", "a b d")], "reference string, output string")
+    assert plan(M.bleu(df)).count("Exchange SinglePartition") + plan(M.bleu(df)).count("Exchange (") <= 3
+    assert "SortMergeJoin" not in plan(M.bleu(df)) and "BroadcastHashJoin" not in plan(M.bleu(df))
+
+
+def test_path_expression_grows_with_its_length(spark):
+    from vellum.operators import pipeline as P
+
+    df = spark.createDataFrame([("{}",)], "r string")
+    size = lambda n: len(P.postprocess_path(df, "r", ["0"] * n)._jdf.queryExecution().analyzed().toString())
+    assert size(8) < 3 * size(4)
+
+
+def test_deep_page_takes_one_page(spark, sf_small):
+    import datetime as dt
+
+    from vellum.operators import registry as R
+    from vellum.plans.fixtures import Fixtures
+
+    p = plan(R.page_after(Fixtures(spark, sf_small).reg_suites, dt.datetime(1995, 1, 1), 5, 20))
+    assert "TakeOrderedAndProject" in p

@@ -92,6 +92,7 @@ def source_in(folder: str, path: str = "path") -> Column:
 
 def csv_reader(spark: SparkSession, sep: str = ",", multi_line: bool = True):
     """Reader for CSV as tools write it: quoted line breaks and doubled quotes.
+    An empty cell is null, quoted or not.
 
     ``multi_line`` keeps a quoted cell with line breaks whole; a file is then
     read by one task, so large uploads should come as folders of parts.
