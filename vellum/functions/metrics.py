@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.plans.prefix import prefix_sums
+from vellum.session import ship_code
 
 # Names of the averaged rows of a classification report.
 AVERAGE_ROWS = ["macro avg", "micro avg", "weighted avg"]
@@ -203,6 +204,7 @@ def ngram_overlap(df: DataFrame, keep: list[str], ref: str, out: str, orders=(1,
                 rows.append([dict(zip(counts.names, (n, *x, out_len, ref_len))) for n, x in zip(orders, per)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rows, type=kind)], names=schema.names)
 
+    ship_code(df.sparkSession)
     return base.mapInArrow(run, schema).select(*keep, F.inline("per"))
 
 
