@@ -305,8 +305,8 @@ def test_upload_sequence_and_history(spark, sf_small):
     q = E.queries()
     rep = {r["source"]: r for r in q["multi_file_upload"](spark, sf_small).collect()}
     assert [rep[s]["accepted"] for s in sorted(rep)] == [True, False, True, False, True, False, True, False]
-    assert rep["06_notes.txt"]["errors"] == ["not a .csv source"]
-    assert rep["03_extra_note.csv"]["warnings"] == ["added: note"]
+    assert rep["06_notes.txt"]["errors"] == "not a .csv source"
+    assert rep["03_extra_note.csv"]["warnings"] == "added: note"
     hist = q["dataset_history"](spark, sf_small).collect()
     assert len(hist) == 30  # the partition holding only a non-Parquet file is skipped
     assert hist[-1]["timestamp"] == "manual-import" and hist[-1]["cumulative_rows"] == 1000

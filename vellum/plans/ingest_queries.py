@@ -312,9 +312,17 @@ def schema_override(fx: Fixtures):
     return report
 
 
-@query("response_schema_detect")
+# Fixed value: the shape of the fixture's responses.
+_RESPONSE_SHAPE = "OBJECT<content: OBJECT<choices: ARRAY<OBJECT<text: STRING>>>, props: OBJECT<k: BIGINT>>"
+
+
+@query("response_schema_detect", f"""
+select '{_RESPONSE_SHAPE}' as schema, count(*) as responses from responses where json_type(response, '$.content.choices[0].text') = 'VARCHAR'
+ and json_type(response, '$.props.k') in ('UBIGINT', 'BIGINT')
+""", ["responses"])
 def response_schema_detect(fx: Fixtures):
-    return C.response_schema(fx.responses, "response")
+    n = fx.responses.agg(F.count(F.lit(1)))
+    return C.response_schema(fx.responses, "response").withColumn("responses", n.scalar())
 
 
 # ------------------------------------------------------------------ S6, S9 - S12, A1, A7
