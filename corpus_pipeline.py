@@ -18,6 +18,10 @@ from vellum.llm.queries import rank_file
 from vellum.sources.tables import table
 
 
+# Executors still hold memory of the stages before when the last one encodes.
+REMEMBERED_PIECES = 250_000
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows without an identifiable language."""
     return langid.keep_identified(docs)
@@ -43,7 +47,7 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of each document's whole text, and digests of the ids and of
     the text they decode to."""
     return bpe.encode(docs, rank_file(), public_tokenizers.PATTERN, ids="ids", n_tokens="n_tokens", ids_sha256="ids_sha256",
-                      decoded_sha256="decoded_sha256")
+                      decoded_sha256="decoded_sha256", remembered=REMEMBERED_PIECES)
 
 
 STAGES = [

@@ -46,7 +46,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder for one rank table and split pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.bytes_of = {r: b for b, r in ranks.items()}
@@ -155,7 +156,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         cut = [self.split(t) for t in texts]
         known = self.known
@@ -169,15 +170,17 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def _codec(tokens: bytes, pattern: str) -> Codec:
-    return Codec({base64.b64decode(a): int(b) for a, b in (x.split() for x in tokens.splitlines())}, pattern)
+def _codec(tokens: bytes, pattern: str, remembered: int) -> Codec:
+    return Codec({base64.b64decode(a): int(b) for a, b in (x.split() for x in tokens.splitlines())}, pattern, remembered)
 
 
 def encode(docs: DataFrame, tokens: bytes, pattern: str, text: str = "text", *, ids: str | None = None,
-           n_tokens: str | None = None, ids_sha256: str | None = None, decoded_sha256: str | None = None) -> DataFrame:
+           n_tokens: str | None = None, ids_sha256: str | None = None, decoded_sha256: str | None = None,
+           remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` without ``text`` and with those of the four columns that get a
     name: the ids (array of int), their number, and the digests of the packed ids and of
-    the bytes they decode to.  ``tokens`` is the rank file's content, of fixed size.
+    the bytes they decode to.  ``tokens`` is the rank file's content, of fixed size;
+    ``remembered`` is how many pieces a task may remember, about 200 bytes each.
     """
     kinds = ((ids, T.ArrayType(T.IntegerType())), (n_tokens, T.LongType()), (ids_sha256, T.StringType()),
              (decoded_sha256, T.StringType()))
@@ -185,7 +188,7 @@ def encode(docs: DataFrame, tokens: bytes, pattern: str, text: str = "text", *,
     held = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def make(texts: list[str | None]) -> list[list]:
-        codec = _codec(held.value, pattern)
+        codec = _codec(held.value, pattern, remembered)
         packed = list(codec.encode([t or "" for t in texts]))
         made = []
         if ids:

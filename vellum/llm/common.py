@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vellum.session import scratch_path
+from vellum.session import scratch_path, ship_code
 
 # ASCII white space, and the words between it.
 SPACE = "\\x20\\x09-\\x0D"
@@ -54,8 +54,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below the shared checkpoint folder and read again."""
+# Files per task slot of a table that is saved after a shuffle.
+FILES_PER_SLOT = 4
+
+
+def saved(df: DataFrame, name: str, shuffled: bool = False) -> DataFrame:
+    """``df`` written below the shared checkpoint folder and read again.
+
+    With ``shuffled``, for slim rows that come from a shuffle, the tasks that
+    write are as many as keep every slot of the cluster busy: with more
+    shuffle partitions than that, most files would hold a few rows.
+    """
+    if shuffled:
+        df = df.coalesce(FILES_PER_SLOT * df.sparkSession.sparkContext.defaultParallelism)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -154,6 +165,7 @@ def with_made(docs: DataFrame, text: str, added: T.StructType, make: Callable[[l
     clash = {c.lower() for c in kept} & {f.name.lower() for f in added}
     if clash:
         raise ValueError(f"columns {sorted(clash)} are there already; give other names")
+    ship_code(docs.sparkSession)
     whole, = fresh(docs, "whole_text")
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(whole))
     schema = T.StructType([*[f for f in source.schema if f.name != whole], *added])
@@ -171,15 +183,17 @@ def with_made(docs: DataFrame, text: str, added: T.StructType, make: Callable[[l
     return source.mapInArrow(run, schema)
 
 
-def where_text(docs: DataFrame, text: str, test: Callable[[str | None], bool]) -> DataFrame:
-    """The rows of ``docs`` whose text passes ``test``, all columns as they are."""
+def where_text(docs: DataFrame, text: str, test: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text passes ``test``, which answers for a list
+    of texts; all columns as they are."""
+    ship_code(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, n in _runs(batch.column(at)):
                 part = batch.slice(start, n)
-                yield part.filter(pa.array([test(t) for t in part.column(at).to_pylist()], type=pa.bool_()))
+                yield part.filter(pa.array(test(part.column(at).to_pylist()), type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.common import saved, where_text, with_made
+from vellum.session import ship_code
 
 FIT_ROWS = 20_000
 MAX_WORDS = 50_000
@@ -39,7 +40,7 @@ LONGEST_GRAM = 5
 SEED = 7
 UNKNOWN = "und"
 # Words remembered by a task: a bound of memory, not of input.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 words_of = regex.compile(r"\p{L}+").findall
 
@@ -54,6 +55,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", *, fit_rows
         max_grams: int = MAX_GRAMS, longest: int = LONGEST_GRAM, seed: int = SEED) -> Model:
     """Model of the rows with a text and a language; sampled by a hash of the
     text when there are more than ``fit_rows``."""
+    ship_code(labelled.sparkSession)
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(
         "lang is not null and text is not null")
     share = min(1.0, fit_rows / max(1, rows.count()))
@@ -115,7 +117,8 @@ class Model:
             return np.array([math.log10(totals[x, size] / by[x]) if x in by else penalty for x in self.langs])
 
         self.words = {w: vector(by, 0) for w, by in words.items()}
-        self.parts = {g: vector(by, len(g)) for g, by in parts.items()}
+        self.gram_row = {g: i for i, g in enumerate(parts)}
+        self.gram_table = np.array([vector(by, len(g)) for g, by in parts.items()]).reshape(len(parts), len(self.langs))
         self._start()
 
     def _start(self) -> None:
@@ -130,41 +133,62 @@ class Model:
         self.__dict__ |= state
         self._start()
 
-    def score_word(self, word: str) -> np.ndarray | None:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        for n in range(min(self.longest, len(word) + 2), 0, -1):
-            found = [self.parts[g] for g in grams(word, n) if g in self.parts]
-            if found:
-                return sum(found) / len(found)
-        return None
-
-    def _remember(self, word: str) -> int:
-        at = self.row[word] = len(self.row)
-        if at >= len(self.table):
+    def _learn(self, words: list[str]) -> None:
+        """Remember the scores of these words, all words of one backoff step
+        together."""
+        first = len(self.row)
+        self.row.update(zip(words, range(first, first + len(words))))
+        while len(self.row) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        scores = self.score_word(word)
-        if scores is not None:
-            self.table[at, :-1] = scores
-            self.table[at, -1] = 1  # counts the words with a score
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text.lower()) if text else []
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
+        todo = []
+        for w in words:
+            known = self.words.get(w)
+            if known is None:
+                todo.append(w)
+            else:
+                self.table[self.row[w], :-1] = known
+                self.table[self.row[w], -1] = 1  # counts the words with a score
+        get = self.gram_row.get
+        for n in range(self.longest, 0, -1):
+            hit, flat, starts, rest = [], [], [], []
+            for w in todo:
+                padded = w if n == 1 else f" {w} "
+                found = [g for i in range(len(padded) - n + 1) if (g := get(padded[i:i + n])) is not None]
+                if found:
+                    hit.append(self.row[w])
+                    starts.append(len(flat))
+                    flat += found
+                else:
+                    rest.append(w)
+            if hit:
+                sums = np.add.reduceat(self.gram_table[flat], starts)
+                self.table[hit, :-1] = sums / np.diff([*starts, len(flat)])[:, None]
+                self.table[hit, -1] = 1
+            todo = rest
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
         if len(self.row) > REMEMBERED:
             self._start()
-        rows = list(map(self.row.get, words))
-        if None in rows:
-            rows = [self.row[w] if w in self.row else self._remember(w) for w in words]
-        total = self.table[rows].sum(axis=0)
-        if total[-1] == 0:
-            return self.fallback, 1 / len(self.langs)
-        means = total[:-1] / total[-1]
-        best = int(means.argmin())
-        return self.langs[best], float(1 / np.power(10.0, means[best] - means).sum())
+        split = [words_of(t.lower()) if t else [] for t in texts]
+        self._learn(list(dict.fromkeys(w for words in split for w in words if w not in self.row)))
+        get, out = self.row.__getitem__, []
+        for words in split:
+            if not words:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = self.table[np.fromiter(map(get, words), dtype=np.int64, count=len(words))].sum(axis=0)
+            if total[-1] == 0:
+                out.append((self.fallback, 1 / len(self.langs)))
+                continue
+            means = total[:-1] / total[-1]
+            best = int(means.argmin())
+            out.append((self.langs[best], float(1 / np.power(10.0, means[best] - means).sum())))
+        return out
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.predict_all([text])[0]
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", *, lang: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -172,7 +196,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", *, lang: str = "l
     winner's share of the languages' mean word probabilities (0 to 1)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     added = T.StructType([T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    return with_made(docs, text, added, lambda texts: [list(x) for x in zip(*map(held.value.predict, texts))])
+    return with_made(docs, text, added, lambda texts: [list(x) for x in zip(*held.value.predict_all(texts))])
 
 
 def identify(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -189,8 +213,7 @@ def keep_identified(docs: DataFrame, lang: str = "lang", text: str = "text", lea
     """
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, lang, text))
 
-    def identified(whole: str | None) -> bool:
-        name, score = held.value.predict(whole)
-        return name != UNKNOWN and score >= least
+    def identified(texts: list[str | None]) -> list[bool]:
+        return [name != UNKNOWN and score >= least for name, score in held.value.predict_all(texts)]
 
     return where_text(docs, text, identified)

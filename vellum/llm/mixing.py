@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import fresh, repeated, saved, word_count
+from vellum.session import ship_code
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -147,6 +148,7 @@ def mix(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str = "t
     ``sources`` is an array column (null: no source).  Returns the frame, the two
     columns' names, each source's size and each source's target.
     """
+    ship_code(docs.sparkSession)
     size, copies, pattern, h, plan_key = fresh(docs, "size", "copies", "pattern", "h", "plan_pattern")
     members = F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))
     members = F.concat(F.array_sort(F.filter(members, lambda s: s.isNotNull())), F.filter(members, lambda s: s.isNull()))
