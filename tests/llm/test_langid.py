@@ -60,3 +60,17 @@ def test_held_out_accuracy(spark):
     assert out.filter(F.col("held_out") != fold(4, 2)).count() == 0
     right, all_ = out.filter("held_out").agg(F.count(F.when(F.col("lang") == F.col("lang_pred"), 1)), F.count("*")).first()
     assert all_ > 200 and right >= 0.99 * all_
+
+
+def test_copies_and_a_hot_language_leave_rare_ones_whole(spark):
+    """Many copies count once, and sample and model have room for each language."""
+    hot = [(i, "en", " ".join(f"w{chr(97 + i % 26)}{chr(97 + j)}" for j in range(26))) for i in range(300)]
+    hot += [(1000 + i, "en", "copy of copies") for i in range(600)]
+    rare = [(5000 + i, "xx", f"qoq zaz {'yiy ' * (i + 1)}") for i in range(3)]
+    docs = spark.createDataFrame(hot + rare, "doc_id long, lang string, text string")
+    model = langid.fit(docs, fit_rows=30, max_words=50, max_grams=50)
+    assert model.langs == ["en", "xx"]
+    assert {"qoq", "zaz", "yiy"} <= set(model.words)
+    assert " qoq " in model.gram_row
+    assert "copies" not in model.words  # a text once, however many copies: a single occurrence
+    assert model.predict("zaz qoq")[0] == "xx"

@@ -6,10 +6,10 @@ unseen word the longest character n-grams that any language knows stand in, then
 shorter ones, down to single letters; the word's score is the mean over its known
 n-grams.  A text's score in a language is the mean over all its words; the lowest wins.
 
-The model is fitted with Spark on a seeded sample of labelled rows of about
-``FIT_ROWS`` and holds at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams, the
-most frequent ones; these parameters bound what is broadcast.  Every text is
-scored whole, in its task, without a shuffle.
+The model is fitted with Spark on a language's labelled rows or, of more than
+``FIT_ROWS`` rows, on a seeded sample of about as many of its distinct texts.  It holds each language's ``MAX_WORDS`` most frequent
+words and ``MAX_GRAMS`` most frequent n-grams; these parameters and the number of languages bound what is
+broadcast.  Every text is scored whole, in its task, without a shuffle.
 
 Defined cases: a null text and a text without a letter are ``und`` with score 0.  Without
 labelled rows everything is ``und``.  A text of letters that no language knows gets
@@ -53,15 +53,22 @@ def grams(word: str, n: int) -> list[str]:
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", *, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS,
         max_grams: int = MAX_GRAMS, longest: int = LONGEST_GRAM, seed: int = SEED) -> Model:
-    """Model of the rows with a text and a language; sampled by a hash of the
-    text when there are more than ``fit_rows``."""
+    """Model of the rows with a text and a language; a language with more than
+    ``fit_rows`` rows counts equal texts once and is sampled by a hash of the text."""
     ship_code(labelled.sparkSession)
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(
         "lang is not null and text is not null")
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    # Equal texts share a hash, so a group of copies is taken or left as one: take one row of each.
-    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.crc32(F.col("text").cast("binary")), F.length("text")), 1)
-    rows = rows.filter(hashed.cast("double") < F.lit(share * float(1 << 63)))
+    slim = rows.select("lang", F.xxhash64(F.lit(seed), "text").alias("h1"), F.xxhash64(F.lit(~seed), "text").alias("h2"))
+    # A row per language comes to the driver.
+    sizes = slim.groupBy("lang", "h1", "h2").count().groupBy("lang").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("texts")).collect()
+    large = {r["lang"]: min(1.0, fit_rows / r["texts"]) for r in sizes if r["rows"] > fit_rows}
+    if large:
+        share = F.lit(0.0)
+        for name, value in large.items():
+            share = F.when(F.col("lang") == name, F.lit(value)).otherwise(share)
+        place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "text"), 1).cast("double")
+        taken = rows.filter(place <= share * F.lit(float(1 << 63))).filter(F.col("lang").isin(*large)).distinct()
+        rows = rows.filter(~F.col("lang").isin(*large)).unionByName(taken)
 
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -96,9 +103,16 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", *, fit_rows
                for r in parts.groupBy("lang", size.alias("size")).agg(F.sum("n").alias("n")).collect()}
 
     def most(table: DataFrame, limit: int) -> dict[str, dict[str, int]]:
-        top = (table.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all"))
-               .filter("all > 1").orderBy(F.desc("all"), "item").limit(limit))
-        return {r["item"]: r["by"] for r in top.select("item", "by").collect()}
+        """Items that are among the ``limit`` most frequent of some language."""
+        items = (table.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all"))
+                 .filter("all > 1"))
+        items = saved(items, "langid-items")
+        out = {}
+        for name in sorted({name for name, _ in totals}):
+            mine = F.col("by")[name]
+            for r in items.filter(mine.isNotNull()).orderBy(F.desc(mine), "item").limit(limit).select("item", "by").collect():
+                out[r["item"]] = r["by"]
+        return out
 
     return Model(totals, most(counts, max_words), most(parts, max_grams), longest)
 
