@@ -74,3 +74,12 @@ def test_copies_and_a_hot_language_leave_rare_ones_whole(spark):
     assert " qoq " in model.gram_row
     assert "copies" not in model.words  # a text once, however many copies: a single occurrence
     assert model.predict("zaz qoq")[0] == "xx"
+
+
+def test_low_shares_and_missing_labels_lose_no_document(spark):
+    """Five languages know none of a clean text's letters; no row has a label."""
+    known = [(i, name, f"{word} {word} {word}") for i, (name, word) in enumerate(zip("abcde", ("ko", "lu", "mi", "na", "pe")))]
+    docs = spark.createDataFrame([*known, (7, None, "дом и сад"), (8, None, "12 !"), (9, None, None)], "doc_id long, lang string, text string")
+    assert sorted(r["doc_id"] for r in langid.keep_identified(docs).collect()) == [0, 1, 2, 3, 4, 7]
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] for r in langid.keep_identified(bare).collect()) == [0, 1, 2, 3, 4, 7]

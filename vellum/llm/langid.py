@@ -218,9 +218,12 @@ def identify(docs: DataFrame, train: Column, lang: str = "lang", text: str = "te
     return predict(docs, fit(docs.filter(train), lang, text), text)
 
 
-def keep_identified(docs: DataFrame, lang: str = "lang", text: str = "text", least: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that have no language: no letter, or no
-    language ahead of the others (a score below ``least``).
+def keep_identified(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that have no language: those without a letter.
+
+    A score is a share among the learned languages, whose number is the
+    table's affair, so no row goes for a low one.  Without labelled rows there is
+    nothing to learn from, and the rows with a letter stay as well.
 
     Learned from the labelled rows of ``docs`` themselves.  The row travels
     through the same pass as its text, so nothing is joined or shuffled.
@@ -228,6 +231,8 @@ def keep_identified(docs: DataFrame, lang: str = "lang", text: str = "text", lea
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, lang, text))
 
     def identified(texts: list[str | None]) -> list[bool]:
-        return [name != UNKNOWN and score >= least for name, score in held.value.predict_all(texts)]
+        if not held.value.langs:
+            return [bool(t and words_of(t.lower())) for t in texts]
+        return [name != UNKNOWN for name, _ in held.value.predict_all(texts)]
 
     return where_text(docs, text, identified)
