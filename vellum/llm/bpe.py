@@ -1,4 +1,4 @@
-"""Byte-level BPE: encoding by corpus-level merge replay, and decoding.
+"""Byte-level BPE: encoding by merge replay per run of texts, and decoding.
 
 A batch of documents is cut into pieces by the vocabulary's pattern and every
 distinct piece is encoded once.  The batch's pieces form one run of symbols with
