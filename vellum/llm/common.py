@@ -145,7 +145,7 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _runs(texts: pa.Array, most: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
+def runs(texts: pa.Array, most: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
     """(start, number) of runs of about ``most`` bytes; a longer text is alone."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start = held = 0
@@ -174,7 +174,7 @@ def with_made(docs: DataFrame, text: str, added: T.StructType, make: Callable[[l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(kept))
-            for start, n in _runs(texts):
+            for start, n in runs(texts):
                 made = make(texts.slice(start, n).to_pylist())
                 columns = [batch.column(i).slice(start, n) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays(
@@ -191,7 +191,7 @@ def where_text(docs: DataFrame, text: str, test: Callable[[list], list[bool]]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, n in _runs(batch.column(at)):
+            for start, n in runs(batch.column(at)):
                 part = batch.slice(start, n)
                 yield part.filter(pa.array(test(part.column(at).to_pylist()), type=pa.bool_()))
 

@@ -9,12 +9,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, exact_dedup, hpylm, langid, licenses, mixing, near_dedup, rules, sharding, token_counts
+from vellum.llm import alignment, bpe, exact_dedup, hpylm, langid, licenses, mixing, near_dedup, rules, sharding, token_counts
 from vellum.llm.common import saved
 from vellum.sources.tables import table
 
 SHARDS = 16
 RANKS = "byte_bpe_50k.tiktoken"
+BYTE_LEVEL = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_file(name: str = RANKS) -> bytes:
-    """Content of a public rank file (under 1 MB), read on the driver."""
+    """Content of a public vocabulary file (under 2 MB), read on the driver."""
     with open(public_tokenizers.path(name), "rb") as f:
         return f.read()
 
@@ -89,8 +91,13 @@ def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.histogram(lengths, ["source"])
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), rank_file(BYTE_LEVEL).decode(), public_tokenizers.PATTERN, rank_file(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jump_sharding, op2_language_id, op3_mix_sources, op4_byte_bpe, op5_minhash_near_dedup, op6_license_templates, op7_pitman_yor_lm, op8_quality_rules, op9_exact_dedup, op10_token_histogram)
+    f.__name__: f for f in (op1_jump_sharding, op2_language_id, op3_mix_sources, op4_byte_bpe, op5_minhash_near_dedup, op6_license_templates, op7_pitman_yor_lm, op8_quality_rules, op9_exact_dedup, op10_token_histogram,
+                           op11_tokenizer_alignment)
 }
 
 ORACLES: dict[str, str] = {
