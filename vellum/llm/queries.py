@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import alignment, bpe, exact_dedup, hpylm, langid, licenses, mixing, near_dedup, rules, sharding, token_counts
+from vellum.llm import alignment, bpe, exact_dedup, hpylm, langid, licenses, merkle, mixing, near_dedup, rules, sharding, token_counts, token_files
 from vellum.llm.common import saved
 from vellum.sources.tables import table
 
@@ -95,9 +95,24 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), rank_file(BYTE_LEVEL).decode(), public_tokenizers.PATTERN, rank_file(PIECES))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.when(fold(2, 0), F.translate("text", "\n", "")).otherwise(F.col("text"))
+    proven = merkle.manifest(documents(spark, sf_dir), fields, [*map(F.col, fields[:-1]), tampered])
+    return proven.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    files, index = token_files.token_files(docs, rank_file(BYTE_LEVEL).decode(), public_tokenizers.PATTERN)
+    found = token_files.lookup(docs.select("doc_id"), "doc_id", index)
+    return token_files.keyed_rows(files, found).withColumnRenamed("key", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_jump_sharding, op2_language_id, op3_mix_sources, op4_byte_bpe, op5_minhash_near_dedup, op6_license_templates, op7_pitman_yor_lm, op8_quality_rules, op9_exact_dedup, op10_token_histogram,
-                           op11_tokenizer_alignment)
+                           op11_tokenizer_alignment, op12_merkle_manifest, op13_token_files)
 }
 
 ORACLES: dict[str, str] = {
@@ -129,5 +144,51 @@ with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 h as (select doc_id, sha256(norm) as text_sha256, row_number() over (partition by norm, doc_id) as nth, max(doc_id) over (partition by norm) as keep_id,
   count(*) over (partition by norm) as group_size from t)
 select doc_id, keep_id, group_size, (doc_id is not distinct from keep_id and nth = 1) as kept, text_sha256 from h
+""",
+    "op12_merkle_manifest": """
+with recursive crc_table as (
+  select list(list_reduce(range(0, 9), lambda c, i: case when i = 0 then c when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, b) order by b) as entry
+  from (select unnest(range(0, 256)) as b)),
+ids as (select distinct doc_id, hex(encode(coalesce(doc_id::varchar, ''))) as bytes from documents),
+crc as (
+  select doc_id, xor(list_reduce(list_transform(range(1, length(bytes), 2), lambda i: ('0x' || substr(bytes, i, 2))::bigint),
+    lambda c, b: xor(c // 256, entry[(xor(c, b) % 256) + 1]), 4294967295::bigint), 4294967295::bigint)::bigint as crc from ids, crc_table),
+docs as (
+  select documents.doc_id, source, coalesce('+' || source, '') as key, text,
+    concat(coalesce(strlen(documents.doc_id::varchar) || ':' || documents.doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-')) as head,
+    case when crc % 2 = 0 then replace(text, chr(10), '') else text end as trial
+  from documents join crc on documents.doc_id is not distinct from crc.doc_id),
+leaves as (
+  select doc_id, key, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf, sha256(head || coalesce(strlen(trial) || ':' || trial, '-')) as trial from docs),
+placed as (
+  select *, row_number() over (partition by key order by doc_id nulls first, leaf, trial) - 1 as pos, count(*) over (partition by key) as n from leaves),
+nodes(key, lvl, pos, n, h) as (
+  select key, 0, pos, n, leaf from placed
+  union all
+  select key, lvl + 1, pos // 3, (min(n) + 2) // 3, sha256(string_agg(h, '' order by pos)) from nodes where n > 1 group by key, lvl, pos // 3),
+subroots as (select key, h, row_number() over (order by key) - 1 as pos, count(*) over () as n from nodes where n = 1),
+tops(lvl, pos, n, h) as (
+  select 0, pos, n, h from subroots
+  union all
+  select lvl + 1, pos // 3, (min(n) + 2) // 3, sha256(string_agg(h, '' order by pos)) from tops where n > 1 group by lvl, pos // 3),
+sibs as (
+  select a.key, a.lvl, a.pos, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos < a.pos), '') as l, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos > a.pos), '') as r
+  from nodes a join nodes b on a.key = b.key and a.lvl = b.lvl and a.pos // 3 = b.pos // 3 where a.n > 1 group by all),
+top_sibs as (
+  select a.lvl, a.pos, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos < a.pos), '') as l, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos > a.pos), '') as r
+  from tops a join tops b on a.lvl = b.lvl and a.pos // 3 = b.pos // 3 where a.n > 1 group by all),
+up(key, place, lvl, pos, n, h, proof) as (
+  select key, pos, 0, pos, n, trial, '' from placed
+  union all
+  select up.key, up.place, up.lvl + 1, up.pos // 3, (up.n + 2) // 3, sha256(s.l || up.h || s.r), up.proof || s.l || s.r
+  from up join sibs s on up.key = s.key and up.lvl = s.lvl and up.pos = s.pos where up.n > 1),
+climb(key, place, subroot, lvl, pos, n, h, proof) as (
+  select up.key, up.place, s.h, 0, s.pos, s.n, up.h, up.proof from up join subroots s using (key) where up.n = 1
+  union all
+  select o.key, o.place, o.subroot, o.lvl + 1, o.pos // 3, (o.n + 2) // 3, sha256(s.l || o.h || s.r), o.proof || s.l || s.r
+  from climb o join top_sibs s on o.lvl = s.lvl and o.pos = s.pos where o.n > 1)
+select p.doc_id, p.leaf, o.subroot, t.h as root, sha256(o.proof) as proof_sha256, o.h as folded_root, o.h = t.h as verified
+from placed p join climb o on p.key = o.key and p.pos = o.place and o.n = 1 join tops t on t.n = 1
 """,
 }
