@@ -39,7 +39,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct chunks, the code of each chunk of the texts in a row, number of
     chunks of each text); a null text has none, an empty one an empty chunk."""
-    texts = texts.cast(pa.large_string())
+    # a slice's rows are copied: the split doesn't respect its offset
+    texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
     odd = pc.fill_null(pc.match_substring_regex(texts, _ODD), False)
     rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
     plain = pc.split_pattern(pc.if_else(odd, pa.scalar(None, pa.large_string()), texts), " ")
@@ -78,10 +79,11 @@ class Lexicon:
     def codes(self, words: pa.Array) -> np.ndarray:
         """The number of each of the (distinct) words in this table."""
         words = words.to_pylist()
-        if len(self.known) + len(words) > self.remembered:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.remembered:
             self._clear()
+            new = words
         known = self.known
-        new = [w for w in words if w not in known]
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new))))
             for name, made in self.make(new).items():
