@@ -15,6 +15,7 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -25,8 +26,9 @@ BLANK = "\x01-\x20\x85\xA0\u1680\u180E\u2000-\u200B\u2028\u2029\u202F\u205F\u300
 _ODD = f"(^|[{BLANK}]) "
 _SPLIT = regex.compile(f"(?<=[^{BLANK}]) ").split
 
-# Words a task remembers: a bound of memory, not of input.
+# Chunks and pieces of chunks a task remembers: bounds of memory, not of input.
 REMEMBERED = 600_000
+REMEMBERED_PIECES = 100_000
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -63,48 +65,74 @@ def first_chunks(texts: list[str]) -> tuple[list[str], list[str | None]]:
 
 
 class Lexicon:
-    """What ``make`` gives for chunks, remembered: arrays by chunk (one value each)
-    under ``fixed`` and (values in a row, number of values by chunk) under ``rows``."""
+    """What ``make`` gives for chunks, remembered by two hashes of the chunk (96 bits): arrays
+    (one value a chunk), pairs (values in a row, number of values by chunk) and lists (one item a chunk)."""
 
     def __init__(self, make: Callable[[list[str]], dict], remembered: int = REMEMBERED):
         self.make, self.remembered = make, remembered
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.first, self.second = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)  # sorted by the first
+        self.code = np.zeros(0, dtype=np.int32)
+        self.n = 0
         self.fixed: dict[str, np.ndarray] = {}
         self.rows: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.lists: dict[str, list] = {}
 
     def codes(self, words: pa.Array) -> np.ndarray:
         """The number of each of the (distinct) words in this table."""
-        words = words.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.remembered:
+        words = words.to_numpy(zero_copy_only=False)
+        if not len(words):
+            return np.zeros(0, dtype=np.int64)
+        one = pd.util.hash_array(words, hash_key="chunks of a text", categorize=False)
+        two = pd.util.hash_array(words, hash_key="texts into chunk", categorize=False).astype(np.uint32)
+        out, known = self._find(one, two)
+        new = np.flatnonzero(~known)
+        if self.n + len(new) > self.remembered:
             self._clear()
-            new = words
-        known = self.known
-        if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            for name, made in self.make(new).items():
-                if isinstance(made, list):
-                    self.lists.setdefault(name, []).extend(made)
-                elif isinstance(made, tuple):
-                    flat, sizes = made
-                    held = self.rows.get(name)
-                    if held:
-                        flat, sizes = np.concatenate([held[0], flat]), np.concatenate([held[2], sizes])
-                    self.rows[name] = (flat, np.cumsum(sizes) - sizes, sizes)
-                else:
-                    self.fixed[name] = np.concatenate([self.fixed[name], made]) if name in self.fixed else made
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+            out, known = self._find(one, two)
+            new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = np.arange(self.n, self.n + len(new))
+            self._learn(words[new].tolist())
+            # words whose first hash somebody has already are made anew whenever they come
+            order = new[np.unique(one[new], return_index=True)[1]]
+            at = np.searchsorted(self.first, one[order])
+            free = at == np.searchsorted(self.first, one[order], "right")
+            order, at = order[free], at[free]
+            self.first, self.second = np.insert(self.first, at, one[order]), np.insert(self.second, at, two[order])
+            self.code = np.insert(self.code, at, out[order].astype(np.int32))
+            self.n += len(new)
+        return out
+
+    def _find(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.first):
+            return np.zeros(len(one), dtype=np.int64), np.zeros(len(one), dtype=bool)
+        at = np.minimum(np.searchsorted(self.first, one), len(self.first) - 1)
+        return self.code[at].astype(np.int64), (self.first[at] == one) & (self.second[at] == two)
+
+    def _learn(self, words: list[str]) -> None:
+        for name, made in self.make(words).items():
+            if isinstance(made, list):
+                self.lists.setdefault(name, []).extend(made)
+            elif isinstance(made, tuple):
+                flat, sizes = made[0], made[1].astype(np.int32)
+                held = self.rows.get(name)
+                starts = np.cumsum(sizes) - sizes + (len(held[0]) if held else 0)
+                if held:
+                    flat, starts, sizes = (np.concatenate(x) for x in zip(held, (flat, starts, sizes)))
+                self.rows[name] = (flat, starts, sizes)
+            else:
+                self.fixed[name] = np.concatenate([self.fixed[name], made]) if name in self.fixed else made
 
     def row_values(self, name: str, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values in a row, number of values) of the chunks with these numbers."""
         if name not in self.rows:
             return np.zeros(0, dtype=np.int64), np.zeros(len(codes), dtype=np.int64)
         flat, starts, sizes = self.rows[name]
-        return flat[ragged(starts[codes], sizes[codes])], sizes[codes]
+        sizes = sizes[codes].astype(np.int64)
+        return flat[ragged(starts[codes], sizes)], sizes
 
 
 # The printable characters that stand for bytes in a byte-level vocabulary: those of
@@ -145,7 +173,7 @@ class ByteBpe:
         ids = self.pieces.get(piece)
         if ids is None:
             ids = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.table))]
-            if len(self.pieces) >= REMEMBERED:
+            if len(self.pieces) >= REMEMBERED_PIECES:
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
@@ -156,8 +184,6 @@ class ByteBpe:
         if max(text) >= "ɐ" or self.added and self.added(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         if text[text[0] == " ":].isalpha():  # one piece
-            return [t.id for t in self.tokenize(text.encode().decode("latin-1").translate(self.table))]
-        pieces = self.split(text)
-        if len(pieces) == 1:
             return self._piece(text)
-        return [i for p in pieces for i in self._piece(p)]
+        pieces = self.split(text)
+        return self._piece(text) if len(pieces) == 1 else [i for p in pieces for i in self._piece(p)]

@@ -51,8 +51,10 @@ from vellum.session import scratch_path, ship_code
 
 END_ID = 2
 SHARD_BYTES = 1 << 24  # text bytes of a shard, about
-RUN_BYTES = 1 << 22
+RUN_BYTES = 1 << 20
 BUCKET_KEYS = 1024
+# Chunks a task remembers, about 40 bytes each: a bound of memory, not of input.
+REMEMBERED = 1_200_000
 SPREAD = 1.5  # bits of a level for each key left
 
 _MAGIC = b"TOKSHARD"
@@ -68,7 +70,7 @@ class Encoder:
     def __init__(self, content: str, pattern: str, width: int):
         self.bpe = ByteBpe(content, pattern, special=True)
         self.dtype = np.dtype(f"<u{width}")
-        self.lexicon = Lexicon(self._make)
+        self.lexicon = Lexicon(self._make, REMEMBERED)
 
     def _make(self, words: list[str]) -> dict:
         ids = [self.bpe.encode(" " + w) for w in words]
