@@ -163,3 +163,136 @@ def test_retry_families_and_longest_delay(spark, monkeypatch):
     out = H.score_batches(spark.range(8), scorer, retry_on=("5xx",), base_delay=0.001, max_delay=0.002).collect()
     assert {r["id"] % 4: (r["status"], r["attempts"]) for r in out} == {
         0: ("ok", 1), 1: ("ok", 2), 2: ("dead_letter", 1), 3: ("dead_letter", 1)}
+
+
+# ------------------------------------------------------------- late parts, files written again
+
+def drop_and_store(spark):
+    return scratch_path(spark, "drop"), I.DatasetStore(spark, scratch_path(spark, "store"))
+
+
+def taken(spark, drop, store, ckpt, **more):
+    reports = scratch_path(spark, "reports")
+    ST.ingest_stream(spark, drop, store, "d", ckpt, reports, **more)
+    try:
+        return sorted((r["source"], r["accepted"], r["row_count"], len(r["warnings"])) for r in spark.read.schema(I.REPORT_SCHEMA).parquet(reports).collect())
+    except Exception:  # noqa: BLE001 -- nothing was taken
+        return []
+
+
+def test_a_part_that_comes_later_is_stored(spark):
+    drop, store = drop_and_store(spark)
+    part = lambda a: spark.range(a, a + 100).selectExpr("id", "'x' as name")
+    I.stage_csv(part(0).coalesce(1), f"{drop}/a.csv")
+    ckpt = scratch_path(spark, "c")
+    assert taken(spark, drop, store, ckpt) == [("a.csv", True, 100, 0)]
+    part(100).coalesce(1).write.mode("append").option("header", True).csv(f"{drop}/a.csv")
+    assert taken(spark, drop, store, ckpt) == [("a.csv", True, 100, 1)]  # reported as late
+    assert sorted(r["id"] for r in store.read_all("d").collect()) == list(range(200))
+    assert taken(spark, drop, store, ckpt) == []
+    assert taken(spark, drop, store, scratch_path(spark, "lost")) == []  # nothing twice after a lost checkpoint
+
+
+def test_a_file_of_the_same_name_on_another_day_is_stored(spark):
+    drop, store = drop_and_store(spark)
+    at = drop.removeprefix("file:")
+    os.makedirs(at)
+    ckpt = scratch_path(spark, "c")
+    for day, body in enumerate(("1\n2\n", "3\n4\n5\n")):
+        with open(f"{at}/a.csv", "w") as f:
+            f.write("id\n" + body)
+        os.utime(f"{at}/a.csv", (1_700_000_000 + 86_400 * day,) * 2)
+        assert taken(spark, drop, store, ckpt)[0][:3] == ("a.csv", True, len(body) // 2)
+    assert sorted(r["id"] for r in store.read_all("d").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_a_source_waits_until_it_settles(spark):
+    drop, store = drop_and_store(spark)
+    I.stage_csv(spark.range(3).coalesce(1), f"{drop}/a.csv")
+    ckpt = scratch_path(spark, "c")
+    assert taken(spark, drop, store, ckpt, settle="1 hour") == []
+    assert taken(spark, drop, store, ckpt, settle="0 seconds") == [("a.csv", True, 3, 0)]
+
+
+def test_a_refused_source_is_reported_once_and_again_when_it_changes(spark):
+    drop, store = drop_and_store(spark)
+    I.stage_csv(spark.range(3).coalesce(1), f"{drop}/a.csv")
+    I.stage_csv(spark.range(3).selectExpr("id as other").coalesce(1), f"{drop}/b.csv")
+    ckpt = scratch_path(spark, "c")
+    assert [r[:2] for r in taken(spark, drop, store, ckpt)] == [("a.csv", True), ("b.csv", False)]
+    assert taken(spark, drop, store, ckpt) == []
+    I.stage_csv(spark.range(3, 5).coalesce(1), f"{drop}/b.csv")  # put right
+    assert [r[:3] for r in taken(spark, drop, store, ckpt)] == [("b.csv", True, 2)]
+
+
+def test_a_failure_before_the_log_loses_and_doubles_nothing(spark, monkeypatch):
+    drop, store = drop_and_store(spark)
+    I.stage_csv(spark.range(30).repartition(3), f"{drop}/a.csv")
+    real = I.DatasetStore._upload
+
+    def dies(self, *a, **k):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(I.DatasetStore, "_upload", dies)
+    with pytest.raises(RuntimeError):
+        store.upload_new("d", drop)
+    monkeypatch.setattr(I.DatasetStore, "_upload", real)
+    assert [r["row_count"] for r in store.upload_new("d", drop)] == [30]
+    assert store.upload_new("d", drop) == [] and store.read_all("d").count() == 30
+
+
+def test_line_breaks_are_looked_for_in_every_line(spark):
+    plain, broken = csv(spark, "a.csv", "a,b\n1,x\n2,\"y \"\"q\"\" z\"\n"), csv(spark, "b.csv", "a,b\n1,\"x\ny\"\n")
+    assert not I.spans_lines(spark, plain) and I.spans_lines(spark, broken)
+    assert [tuple(r) for r in I.CsvSource(spark, broken).typed().collect()] == [(1, "x\ny")]
+    assert [tuple(r) for r in I.CsvSource(spark, plain).typed().collect()] == [(1, "x"), (2, 'y "q" z')]
+
+
+# ------------------------------------------------------------- live progress
+
+def progress(spark, asked, done, out, ckpt, **more):
+    from vellum.streaming import progress as SP
+
+    schema = "run_id long, row_id long, ts timestamp, status_code int"
+    streams = [ST.file_stream(spark, f, spark.createDataFrame([], schema).schema, max_files=1) for f in (asked, done)]
+    ST.run_to_table(SP.live_progress(*streams, **more), out, ckpt, "update")
+    report = SP.progress_report(ST.read_result(spark, out, "update", ["run_id", "bucket"]))
+    return {r["run_id"]: r for r in report.collect()}
+
+
+def put(spark, folder, rows):
+    spark.createDataFrame([(a, b, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m), s) for a, b, m, s in rows],
+                          "run_id long, row_id long, ts timestamp, status_code int").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_progress_goes_on_after_a_restart_and_counts_a_row_once(spark):
+    asked, done, out, ckpt = (scratch_path(spark, x) for x in ("asked", "done", "out", "ckpt"))
+    put(spark, asked, [(1, i, 0, None) for i in range(10)] + [(None, i, 0, None) for i in range(2)])
+    put(spark, done, [(1, i, 10 + i, 500 if i == 0 else 200) for i in range(4)] + [(1, 99, 5, 200)])  # 99 wasn't asked for
+    got = progress(spark, asked, done, out, ckpt, buckets=3)
+    assert (got[1]["expected"], got[1]["processed"], got[1]["failed"], got[1]["remaining"]) == (10, 4, 1, 6)
+    assert got[1]["percent"] == 40.0 and got[1]["eta_seconds"] == pytest.approx(3 * 60 / 4 * 6)
+    assert (got[None]["expected"], got[None]["processed"], got[None]["eta_seconds"]) == (2, 0, None)
+    put(spark, done, [(1, 0, 20, 200), (1, 1, 21, 200), (1, 5, 25, 503)])  # 0 and 1 again; 0 is mended
+    put(spark, asked, [(1, 10, 30, None), (1, 3, 30, None)])  # one more row, and one asked for again
+    got = progress(spark, asked, done, out, ckpt, buckets=3)
+    assert (got[1]["expected"], got[1]["processed"], got[1]["failed"], got[1]["remaining"]) == (11, 5, 1, 6)
+    assert got[1]["eta_seconds"] == pytest.approx(15 * 60 / 5 * 6)
+
+
+def test_a_silent_run_is_closed_and_late_rows_change_nothing(spark):
+    asked, done, out, ckpt = (scratch_path(spark, x) for x in ("asked", "done", "out", "ckpt"))
+    put(spark, asked, [(1, i, 0, None) for i in range(5)])
+    put(spark, done, [(1, 0, 1, 200)])
+    how = dict(buckets=1, watermark="3 days", idle="1 hour")
+    progress(spark, asked, done, out, ckpt, **how)
+    week = 7 * 24 * 60
+    put(spark, asked, [(2, 0, week, None)])
+    put(spark, done, [(2, 0, week, 200)])
+    got = progress(spark, asked, done, out, ckpt, **how)
+    assert got[1]["closed"] and not got[2]["closed"] and got[1]["processed"] == 1
+    # within the watermark, but after the run was closed
+    put(spark, asked, [(1, 7, week - 60, None)])
+    put(spark, done, [(1, 1, week - 30, 200)])
+    got = progress(spark, asked, done, out, ckpt, **how)
+    assert (got[1]["expected"], got[1]["processed"], got[1]["late"]) == (5, 1, 2)

@@ -51,9 +51,9 @@ def cosine_similarity(a, b) -> Column:
 # ---------------------------------------------------------------- classification
 
 def accuracy(df: DataFrame, t: str = "y_true", p: str = "y_pred", group=None) -> DataFrame:
-    """M2: share of rows with y_true = y_pred."""
+    """M2: share of rows with y_true = y_pred.  Null is a label like any other, as in M3-M6."""
     return df.groupBy(*_g(group)).agg(
-        F.avg((F.col(t) == F.col(p)).cast("double")).alias("accuracy"),
+        F.avg(F.col(t).eqNullSafe(F.col(p)).cast("double")).alias("accuracy"),
         F.count(F.lit(1)).alias("n"))
 
 
@@ -160,12 +160,14 @@ def auc_roc(df: DataFrame, y: str = "y_true", score: str = "score", group=None)
 
 def regression_metrics(df: DataFrame, t: str = "y_true", p: str = "y_pred", group=None) -> DataFrame:
     """M8-M12 in one pass: MAE, MSE, RMSE, R^2 (1 - SSres/SStot) and MAPE
-    (percent; rows with y = 0 skipped)."""
+    (percent; rows with y = 0 skipped).  All of them, and ``n``, are taken over
+    the rows that have both values; a group without such rows has n = 0 and nulls."""
     d = F.col(t) - F.col(p)
+    known = F.when(d.isNotNull(), F.col(t))
     agg = df.groupBy(*_g(group)).agg(
         F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"), F.sum(d * d).alias("_ssr"),
-        F.var_pop(t).alias("_var"), F.count(F.lit(1)).alias("n"),
-        (F.lit(100.0) * F.avg(F.abs(d / F.when(F.col(t) != 0, F.col(t))))).alias("mape"))
+        F.var_pop(known).alias("_var"), F.count(d).alias("n"),
+        (F.lit(100.0) * F.avg(F.abs(d / F.when(known != 0, known)))).alias("mape"))
     sst = F.col("_var") * F.col("n")
     return agg.select(*_g(group), "n", "mae", "mse", F.sqrt("mse").alias("rmse"),
                       F.when(sst > 0, F.lit(1.0) - F.col("_ssr") / sst).alias("r2"), "mape")
@@ -267,11 +269,13 @@ def ndcg_per_query(df: DataFrame, k: int = 10, q: str = "query_id", item: str =
     base = df.select(*keys, item, score, grade)
     gain = F.pow(F.lit(2.0), F.col(grade)) - 1
     disc = F.log2(F.col("rank") + 1)
-    top = lambda order: _salted_top_k(base, keys, order, k, salts)
-    dcg = top([F.col(score).desc(), F.col(item).asc()]).groupBy(*keys).agg(F.sum(gain / disc).alias("dcg"))
-    idcg = top([F.col(grade).desc(), F.col(item).asc()]).groupBy(*keys).agg(F.sum(gain / disc).alias("idcg"))
-    return dcg.join(idcg, keys).select(*keys, F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg"))
-                                       .otherwise(F.lit(0.0)).alias("ndcg"))
+    top = lambda order: _salted_top_k(base, keys, order, k, salts).select(*keys, (gain / disc).alias("_v"))
+    # Both sums in one aggregate: a join on the keys would lose a null run or query.
+    ranked = top([F.col(score).desc(), F.col(item).asc()]).withColumn("_ideal", F.lit(False))
+    ideal = top([F.col(grade).desc(), F.col(item).asc()]).withColumn("_ideal", F.lit(True))
+    sums = ranked.unionByName(ideal).groupBy(*keys).agg(F.sum(F.when(~F.col("_ideal"), F.col("_v"))).alias("dcg"),
+                                                        F.sum(F.when(F.col("_ideal"), F.col("_v"))).alias("idcg"))
+    return sums.select(*keys, F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(F.lit(0.0)).alias("ndcg"))
 
 
 def average_precision_per_query(df: DataFrame, q: str = "query_id", item: str = "item_id", score: str = "score",
@@ -299,14 +303,14 @@ def reciprocal_rank_per_query(df: DataFrame, q: str = "query_id", item: str = "i
     """
     keys = [*_g(group), q]
     rank_key = F.struct((-F.col(score)).alias("s"), F.col(item).alias("i"))
-    best = (df.filter(F.col(grade) >= relevant_grade).groupBy(*keys)
+    names = [f"_best_{i}" for i in range(len(keys))]
+    best = (df.filter(F.col(grade) >= relevant_grade).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)])
             .agg(F.min(rank_key).alias("_best")))
-    above = (df.select(*keys, rank_key.alias("_k")).join(best, keys, "inner")
-             .groupBy(*keys).agg(F.count_if(F.col("_k") < F.col("_best")).alias("_above")))
-    queries = df.select(*keys).distinct()
-    return (queries.join(above, keys, "left")
-            .select(*keys, F.when(F.col("_above").isNotNull(), F.lit(1.0) / (F.col("_above") + 1))
-                    .otherwise(F.lit(0.0)).alias("rr")))
+    # a null run or query is one like any other
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    ranked = df.select(*keys, rank_key.alias("_k")).join(best, same, "left").groupBy(*keys).agg(
+        F.count_if(F.col("_k") < F.col("_best")).alias("_above"), F.count("_best").alias("_found"))
+    return ranked.select(*keys, F.when(F.col("_found") > 0, F.lit(1.0) / (F.col("_above") + 1)).otherwise(F.lit(0.0)).alias("rr"))
 
 
 def mean_of(df: DataFrame, col: str, name: str, group=None) -> DataFrame:
@@ -330,37 +334,38 @@ def threshold_check(long: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- dispatch by name
 
-def _averaged(metric: str):
-    def run(df, group, c, options):
-        report = classification_report(df, c["y_true"], c["y_pred"], group, options.get("labels"), options.get("average", "macro"))
-        return report.select(*group, F.col(metric).alias("v"))
+def _ranked(per_query, metric: str):
+    def run(df, group, c, options, names):
+        how = {k: options[k] for k in ("k", "relevant_grade") if k in options and (k == "k") == (metric == "ndcg")}
+        per = per_query(df, q=c["query_id"], item=c["item_id"], score=c["score"], grade=c["grade"], group=group, **how)
+        return mean_of(per, metric, names[0], group)
     return run
 
 
-def _regressed(metric: str):
-    return lambda df, group, c, options: regression_metrics(df, c["y_true"], c["y_pred"], group).select(*group, F.col(metric).alias("v"))
+def _averaged(df, group, c, options, names):
+    report = classification_report(df, c["y_true"], c["y_pred"], group, options.get("labels"), options.get("average", "macro"))
+    return report.withColumn("f1_score", F.col("f1"))
 
 
-def _ranked(per_query, metric: str):
-    def run(df, group, c, options):
-        how = {k: options[k] for k in ("k", "relevant_grade") if k in options and (k == "k") == (metric == "ndcg")}
-        per = per_query(df, q=c["query_id"], item=c["item_id"], score=c["score"], grade=c["grade"], group=group, **how)
-        return mean_of(per, metric, "v", group).drop("n_queries")
-    return run
+def _rouge(df, group, c, options, names):
+    orders = [int(x[-1]) for x in names]
+    scores = rouge_n(df, ref=c["reference"], out=c["output"], orders=orders, group=group)
+    return scores.groupBy(*group).agg(*[F.max(F.when(F.col("n") == n, F.col("f1"))).alias(x) for n, x in zip(orders, names)])
 
 
-# Run metrics by the name a config gives: (rows, group, columns, options) -> (group..., v).
-RUN_METRICS = {
-    "accuracy": lambda df, group, c, options: accuracy(df, c["y_true"], c["y_pred"], group).select(*group, F.col("accuracy").alias("v")),
-    "precision": _averaged("precision"), "recall": _averaged("recall"), "f1_score": _averaged("f1"),
-    "auc_roc": lambda df, group, c, options: auc_roc(df, c["y_true"], c["score"], group).select(*group, F.col("auc").alias("v")),
-    **{m: _regressed(m) for m in ("mae", "mse", "rmse", "r2", "mape")},
-    "bleu": lambda df, group, c, options: bleu(df, ref=c["reference"], out=c["output"], group=group).select(*group, F.col("bleu").alias("v")),
-    "rouge_1": lambda df, group, c, options: rouge_n(df, ref=c["reference"], out=c["output"], orders=(1,), group=group).select(*group, F.col("f1").alias("v")),
-    "rouge_2": lambda df, group, c, options: rouge_n(df, ref=c["reference"], out=c["output"], orders=(2,), group=group).select(*group, F.col("f1").alias("v")),
-    "ndcg": _ranked(ndcg_per_query, "ndcg"), "map": _ranked(average_precision_per_query, "ap"),
-    "mrr": _ranked(reciprocal_rank_per_query, "rr"),
+# Metrics that come from one pass: family -> (its names, (rows, group, columns, options, wanted names) -> a column a name).
+FAMILIES = {
+    "accuracy": (("accuracy",), lambda df, group, c, options, names: accuracy(df, c["y_true"], c["y_pred"], group)),
+    "averages": (("precision", "recall", "f1_score"), _averaged),
+    "auc": (("auc_roc",), lambda df, group, c, options, names: auc_roc(df, c["y_true"], c["score"], group).withColumnRenamed("auc", "auc_roc")),
+    "regression": (("mae", "mse", "rmse", "r2", "mape"), lambda df, group, c, options, names: regression_metrics(df, c["y_true"], c["y_pred"], group)),
+    "bleu": (("bleu",), lambda df, group, c, options, names: bleu(df, ref=c["reference"], out=c["output"], group=group)),
+    "rouge": (("rouge_1", "rouge_2"), _rouge),
+    "ndcg": (("ndcg",), _ranked(ndcg_per_query, "ndcg")),
+    "map": (("map",), _ranked(average_precision_per_query, "ap")),
+    "mrr": (("mrr",), _ranked(reciprocal_rank_per_query, "rr")),
 }
+RUN_METRICS = {name: family for family, (names, _) in FAMILIES.items() for name in names}
 
 COLUMNS = {c: c for c in ("y_true", "y_pred", "score", "reference", "output", "query_id", "item_id", "grade")}
 
@@ -368,14 +373,15 @@ COLUMNS = {c: c for c in ("y_true", "y_pred", "score", "reference", "output", "q
 def run_metrics(df: DataFrame, names: list[str], group, columns: dict[str, str] | None = None,
                 options: dict[str, dict] | None = None) -> DataFrame:
     """E6 over whole runs: the named metrics per group as the long table
-    (group..., metric_name, metric_value).  Unknown names are ignored.
+    (group..., metric_name, metric_value).  Unknown names are ignored; names that one
+    pass gives (the regression errors, the classification averages) take one pass together.
 
     ``columns`` renames the columns metrics read; ``options`` gives a metric's
     parameters (labels, average, k, relevant_grade).  ``confusion_matrix`` gives a row per
     pair, named ``confusion_matrix[true,predicted]``.
     """
     keys, c, options = _g(group), COLUMNS | (columns or {}), options or {}
-    parts = []
+    parts, wanted = [], {}
     for name in dict.fromkeys(names):
         given = options.get(name, {})
         if name == "confusion_matrix":
@@ -384,8 +390,10 @@ def run_metrics(df: DataFrame, names: list[str], group, columns: dict[str, str]
                              F.coalesce(F.col("y_pred").cast("string"), F.lit("null")), F.lit("]"))
             parts.append(m.select(*keys, label.alias("metric_name"), F.col("n").cast("double").alias("metric_value")))
         elif name in RUN_METRICS:
-            parts.append(RUN_METRICS[name](df, keys, c, given).select(
-                *keys, F.lit(name).alias("metric_name"), F.col("v").cast("double").alias("metric_value")))
+            # one pass for all names of a family that have the same parameters
+            wanted.setdefault((RUN_METRICS[name], repr(sorted(given.items()))), (given, []))[1].append(name)
+    for (family, _), (given, mine) in wanted.items():
+        parts.append(metrics_long(FAMILIES[family][1](df, keys, c, given, mine), keys, mine))
     if not parts:
         return df.select(*keys, F.lit("").alias("metric_name"), F.lit(0.0).alias("metric_value")).limit(0)
     return reduce(DataFrame.unionByName, parts)

@@ -126,9 +126,12 @@ def replay_changes(log: DataFrame, key: str = "id", seq: str = "seq", op: str =
     delete, so "live before op i" = "the last create/delete before i was a
     create" -- found by numbering the create/delete ops (prefix count) and
     joining on (key, ordinal).  Accepted creates count the generation.
+
+    ``seq`` numbers a record's operations.  Only keys and kinds of operations go through the
+    prefix counts; the values join the decisions on (key, seq) in the end.
     """
     values = list(values)
-    base = log.select(F.col(key).alias("id"), F.col(seq).alias("seq"), F.col(op).alias("op"), *values,
+    base = log.select(F.col(key).alias("id"), F.col(seq).alias("seq"), F.col(op).alias("op"),
                       F.col(op).isin("create", "delete").cast("int").alias("is_cd"))
     p1 = prefix_sums(base, ["seq"], ["is_cd"], group_cols=["id"]).drop("rows_cum")
     p1 = p1.withColumn("k", F.col("is_cd_cum").cast("bigint"))
@@ -136,11 +139,15 @@ def replay_changes(log: DataFrame, key: str = "id", seq: str = "seq", op: str =
     j = p1.withColumn("prev_k", F.col("k") - F.col("is_cd")).join(cd, ["id", "prev_k"], "left")
     live_before = F.coalesce(F.col("prev_cd") == "create", F.lit(False))
     accepted = F.when(F.col("op") == "create", ~live_before).otherwise(live_before)
-    j = j.select("id", "seq", "op", *values, accepted.alias("accepted"),
+    j = j.select("id", "seq", "op", accepted.alias("accepted"),
                  ((F.col("op") == "create") & accepted).cast("int").alias("acc_create"))
     p2 = prefix_sums(j, ["seq"], ["acc_create"], group_cols=["id"]).drop("rows_cum")
-    return p2.select("id", "seq", "op", *values, "accepted",
-                     F.col("acc_create_cum").cast("bigint").alias("generation"))
+    decided = p2.select("id", "seq", "op", "accepted", F.col("acc_create_cum").cast("bigint").alias("generation"))
+    if not values:
+        return decided
+    payload = log.select(F.col(key).alias("_id"), F.col(seq).alias("_seq"), *values)
+    return (decided.join(payload, F.col("id").eqNullSafe(F.col("_id")) & (F.col("seq") == F.col("_seq")))
+            .select("id", "seq", "op", *values, "accepted", "generation"))
 
 
 def registry_current(decided: DataFrame, values: list[str] = ("name", "description")) -> DataFrame:

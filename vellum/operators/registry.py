@@ -134,11 +134,12 @@ def by_foreign_key(df: DataFrame, fk: str) -> DataFrame:
         micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
     else:
         micros = F.unix_micros(ts)
-    keyed = rows.withColumn("_has_ts", ts.isNotNull().cast("int")) \
-        .withColumn("_neg_ts", F.coalesce(-micros, F.lit(0)))
-    ranked = prefix_sums(keyed, ["_has_ts", "_neg_ts", "id"], [], group_cols=[fk])
-    return ranked.withColumnRenamed("rows_cum", "position").withColumnRenamed("rows_total", "n_children") \
-        .drop("_has_ts", "_neg_ts")
+    # Only keys and order are written and ranked; the rows join their position by id.
+    keyed = rows.select(F.col(fk).alias("_parent"), F.col("id").alias("_id"), ts.isNotNull().cast("int").alias("_has_ts"),
+                        F.coalesce(-micros, F.lit(0)).alias("_neg_ts"))
+    ranked = prefix_sums(keyed, ["_has_ts", "_neg_ts", "_id"], [], group_cols=["_parent"])
+    places = ranked.select("_id", F.col("rows_cum").alias("position"), F.col("rows_total").alias("n_children"))
+    return rows.join(places, F.col("id") == F.col("_id")).drop("_id")
 
 
 def to_record(df: DataFrame, kind: str) -> DataFrame:

@@ -113,6 +113,20 @@ def compare_runs(long: DataFrame, run_a, run_b, run: str = "run_id") -> DataFram
                     F.when(F.col("run_a") != 0, d / F.abs("run_a")).alias("relative_delta")))
 
 
+def compare_many(long: DataFrame, runs: list, base, run: str = "run_id") -> DataFrame:
+    """J3 over any number of runs: a row per metric with a column ``run_<id>`` for each of ``runs`` (the
+    base among them or not), ``delta_<id>`` against the base and ``best``, the run with the highest value (the first
+    in the list of equal ones).  One aggregate; a metric that a run lacks is null there."""
+    wanted = [*runs, *([] if base in runs else [base])]
+    at = lambda r: F.max(F.when(F.col(run).eqNullSafe(F.lit(r)), F.col("metric_value")))
+    wide = long.filter(F.col(run).isin([r for r in wanted if r is not None]) | (F.col(run).isNull() if None in wanted else F.lit(False))) \
+        .groupBy("metric_name").agg(*[at(r).alias(f"run_{r}") for r in wanted])
+    ranked = F.array_max(F.filter(F.array(*[F.struct(F.col(f"run_{r}").alias("v"), F.lit(-i).alias("i"), F.lit(str(r)).alias("r")) for i, r in enumerate(wanted)]),
+                                  lambda x: x["v"].isNotNull()))
+    return wide.select("metric_name", *[f"run_{r}" for r in wanted], *[(F.col(f"run_{r}") - F.col(f"run_{base}")).alias(f"delta_{r}") for r in wanted if r != base],
+                       ranked["r"].alias("best"))
+
+
 def metric_trend(long: DataFrame, window: int = 3, run: str = "run_id", suite: str | None = None,
                  order: str | None = None) -> DataFrame:
     """Per suite (when given) and metric over its runs in time order

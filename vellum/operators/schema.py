@@ -147,3 +147,24 @@ def profile(df: DataFrame) -> DataFrame:
                                        F.col(f"sv{i}").alias("samples"))
                               for i, c in enumerate(cols)])).alias("p")
     return row.select(F.col("_rows").alias("rows"), per).select("p.*", "rows")
+
+
+# The schema of a dataset as a JSON document: {"dataset_id": ..., "version": ..., "columns": [{"name", "type", "nullable"}, ...]}.
+DOCUMENT = "dataset_id string, version string, columns array<struct<name string, type string, nullable boolean>>"
+
+
+def schema_documents(schemas: DataFrame) -> DataFrame:
+    """(dataset_id, upload, document): each stored version of a schema as a JSON document, columns in their order."""
+    columns = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column_name", "type", "nullable"))), lambda c: F.struct(
+        c["column_name"].alias("name"), c["type"].alias("type"), c["nullable"].alias("nullable")))
+    return schemas.groupBy("dataset_id", "upload").agg(columns.alias("columns")).select(
+        "dataset_id", "upload", F.to_json(F.struct(F.col("dataset_id").cast("string").alias("dataset_id"), F.col("upload").cast("string").alias("version"), "columns")).alias("document"))
+
+
+def load_schema_documents(documents: DataFrame, document: str = "document") -> DataFrame:
+    """The schema table of JSON documents: (dataset_id, upload, ordinal, column_name, type, nullable), the
+    reverse of ``schema_documents``.  A text that isn't such a document gives no rows."""
+    parsed = documents.select(F.from_json(F.col(document), DOCUMENT).alias("d"))
+    each = parsed.select(F.col("d.dataset_id").alias("dataset_id"), F.col("d.version").alias("upload"), F.posexplode("d.columns").alias("ordinal", "c"))
+    return each.filter("c.name is not null").select("dataset_id", "upload", "ordinal", F.col("c.name").alias("column_name"), F.col("c.type").alias("type"),
+                                                    F.coalesce("c.nullable", F.lit(True)).alias("nullable"))

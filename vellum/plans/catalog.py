@@ -18,6 +18,7 @@ _MODULES = [
     "vellum.plans.config_queries",
     "vellum.plans.ingest_queries",
     "vellum.plans.stream_queries",
+    "vellum.plans.index_queries",
 ]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.operators import config as K
+from vellum.operators import incremental as INC
 from vellum.operators import registry as R
 from vellum.plans.fixtures import Fixtures, with_fixtures
 from vellum.plans.pipeline_queries import _workflow_configs
@@ -115,8 +116,8 @@ select s.id as suite_id, not exists (select 1 from reg_evals e where e.suite_id
 from reg_suites s where not s.is_deleted
 """, ["reg_suites", "reg_evals"])
 def config_replace(fx: Fixtures):
-    new_doc = ('{"workflow":{"name":"replaced","steps":{"invocation":{"description":"request invocation",'
-               '"script":"invocation-script.py","input":{"url":"http://scorer/","method":"PUT"}}}}}')
+    new_doc = ('{"workflow":{"name":"replaced","steps":{"invocation":{"description":"put the question",'
+               '"script":"put.py","input":{"url":"http://scorer/","method":"PUT"}}}}}')
     repl = R.live(fx.reg_suites).select(F.col("id").alias("suite_id"), F.lit(new_doc).alias("new_config"))
     out = K.config_replace(_workflow_configs(fx), repl, _frozen(fx))
     return out.select("suite_id", "accepted",
@@ -145,3 +146,26 @@ select g.id, nm.name, nm.description, g.last_cd = 'delete' as is_deleted, g.gene
 """, ["change_log"])
 def registry_current(fx: Fixtures):
     return K.registry_current(K.replay_changes(fx.change_log))
+
+
+# --------------------------------------------------------------- by segments, from a stored state
+
+SEGMENTS = 5
+
+
+@query("config_versions_by_segment", _VERSIONS_SQL + "select * from fin", ["config_log"])
+def config_versions_by_segment(fx: Fixtures):
+    """The log in segments: the first ones are replayed to a state, the others are summarised each on its own,
+    composed and applied to it."""
+    log = fx.config_log.withColumn("segment", (F.col("seq") * SEGMENTS / (F.lit(1) + fx.config_log.agg(F.max("seq")).scalar())).cast("int"))
+    state = K.config_versions(K.replay_config_log(log.filter("segment < 2")))
+    later = INC.compose_segments(INC.segment_summaries(log.filter("segment >= 2"), "segment"))
+    return INC.apply_summaries(state, later).select("suite_id", "current_version", "latest_version", "rejected")
+
+
+@query("registry_current_by_segment", O["registry_current"])
+def registry_current_by_segment(fx: Fixtures):
+    """The registry kept as a table; every segment of the log is applied to what the one before left."""
+    cut = fx.change_log.agg((F.max("seq") / 2).cast("long")).scalar()
+    state = INC.apply_changes_to(None, fx.change_log.filter(F.col("seq") <= cut))
+    return INC.apply_changes_to(state, fx.change_log.filter(F.col("seq") > cut))

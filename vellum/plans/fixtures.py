@@ -60,6 +60,18 @@ select l_orderkey, l_linenumber, l_extendedprice as y_true, l_quantity*p_retailp
 """,
     "pred_rank": """
 select o_custkey as query_id, o_orderkey as item_id, o_totalprice as score, case o_orderstatus when 'F' then 2 when 'O' then 1 else 0 end as grade from {orders}
+""",
+    "gap_class": """
+select case when l_linenumber = 7 then null else l_linenumber end as run_id, case when l_orderkey % 5 = 1 then null else y_true end as y_true,
+ case when l_orderkey % 6 = 1 then null else y_pred end as y_pred from {pred_class}
+""",
+    "gap_reg": """
+select case when l_linenumber = 7 then null else l_linenumber end as run_id, case when l_orderkey % 5 = 1 then null else y_true end as y_true,
+ case when l_orderkey % 6 = 1 then null else y_pred end as y_pred from {pred_reg}
+""",
+    "gap_rank": """
+select case when query_id % 3 = 0 then null else query_id % 3 end as run_id, case when query_id % 10 = 1 then null else query_id end as query_id, item_id, score, grade
+from {pred_rank}
 """,
     "pred_text": """
 select u.conv_id, u.turn, u.text as reference, a.text as output from {conversations} u join {conversations} a on a.conv_id=u.conv_id and a.turn=u.turn+1 where u.role='user' and a.role='assistant'

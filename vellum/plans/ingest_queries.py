@@ -545,12 +545,22 @@ def union_uploads(fx: Fixtures):
 @query("dataset_growth_uploads", """
 with per as (select strftime(ts, '%Y-%m-%d') as period, count(*) as rows_added from events group by 1)
 select 'events_history' as dataset_id, period, rows_added,
- cast(sum(rows_added) over (order by period rows between unbounded preceding and current row) as bigint) as cumulative_rows from per
+ cast(sum(rows_added) over (order by period rows between unbounded preceding and current row) as bigint) as cumulative_rows, cast(1 as bigint) as files_left_out from per
 """)
 def dataset_growth_uploads(fx: Fixtures):
-    """W5 over stored uploads: rows per upload day of the history set."""
+    """W5 over stored uploads: rows per upload day of the history set, and how many damaged files were left out."""
     from vellum.operators import runs as RU
-    data = fx.spark.read.option("ignoreCorruptFiles", True).parquet(write_history_set(fx))
+    folder = write_history_set(fx)
+    left_out = I.file_rows(fx.spark, folder).filter("damaged").count()
+    data = fx.spark.read.option("ignoreCorruptFiles", True).parquet(folder)
     g = RU.dataset_growth(data.withColumn("dataset_id", F.lit("events_history")), "dataset_id", "ts")
     return g.select("dataset_id", F.date_format("period", "yyyy-MM-dd").alias("period"), "rows_added",
-                    F.col("cumulative_rows").cast("bigint").alias("cumulative_rows"))
+                    F.col("cumulative_rows").cast("bigint").alias("cumulative_rows"), F.lit(left_out).cast("bigint").alias("files_left_out"))
+
+
+@query("damaged_files", "select '20240131_000000' as upload, cast(1 as bigint) as files, (select count(*) from events) as rows_of_others")
+def damaged_files(fx: Fixtures):
+    """Stored files that can't be read, by upload, beside the rows of those that can."""
+    files = I.file_rows(fx.spark, write_history_set(fx))
+    rows = files.agg(F.sum("rows")).first()[0]
+    return files.filter("damaged").groupBy("upload").agg(F.count(F.lit(1)).alias("files")).withColumn("rows_of_others", F.lit(rows).cast("bigint"))

@@ -386,3 +386,35 @@ select run_id, 'auc_roc' as metric_name, round(case when p * n <> 0 then (rs - p
 def run_metrics_auc(fx: Fixtures):
     rows = fx.pred_binary.withColumn("run_id", F.col("row_id") % 4)
     return M.run_metrics(rows, ["auc_roc"], "run_id").withColumn("metric_value", F.round("metric_value", 6))
+
+
+# --------------------------------------------------------------- nulls: labels, values, runs and queries
+
+@query("accuracy_null_labels", """
+select run_id, 'accuracy' as metric_name, round(avg(case when y_true is not distinct from y_pred then 1.0 else 0.0 end), 6) as metric_value from gap_class group by 1
+""", ["gap_class"])
+def accuracy_null_labels(fx: Fixtures):
+    return M.run_metrics(fx.gap_class, ["accuracy"], "run_id").withColumn("metric_value", F.round("metric_value", 6))
+
+
+@query("regression_null_values", f"""
+select run_id, {", ".join(f"round({_REG_SQL[m]}, {_REG_ROUND[m]}) as {m}" for m in _REG_SQL)}, count(*) as n
+from gap_reg where y_true is not null and y_pred is not null group by 1
+""", ["gap_reg"])
+def regression_null_values(fx: Fixtures):
+    r = M.regression_metrics(fx.gap_reg, group="run_id")
+    return r.select("run_id", *[F.round(m, d).alias(m) for m, d in _REG_ROUND.items()], "n")
+
+
+_GAP_KEYS = "row_number() over (partition by run_id, query_id order by"
+
+
+@query("ranking_null_keys", f"""
+with d as (select *, {_GAP_KEYS} score desc, item_id) as rk, {_GAP_KEYS} grade desc, item_id) as ik from gap_rank),
+q as (select run_id, query_id, sum((pow(2, grade) - 1) / log2(rk + 1)) filter (where rk <= 10) as dcg, sum((pow(2, grade) - 1) / log2(ik + 1)) filter (where ik <= 10) as idcg,
+  coalesce(1.0 / min(rk) filter (where grade >= 2), 0.0) as rr from d group by all),
+w as (select run_id, round(avg(case when idcg > 0 then dcg / idcg else 0.0 end), 6) as ndcg, round(avg(rr), 6) as mrr from q group by 1)
+select * from (unpivot w on ndcg, mrr into name metric_name value metric_value)
+""", ["gap_rank"])
+def ranking_null_keys(fx: Fixtures):
+    return M.run_metrics(fx.gap_rank, ["ndcg", "mrr"], "run_id").withColumn("metric_value", F.round("metric_value", 6))

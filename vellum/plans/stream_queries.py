@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from vellum.plans.fixtures import Fixtures, with_fixtures
 from vellum.session import scratch_path
 from vellum.sources import ingest as I
+from vellum.streaming import anomalies as SA
+from vellum.streaming import progress as SP
 from vellum.streaming import runs as ST
+from vellum.streaming.tables import EpochTable, run_to_keyed_table
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -67,6 +70,31 @@ def stream_progress(fx: Fixtures):
     return _run(fx, ST.stream_progress, "update", keys=["run_id"])
 
 
+PROGRESS_AS_OF = "2024-01-20 00:00:00"
+
+
+@query("stream_live_progress", f"""
+with d as (select run_id, row_id, min(ts) as ts, arg_max(status_code, ts) as status_code from run_outputs where ts < timestamp '{PROGRESS_AS_OF}' group by all),
+j as (select i.run_id, i.row_id, d.ts, d.status_code from (select distinct run_id, row_id from run_outputs) i left join d using (run_id, row_id))
+select run_id, count(*) as expected, count(ts) as processed, count(*) filter (where status_code >= 400) as failed,
+ count(*) - count(ts) as remaining, round(100.0 * count(ts) / count(*), 6) as percent,
+ round(case when count(ts) > 0 then date_diff('microsecond', min(ts), timestamp '{PROGRESS_AS_OF}') / 1e6 / count(ts) * (count(*) - count(ts)) end, 3) as eta_seconds
+from j group by run_id
+""", ["run_outputs"])
+def stream_live_progress(fx: Fixtures):
+    """Two streams, of rows asked for and of outputs; the second has come as far as ``PROGRESS_AS_OF`` and sends each slice twice."""
+    spark = fx.spark
+    asked, done = write_stream_folder(fx), write_stream_folder(fx, copies=2)
+    schema = _stream_rows(fx).schema
+    inputs = ST.file_stream(spark, asked, schema, max_files=FILES_PER_SLICE)
+    outputs = ST.file_stream(spark, done, schema, max_files=FILES_PER_SLICE).filter(F.col("ts") < F.lit(PROGRESS_AS_OF).cast("timestamp"))
+    out = ST.run_to_table(SP.live_progress(inputs, outputs, buckets=4, watermark="60 days"), scratch_path(spark, "progress-out"),
+                          scratch_path(spark, "progress-ckpt"), "update")
+    report = SP.progress_report(ST.read_result(spark, out, "update", ["run_id", "bucket"]), PROGRESS_AS_OF)
+    return report.select("run_id", "expected", "processed", "failed", "remaining", F.round("percent", 6).alias("percent"),
+                         F.round("eta_seconds", 3).alias("eta_seconds"))
+
+
 def _fmt(df):
     return df.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                      F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"),
@@ -133,6 +161,46 @@ def stream_resume_dedup(fx: Fixtures):
     return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("stream_progress_folded", """
+select run_id, count(*) as processed, count(*) filter (where status_code >= 400) as failed from run_outputs group by run_id
+""", ["run_outputs"])
+def stream_progress_folded(fx: Fixtures):
+    """The counts of ``stream_progress`` kept by run, folded every third epoch."""
+    spark, folder = fx.spark, write_stream_folder(fx)
+    src = ST.file_stream(spark, folder, _stream_rows(fx).schema, max_files=FILES_PER_SLICE)
+    table = EpochTable(spark, scratch_path(spark, "progress-table"), ["run_id"], fold_every=3)
+    return run_to_keyed_table(ST.stream_progress(src), table, scratch_path(spark, "stream-ckpt"), "update").read()
+
+
+@query("stream_first_outputs", """
+with one as (select run_id, row_id, min(ts) as ts, arg_min(status_code, ts) as status_code from run_outputs group by all)
+select run_id, count(*) as rows, count(*) filter (where status_code >= 400) as failed from one group by 1
+""", ["run_outputs"])
+def stream_first_outputs(fx: Fixtures):
+    """Every row is sent twice, weeks apart in event time; no watermark, the table knows the keys for good."""
+    spark, folder = fx.spark, write_stream_folder(fx, copies=2)
+    src = ST.file_stream(spark, folder, _stream_rows(fx).schema, max_files=FILES_PER_SLICE)
+    table = EpochTable(spark, scratch_path(spark, "first-outputs"), ["run_id", "row_id"], keep="first", order="ts", fold_every=5)
+    rows = run_to_keyed_table(src, table, scratch_path(spark, "stream-ckpt")).read()
+    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status_code") >= 400).alias("failed"))
+
+
+@query("stream_anomalies", """
+with per as (select run_id, date_trunc('day', ts) as period, count(*) as n, count(*) filter (where status_code >= 400) as failures
+ from run_outputs group by all),
+r as (select *, failures / n as failure_rate from per),
+w as (select *, avg(failure_rate) over (partition by run_id order by period rows between 7 preceding and 1 preceding) as mu,
+ stddev_samp(failure_rate) over (partition by run_id order by period rows between 7 preceding and 1 preceding) as sd from r)
+select run_id, strftime(period, '%Y-%m-%d') as period, n, failures, round(failure_rate, 6) as failure_rate,
+ coalesce(abs(round(case when sd > 1e-9 then (failure_rate - mu) / sd end, 9)) > 2.0, false) as anomalous
+from w where period + interval 1 day <= (select max(ts) - interval 1 hour from run_outputs)
+""", ["run_outputs"])
+def stream_anomalies(fx: Fixtures):
+    """W4's flags on the days that the stream has closed."""
+    rows = _run(fx, SA.stream_anomalies, "append")
+    return rows.select("run_id", F.date_format("period", "yyyy-MM-dd").alias("period"), "n", "failures", F.round("failure_rate", 6).alias("failure_rate"), "anomalous")
+
+
 def write_upload_stream(fx: Fixtures) -> str:
     """One CSV upload (a folder of parts) per order priority, and a text file;
     the '4-NOT SPECIFIED' upload lacks the amount column."""

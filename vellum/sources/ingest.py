@@ -5,6 +5,7 @@ Store layout under one root folder (shared storage)::
     {root}/data/dataset_id={id}/upload={YYYYMMDD_HHMMSS[_n]}/part-*.parquet
     {root}/schemas/   one row per (dataset, upload, column) -- the schema log
     {root}/uploads/   one report row per upload attempt
+    {root}/files/     the files that a version (a set of files taken together) consists of
 
 One upload = one folder of Parquet parts ("one file = one upload" of the
 reference becomes "one partition = one upload").  An upload source is any
@@ -33,8 +34,10 @@ from pyspark.sql import types as T
 
 from vellum.functions import scalar as S
 from vellum.operators import schema as C
+from vellum.session import saved
 
 # Cell patterns of the types a column may get, next to what try_cast accepts.
+SHORT_INTEGER_CELL = r"^\s*[+-]?[0-9]{1,18}\s*$"
 INTEGER_CELL = r"^\s*[+-]?[0-9]+\s*$"
 DOUBLE_CELL = r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|NaN|[+-]?Infinity)\s*$"
 BOOLEAN_CELL = r"(?i)^(true|false)$"
@@ -50,17 +53,23 @@ MAX_FILE_BYTES = 1 << 30
 MAX_DATASET_BYTES = 10 << 30
 
 REPORT_SCHEMA = T.StructType([
-    T.StructField("dataset_id", T.StringType()), T.StructField("source", T.StringType()),
+    T.StructField("dataset_id", T.StringType()), T.StructField("source", T.StringType()), T.StructField("version", T.StringType()),
     T.StructField("accepted", T.BooleanType()), T.StructField("upload", T.StringType()),
     T.StructField("row_count", T.LongType()), T.StructField("n_columns", T.IntegerType()),
     T.StructField("is_first_upload", T.BooleanType()),
     T.StructField("errors", T.ArrayType(T.StringType())), T.StructField("warnings", T.ArrayType(T.StringType())),
 ])
 
+FILE_LOG = T.StructType([
+    T.StructField("dataset_id", T.StringType()), T.StructField("version", T.StringType()), T.StructField("path", T.StringType()),
+    T.StructField("length", T.LongType()), T.StructField("modified", T.TimestampType()),
+])
+
 SCHEMA_LOG = T.StructType([
     T.StructField("ordinal", T.IntegerType()), T.StructField("column_name", T.StringType()), T.StructField("type", T.StringType()),
     T.StructField("nullable", T.BooleanType()), T.StructField("dataset_id", T.StringType()), T.StructField("upload", T.StringType()),
     T.StructField("seq", T.LongType()), T.StructField("source", T.StringType()), T.StructField("row_count", T.LongType()), T.StructField("created_at", T.TimestampNTZType()),
+    T.StructField("version", T.StringType()),
 ])
 
 
@@ -85,6 +94,13 @@ def list_drop_folder(spark: SparkSession, folder: str) -> DataFrame:
             .withColumn("accepted", F.lower("source").endswith(".csv")))
 
 
+def list_source_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, path, length, modified) of every file in a drop folder's sources; contents are not read."""
+    folder = folder.rstrip("/")
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+            .select(source_in(folder).alias("source"), "path", "length", F.col("modificationTime").alias("modified")))
+
+
 def source_in(folder: str, path: str = "path") -> Column:
     """The name directly under ``folder`` that a file's path goes through."""
     return F.regexp_extract(F.col(path), r"^.*?" + re.escape(source_name(folder)) + r"/([^/]+)", 1)
@@ -101,35 +117,69 @@ def csv_reader(spark: SparkSession, sep: str = ",", multi_line: bool = True):
             .option("multiLine", multi_line).option("enforceSchema", False))
 
 
-# Candidate types in order of preference: canonical name -> (Spark type, test of a cell).
+# What a cell is, first test first: name -> (bit, test).  A cell gets one bit.
+CELL_KINDS = {
+    "integer": (1, lambda c: c.rlike(SHORT_INTEGER_CELL) | (c.rlike(INTEGER_CELL) & c.try_cast("bigint").isNotNull())),
+    "decimal": (2, lambda c: c.rlike(DOUBLE_CELL)),
+    "date": (4, lambda c: c.rlike(DATE_CELL) & c.try_cast("date").isNotNull()),
+    "stamp": (8, lambda c: c.rlike(STAMP_CELL) & c.try_cast("timestamp_ntz").isNotNull()),
+    "time": (16, lambda c: c.rlike(TIME_CELL)),
+    "truth": (32, lambda c: c.rlike(BOOLEAN_CELL)),
+}
+OTHER_CELL = 64
+# Types in order of preference: canonical name -> (Spark type, the kinds its cells may be of).
 CELL_TYPES = {
-    "BIGINT": ("bigint", lambda c: c.rlike(INTEGER_CELL) & c.try_cast("bigint").isNotNull()),
-    "DOUBLE": ("double", lambda c: c.rlike(DOUBLE_CELL) & c.try_cast("double").isNotNull()),
-    "BOOLEAN": ("boolean", lambda c: c.rlike(BOOLEAN_CELL)),
-    "DATE": ("date", lambda c: c.rlike(DATE_CELL) & c.try_cast("date").isNotNull()),
-    "TIMESTAMP": ("timestamp_ntz", lambda c: c.rlike(STAMP_CELL) & c.try_cast("timestamp_ntz").isNotNull()),
-    "TIME": ("string", lambda c: c.rlike(TIME_CELL)),
+    "BIGINT": ("bigint", ("integer",)),
+    "DOUBLE": ("double", ("integer", "decimal")),
+    "BOOLEAN": ("boolean", ("truth",)),
+    "DATE": ("date", ("date",)),
+    "TIMESTAMP": ("timestamp_ntz", ("date", "stamp")),
+    "TIME": ("string", ("time",)),
 }
 
 
+def cell_kind(c: Column) -> Column:
+    """The bit of a cell's kind, 0 for an empty cell."""
+    kind = F.when(c.isNull(), F.lit(0))
+    # None of the tests passes on a cell that starts with another character.
+    kind = kind.when(~F.substring(c, 1, 1).rlike(r"[\s0-9+\-.NItTfF]"), F.lit(OTHER_CELL))
+    for bit, test in CELL_KINDS.values():
+        kind = kind.when(test(c), F.lit(bit))
+    return kind.otherwise(F.lit(OTHER_CELL))
+
+
+def type_of(kinds: int) -> str:
+    """The type of a column whose cells are of these kinds (an or of their bits)."""
+    for name, (_, members) in CELL_TYPES.items():
+        if kinds and not kinds & ~sum(CELL_KINDS[k][0] for k in members):
+            return name
+    return "VARCHAR"
+
+
+def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a quoted cell may reach over a line end: some line has an odd number of quotes.
+    Lines are read in parallel, whatever the number of files."""
+    lines = spark.read.text(path)
+    return not lines.filter(F.length(F.translate("value", '"', "")) % 2 != F.length("value") % 2).limit(1).isEmpty()
+
+
 class CsvSource:
     """One CSV source, inferred: ``types`` by column, ``row_count`` and the
-    number of ``malformed`` rows, all from one pass over the whole source."""
+    number of ``malformed`` rows, all from one pass over the whole source.
+
+    A file of a source without line breaks in cells is read by many tasks; ``multi_line``
+    says whether there are any (None: look, in a pass over the bare lines)."""
 
-    def __init__(self, spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True):
+    def __init__(self, spark: SparkSession, path: str | list[str], sep: str = ",", multi_line: bool | None = None):
         self.spark, self.path = spark, path
-        reader = csv_reader(spark, sep, multi_line)
+        reader = csv_reader(spark, sep, spans_lines(spark, path) if multi_line is None else multi_line)
         self.columns = reader.csv(path).columns
         text = T.StructType([*[T.StructField(c, T.StringType()) for c in self.columns], T.StructField(MALFORMED, T.StringType())])
         self.text = reader.option("columnNameOfCorruptRecord", MALFORMED).schema(text).csv(path)
-        cells = [F.col(f"`{c}`") for c in self.columns]
-        counts = [F.count(F.lit(1)).alias("rows"), F.count(MALFORMED).alias("bad")]
-        counts += [F.count(c).alias(f"n{i}") for i, c in enumerate(cells)]
-        counts += [F.count_if(test(c)).alias(f"{t}{i}") for i, c in enumerate(cells) for t, (_, test) in CELL_TYPES.items()]
-        found = self.text.agg(*counts).first()
+        kinds = [F.bit_or(cell_kind(F.col(f"`{c}`"))).alias(f"k{i}") for i, c in enumerate(self.columns)]
+        found = self.text.agg(F.count(F.lit(1)).alias("rows"), F.count(MALFORMED).alias("bad"), *kinds).first()
         self.row_count, self.malformed = found["rows"], found["bad"]
-        self.types = {c: next((t for t in CELL_TYPES if found[f"n{i}"] and found[f"{t}{i}"] == found[f"n{i}"]), "VARCHAR")
-                      for i, c in enumerate(self.columns)}
+        self.types = {c: type_of(found[f"k{i}"] or 0) for i, c in enumerate(self.columns)}
 
     def typed(self) -> DataFrame:
         """The rows under the inferred types (a time of day stays text)."""
@@ -141,7 +191,7 @@ class CsvSource:
         return self.spark.createDataFrame(rows, C.SCHEMA_TABLE).coalesce(1)
 
 
-def infer_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> tuple[DataFrame, DataFrame, dict]:
+def infer_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Header CSV with full type inference over all rows.  Returns the
     typed rows, the schema table and the columns reported as TIME.  Rows with
     too many or too few cells raise, with their number."""
@@ -201,26 +251,70 @@ class DatasetStore:
         mine = s.filter(F.col("dataset_id") == str(dataset_id)).groupBy("seq", "upload").agg(F.lit(1))
         return sorted((r["seq"], r["upload"]) for r in mine.collect())
 
-    def seen_sources(self, dataset_id) -> set[str]:
-        """Names of the sources that are stored or were refused."""
-        logs = [x for x in (self.schemas(), self._reports()) if x is not None]
-        return {r["source"] for x in logs for r in x.filter(F.col("dataset_id") == str(dataset_id)).select("source").distinct().collect()}
-
-    def _reports(self) -> DataFrame | None:
+    def _log(self, folder: str, schema: T.StructType) -> DataFrame:
+        """A log table, empty before its first row.  A read error is raised."""
         try:
-            return self.uploads()
-        except Exception as e:  # noqa: BLE001 -- no report yet
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
+        except Exception as e:  # noqa: BLE001 -- no such log yet
             if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-                return None
+                return self.spark.createDataFrame([], schema)
             raise
 
+    def taken_files(self, dataset_id) -> DataFrame:
+        """(path, length, modified) of every file that is stored or was refused: the files
+        of the versions that the schema log or a report names.  Files logged by an
+        upload that failed before it was logged itself don't count."""
+        mine = F.col("dataset_id") == str(dataset_id)
+        seen = [self._log(name, schema).filter(mine).select("version") for name, schema in (("schemas", SCHEMA_LOG), ("uploads", REPORT_SCHEMA))]
+        files = self._log("files", FILE_LOG).filter(mine)
+        return files.join(seen[0].unionByName(seen[1]).distinct(), "version", "left_semi").select("path", "length", "modified").distinct()
+
+    def new_files(self, dataset_id, folder: str, names: list[str] | None = None, settle: str | None = None) -> DataFrame:
+        """(source, path, length, modified, whole) of the files that weren't taken as they stand now: new
+        ones, parts that came late, and files written again under a name that was taken.  ``whole``: no
+        file of the source was taken.  With ``settle`` (an interval, e.g. ``10 minutes``) a source counts as
+        complete, and is listed, once none of its files has changed for that long."""
+        files = list_source_files(self.spark, folder)
+        if names is not None:
+            files = files.filter(F.col("source").isin(names))
+        taken = self.taken_files(dataset_id).withColumn("taken", F.lit(True))
+        files = files.join(taken, ["path", "length", "modified"], "left")
+        per = files.groupBy("source").agg(F.count("taken").alias("n_taken"), F.max("modified").alias("last"))
+        if settle:
+            per = per.filter(F.col("last") <= F.current_timestamp() - F.expr(f"interval {settle}"))
+        return (files.filter("taken is null").join(per, "source")
+                .select("source", "path", "length", "modified", (F.col("n_taken") == 0).alias("whole")))
+
+    def upload_new(self, dataset_id, folder: str, names: list[str] | None = None, now: _dt.datetime | None = None,
+                   settle: str | None = None) -> list[dict]:
+        """Takes what ``new_files`` lists, an upload a source, in name order.  A version's files are logged
+        first and count once its report or its schema is logged, so a failure in between loses and
+        doubles nothing.  Names and paths of what is new reach the driver."""
+        new = saved(self.new_files(dataset_id, folder, names, settle), "new-files")
+        one = F.xxhash64("path", "length", "modified").cast("decimal(38,0)")
+        versions = new.groupBy("source").agg(F.hex(F.sum(one).cast("string")).alias("version"), F.min("whole").alias("whole"))
+        found = {r["source"]: r for r in versions.collect()}
+        if not found:
+            return []
+        # A source is read by the very files that were listed, whatever comes meanwhile.
+        paths: dict[str, list[str]] = {}
+        for r in new.select("source", "path").orderBy("path").collect():
+            paths.setdefault(r["source"], []).append(r["path"])
+        (new.join(versions.select("source", "version"), "source").select(F.lit(str(dataset_id)).alias("dataset_id"), "version", "path", "length", "modified")
+         .write.mode("append").parquet(f"{self.root}/files"))
+        order = sorted(found)
+        sources = [(n, paths[n], now + _dt.timedelta(seconds=i) if now else None) for i, n in enumerate(order)]
+        notes = {n: [f"{len(paths[n])} files came after the source was taken"] for n in order if not found[n]["whole"]}
+        return self._upload(dataset_id, sources, versions={n: found[n]["version"] for n in order}, notes=notes)
+
     # -- S4
     def upload_csv(self, dataset_id, source: str, now: _dt.datetime | None = None, sep: str = ",") -> dict:
         """Gate -> infer -> drift check -> append Parquet -> log.  Returns
         the report row as a dict (also appended to the uploads table)."""
-        return self._upload(dataset_id, [(source, now)], sep)[0]
+        return self._upload(dataset_id, [(source_name(source), source, now)], sep)[0]
 
-    def _upload(self, dataset_id, sources: list[tuple[str, _dt.datetime | None]], sep: str = ",") -> list[dict]:
+    def _upload(self, dataset_id, sources: list[tuple[str, str | list[str], _dt.datetime | None]], sep: str = ",",
+                versions: dict[str, str] | None = None, notes: dict[str, list[str]] | None = None) -> list[dict]:
         """Several sources in order, each accepted or rejected on its own: read
         side by side, checked one after the other on their schemas (a few names
         each), written side by side, logged last."""
@@ -229,16 +323,17 @@ class DatasetStore:
         in_force = None if old is None else {r["column_name"]: r["type"] for r in old.orderBy("ordinal").collect()}
         taken, seq = {u for _, u in done}, max((n for n, _ in done), default=0)
         with ThreadPoolExecutor(PARALLEL) as pool:
-            read = list(pool.map(lambda x: CsvSource(self.spark, x[0], sep) if csv_gate_ok(source_name(x[0])) else None, sources))
+            read = list(pool.map(lambda x: CsvSource(self.spark, x[1], sep) if csv_gate_ok(x[0]) else None, sources))
             reports, accepted = [], []
-            for (path, now), src in zip(sources, read):
-                rep = dict(dataset_id=str(dataset_id), source=source_name(path), accepted=False, upload=None, row_count=None,
+            for (name, _, now), src in zip(sources, read):
+                rep = dict(dataset_id=str(dataset_id), source=name, version=(versions or {}).get(name), accepted=False, upload=None, row_count=None,
                            n_columns=None, is_first_upload=None, errors=[], warnings=[])
                 reports.append(rep)
                 if src is None:
                     rep["errors"] = ["not a .csv source"]
                     continue
-                errors, rep["warnings"] = C.drift_lists(src.types, in_force)
+                errors, warnings = C.drift_lists(src.types, in_force)
+                rep["warnings"] = [*warnings, *(notes or {}).get(name, [])]
                 bad = [f"{src.malformed} rows with too many or too few cells"] if src.malformed else []
                 rep.update(is_first_upload=in_force is None, n_columns=len(src.columns), errors=errors + bad)
                 if rep["errors"]:
@@ -260,7 +355,7 @@ class DatasetStore:
                 x[1].typed().write.mode("overwrite").parquet(f"{self.data_dir(dataset_id)}/upload={x[0]['upload']}")
 
             list(pool.map(write, accepted))
-        log = [(i, c, t, True, str(dataset_id), rep["upload"], n, rep["source"], rep["row_count"], at)
+        log = [(i, c, t, True, str(dataset_id), rep["upload"], n, rep["source"], rep["row_count"], at, rep["version"])
                for rep, src, n, at in accepted for i, (c, t) in enumerate(src.types.items())]
         if log:
             self.spark.createDataFrame(log, SCHEMA_LOG).coalesce(1).write.mode("append").parquet(self.schemas_dir)
@@ -277,14 +372,25 @@ class DatasetStore:
     def upload_sources(self, dataset_id, folder: str, names: list[str], now: _dt.datetime | None = None) -> list[dict]:
         """The named sources of a drop folder, in order."""
         at = [now + _dt.timedelta(seconds=i) if now else None for i in range(len(names))]
-        return self._upload(dataset_id, [(f"{folder.rstrip('/')}/{n}", t) for n, t in zip(names, at)])
+        return self._upload(dataset_id, [(n, f"{folder.rstrip('/')}/{n}", t) for n, t in zip(names, at)])
 
     # -- S6 / S8
     def read_all(self, dataset_id) -> DataFrame:
         """The dataset over all logged uploads; columns absent from
-        older uploads come back null.  A damaged file raises."""
+        older uploads come back null.  A damaged file raises.  The columns come from the
+        log, a row per column, so no file is opened before the scan."""
         paths = [f"{self.data_dir(dataset_id)}/upload={u}" for _, u in self.committed(dataset_id)]
-        return self.spark.read.option("mergeSchema", True).option("basePath", f"{self.root}/data").parquet(*paths)
+        return self.spark.read.schema(self.logged_schema(dataset_id)).option("basePath", f"{self.root}/data").parquet(*paths)
+
+    def logged_schema(self, dataset_id) -> T.StructType:
+        """Every column that a logged upload has, in order of appearance, under the type of the last upload that
+        has it, and the partition columns."""
+        mine = self.schemas().filter(F.col("dataset_id") == str(dataset_id))
+        last = mine.groupBy("column_name").agg(F.min(F.struct("seq", "ordinal")).alias("first"), F.max_by("type", "seq").alias("type"))
+        kinds = {t: spark_type for t, (spark_type, _) in CELL_TYPES.items()}
+        columns = [T.StructField(r["column_name"], T.StructType.fromDDL(f"c {kinds.get(r['type'], 'string')}")[0].dataType)
+                   for r in last.orderBy("first").collect()]
+        return T.StructType([*columns, T.StructField("dataset_id", T.StringType()), T.StructField("upload", T.StringType())])
 
 # -- S7
     def list_uploads(self, dataset_id) -> DataFrame:
@@ -311,55 +417,68 @@ def upload_order(upload: str = "upload") -> list[Column]:
     return [F.when(stamp != "", stamp).otherwise(F.col(upload)), F.coalesce(n.try_cast("bigint"), F.lit(1)), F.col(upload)]
 
 
-# A Parquet file without rows holds a schema and no more; a larger file without rows isn't one.
-EMPTY_FILE_BYTES = 16 << 20
+# Silent files up to this size are opened all together, larger ones (damaged as a rule, and few) by their paths.
+SMALL_FILE_BYTES = 16 << 20
 
 
-def _empty_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Those of the files that are Parquet without rows (not damaged), looked
-    into by Spark tasks."""
+def file_rows(spark: SparkSession, dataset_dir: str) -> DataFrame:
+    """(file_path, upload, file_size, rows, damaged) of every stored file.  Counts come from one column-less scan (footers
+    only) grouped by file; files that gave no rows are opened by tasks, which tell empty files from damaged ones."""
     import pyarrow as pa
 
+    files = list_uploads(spark, dataset_dir).select("file_path", "upload", "file_size")
+    data = spark.read.option("ignoreCorruptFiles", True).parquet(dataset_dir)
+    counts = data.select(F.col("_metadata.file_path").alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("rows"))
+    listed = saved(files.join(counts, F.col("file_path") == F.col("of"), "left").drop("of"), "file-rows")
+    silent = listed.filter("rows is null")
+
     def look(batches):
         import pyarrow.parquet as pq
 
         for batch in batches:
             rows = []
-            for data in batch.column("content"):
+            for content in batch.column("content"):
                 try:
-                    rows.append(pq.read_metadata(pa.BufferReader(data.as_buffer())).num_rows)
+                    rows.append(pq.read_metadata(pa.BufferReader(content.as_buffer())).num_rows)
                 except (pa.ArrowException, OSError):
                     rows.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(rows, type=pa.int64())], names=["file_path", "rows"])
-
-    files = spark.read.format("binaryFile").load(paths).filter(F.col("length") <= EMPTY_FILE_BYTES)
-    return files.select("path", "content").mapInArrow(look, "file_path string, rows long").filter("rows = 0")
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(rows, type=pa.int64())], names=["looked_at", "found"])
+
+    def opened(files: DataFrame) -> DataFrame:
+        return files.select("path", "content").mapInArrow(look, "looked_at string, found long")
+
+    reader = spark.read.format("binaryFile")
+    looked = []
+    # The range of the small ones' sizes is pushed into the listing: other files' contents are not read.
+    small = silent.filter(F.col("file_size") <= SMALL_FILE_BYTES)
+    span = small.agg(F.min("file_size").alias("least"), F.max("file_size").alias("most")).first()
+    if span["most"] is not None:
+        near = reader.option("recursiveFileLookup", "true").load(dataset_dir).filter((F.col("length") >= span["least"]) & (F.col("length") <= span["most"]))
+        looked.append(opened(near.join(small.select("file_path"), F.col("path") == F.col("file_path"), "left_semi")))
+    large = [r["file_path"] for r in silent.filter(F.col("file_size") > SMALL_FILE_BYTES).select("file_path").collect()]
+    if large:
+        looked.append(opened(spark.read.format("binaryFile").load(large)))
+    out = listed
+    for found in looked:
+        out = out.join(found, F.col("file_path") == F.col("looked_at"), "left").withColumn("rows", F.coalesce("rows", "found")).drop("looked_at", "found")
+    return out.select("file_path", "upload", "file_size", "rows", F.col("rows").isNull().alias("damaged"))
 
 
 def dataset_history(spark: SparkSession, dataset_dir: str) -> DataFrame:
     """Per upload in order: ISO timestamp (raw text when the name is no
-    stamp), name, rows added, cumulative rows, bytes, cumulative bytes.
-    Unreadable files are skipped and not counted.
-
-    Row counts come from one column-less scan (footers only) grouped by file;
-    the files that gave no rows are looked into together, in tasks, to tell
-    empty from unreadable ones.  Only the sums per upload are ordered.
+    stamp), name, rows added, cumulative rows, bytes, cumulative bytes, and how many
+    damaged files were left out.  These count neither in rows nor in bytes; an
+    upload of nothing else has no row (``file_rows`` lists it).  Only the sums per upload are ordered.
     """
-    files = list_uploads(spark, dataset_dir).select("file_path", "file_size", "upload")
-    data = spark.read.option("ignoreCorruptFiles", True).parquet(dataset_dir)
-    counts = data.select(F.col("_metadata.file_path").alias("file_path")).groupBy("file_path") \
-        .agg(F.count(F.lit(1)).alias("rows"))
-    silent = [r["file_path"] for r in files.join(counts, "file_path", "left_anti").select("file_path").collect()]
-    if silent:
-        counts = counts.unionByName(_empty_files(spark, silent))
-    good = files.join(counts, "file_path")
-    per_upload = good.groupBy("upload").agg(F.sum("rows").alias("rows_added"), F.sum("file_size").alias("file_size_bytes"))
+    good = F.when(~F.col("damaged"), F.col("file_size"))
+    per_upload = file_rows(spark, dataset_dir).groupBy("upload").agg(
+        F.sum("rows").alias("rows_added"), F.sum(good).alias("file_size_bytes"), F.count_if("damaged").alias("damaged_files")).filter("file_size_bytes is not null")
     # one row per upload of one dataset
     w = Window.orderBy(*upload_order()).rowsBetween(Window.unboundedPreceding, 0)
     return per_upload.select(
         S.parse_upload_stamp("upload").alias("timestamp"), F.col("upload").alias("filename"),
         "rows_added", F.sum("rows_added").over(w).alias("cumulative_rows"),
-        "file_size_bytes", F.sum("file_size_bytes").over(w).alias("cumulative_file_size_bytes"))
+        "file_size_bytes", F.sum("file_size_bytes").over(w).alias("cumulative_file_size_bytes"), "damaged_files")
 
 
 def preview(spark: SparkSession, dataset_dir: str, n: int = 10, upload: str | None = None) -> DataFrame:

@@ -92,12 +92,19 @@ def read_result(spark: SparkSession, out_path: str, mode: str, keys: list[str] =
 
 
 def ingest_stream(spark: SparkSession, drop_folder: str, store, dataset_id, checkpoint: str,
-                  report_path: str, max_files: int = 100) -> str:
+                  report_path: str, max_files: int = 100, settle: str | None = None) -> str:
     """ST4: CSV sources arriving in a drop folder are drift-checked and
     appended (S4) micro-batch by micro-batch.  A source is a file or a folder of
     part files directly under the drop folder, as in S5; names that the gate refuses
-    are reported.  A source is taken once: whatever the dataset's logs name is
-    skipped, also when a batch runs again.  Only the names of a batch reach the driver."""
+    are reported.
+
+    What was taken is known by file (path, length, modification time), in the store's own log: a
+    file is taken once, also when a batch runs again or the checkpoint is lost; a part that comes
+    after its source was taken, and a file written again under a name that was taken, is an upload of its
+    own, reported as late.  With ``settle`` a source waits until none of its files has changed for that long.
+    A listing at the end takes what the stream itself doesn't show (files written again, sources that
+    were still waiting).  Only names of a batch reach the driver, and paths of late parts.
+    """
     from vellum.sources.ingest import REPORT_SCHEMA, source_in
 
     folder = drop_folder.rstrip("/")
@@ -106,13 +113,17 @@ def ingest_stream(spark: SparkSession, drop_folder: str, store, dataset_id, chec
     files = (spark.readStream.format("binaryFile").schema(listing).option("recursiveFileLookup", "true")
              .option("maxFilesPerTrigger", max_files).load(folder).select("path"))
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        names = {r["source"] for r in batch.select(source_in(folder).alias("source")).distinct().collect()}
-        reps = store.upload_sources(dataset_id, folder, sorted(names - store.seen_sources(dataset_id)))
+    def take(names: list[str] | None, path: str, mode: str) -> None:
+        reps = store.upload_new(dataset_id, folder, names, settle=settle)
         if reps:
-            spark.createDataFrame(reps, REPORT_SCHEMA).write.mode("overwrite").parquet(f"{report_path}/epoch={epoch}")
+            spark.createDataFrame(reps, REPORT_SCHEMA).write.mode(mode).parquet(path)
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        names = sorted(r["source"] for r in batch.select(source_in(folder).alias("source")).distinct().collect())
+        take(names, f"{report_path}/epoch={epoch}", "overwrite")
 
     q = (files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    take(None, f"{report_path}/epoch=-1", "append")
     return report_path
