@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -7,7 +8,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vellum.llm import bpe, token_counts
+from vellum.llm import bpe, queries, token_counts
 from vellum.llm.queries import rank_file
 from tests.llm.conftest import EDGE_ROWS
 
@@ -53,8 +54,8 @@ def test_edges(edge, clashing, empty):
                              hashlib.sha256((t or "").encode()).hexdigest()))
         assert got == sorted(expected, key=repr)
     assert bpe.encode(empty, rank_file(), public_tokenizers.PATTERN, **made).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode(clashing, rank_file(), public_tokenizers.PATTERN, n_tokens="shard")
+    clash = bpe.encode(clashing, rank_file(), public_tokenizers.PATTERN, n_tokens="shard")  # the input's column moves
+    assert {"shard", "_SHARD"} <= set(clash.columns) and clash.filter("_SHARD = 'extra SHARD' and shard >= 0").count() == len(EDGE_ROWS)
 
 
 def test_histogram_sums(edge, empty):
@@ -81,3 +82,14 @@ def test_histogram_sums(edge, empty):
     assert none.count() == 0
     assert [tuple(r) for r in token_counts.totals_at(none, [], [10]).collect()] == [(10, 0, 0)]
     assert [tuple(r) for r in token_counts.quantiles(none, [], [0.5]).collect()] == [(0.5, None)]
+
+
+def test_queries_on_a_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()
+    ids = {r.doc_id: REFERENCE.encode_ordinary(r.text or "") for r in docs}
+    got = {r.doc_id: r for r in queries.op4_byte_bpe(spark, sf).collect()}
+    assert {i: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for i, r in got.items()} == {
+        r.doc_id: (len(ids[r.doc_id]), hashlib.sha256(np.array(ids[r.doc_id], "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs}
+    hist = {(r.source, r.n_tokens): r.n_docs for r in queries.op10_token_histogram(spark, sf).collect()}
+    assert hist == Counter((r.source, len(ids[r.doc_id])) for r in docs)

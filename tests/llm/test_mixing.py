@@ -1,10 +1,14 @@
 import re
 from collections import Counter
+from itertools import product
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vellum.llm import mixing
+from vellum.llm.queries import op3_mix_sources
 from tests.llm.conftest import EDGE_ROWS, rows_of
 
 
@@ -28,6 +32,45 @@ def test_flow_prefers_fresh_words_and_shares_overlaps():
     assert {p: sum(f.values()) for p, f in mixing.route(words, {"a": 1000, "b": 1000}).items()} == {p: 2 * n for p, n in words.items()}
 
 
+def best_flow(words, quota, passes=2):
+    """(words routed, cost) of the best of all flows, one by one."""
+    patterns, best = list(words), (0, 0)
+    choices = []
+    for p in patterns:
+        room = [range(min(quota[s], passes * words[p]) + 1) for s in p]
+        choices.append([g for g in product(*room) if sum(g) <= passes * words[p]])
+    for given in product(*choices):
+        by = Counter()
+        for p, g in zip(patterns, given):
+            for s, n in zip(p, g):
+                by[s] += n
+        if all(by[s] <= quota[s] for s in by):
+            # the k-th pass over a pattern costs k a word
+            cost = sum(min(max(sum(g) - k * words[p], 0), words[p]) * (k + 1) for p, g in zip(patterns, given) for k in range(passes))
+            best = max(best, (sum(by.values()), -cost))
+    return best[0], -best[1]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.sampled_from([("a",), ("b",), ("c",), ("a", "b"), ("b", "c")]), st.integers(0, 4), min_size=1, max_size=4),
+       st.tuples(*[st.integers(0, 5)] * 3))
+def test_flow_is_the_best_of_all(words, quotas):
+    quota = {s: q for s, q in zip("abc", quotas) if any(s in p for p in words)}
+    flow = mixing.route(words, quota)
+    for s, q in quota.items():
+        assert sum(f.get(s, 0) for f in flow.values()) <= q
+    given = {p: sum(f.values()) for p, f in flow.items()}
+    assert all(0 <= n <= 2 * words[p] for p, n in given.items())
+    cost = sum(min(max(n - k * words[p], 0), words[p]) * (k + 1) for p, n in given.items() for k in range(2))
+    assert (sum(given.values()), cost) == best_flow(words, quota)
+
+
+def test_many_sources_of_their_own_need_no_flow():
+    words = {(f"s{i}",): 100 + i for i in range(20_000)}
+    flow = mixing.route(words, {f"s{i}": 150.0 for i in range(20_000)})
+    assert all(f == {p[0]: min(2 * words[p], 150)} for p, f in flow.items())
+
+
 def taken(df, sources):
     rows, size, copies, sizes, target = mixing.mix(df, sources)
     return rows.select("doc_id", "source", F.col(size).alias("words"), F.col(copies).alias("times")).collect(), sizes, target
@@ -68,3 +111,23 @@ def test_overlapping_sources(spark):
     # The budget is 150% of the 4000 different words; b's share is drawn from the documents of both.
     assert abs(total - 6000) <= 10
     assert rows_of(out.filter("doc_id >= 400").select("doc_id", copies)) == [(400, 0), (401, 0)]
+
+
+def test_query_on_a_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op3_mix_sources(spark, sf).collect()
+    sizes, taken_, longest = Counter(), Counter(), Counter()
+    for r in got:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", docs[r.doc_id].text or ""))
+        s = docs[r.doc_id].source
+        assert r["size"] == n and r.taken in (0, n, 2 * n)
+        sizes[s] += n
+        taken_[s] += r.taken
+        longest[s] = max(longest[s], n)
+    target = mixing.fill_targets(dict(sizes))
+    for r in got:
+        s = docs[r.doc_id].source
+        assert r.source_size == sizes[s] and r.target == pytest.approx(target[s])
+    assert sum(target.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    assert all(abs(taken_[s] - target[s]) <= longest[s] for s in sizes)

@@ -41,7 +41,9 @@ from vellum.llm.common import runs, saved, with_group
 from vellum.llm.lexicon import ByteBpe, Lexicon, chunks, ragged
 from vellum.session import ship_code
 
-RUN_BYTES = 1 << 23
+RUN_BYTES = 1 << 22
+# Chunks a task remembers, about 250 bytes each: a bound of memory, not of input.
+REMEMBERED = 350_000
 # A pair is A's id times this plus B's id.
 B_IDS = 1 << 16
 
@@ -65,7 +67,7 @@ class Pair:
         self.names = np.array([f"{i}{c}" for i in range(max(len(self.a_sizes), len(names))) for c in ",|;"], dtype=object)
         if max(len(self.a_sizes), len(names)) > B_IDS:
             raise ValueError(f"vocabularies of more than {B_IDS} ids don't fit into the 32 bits of a pair")
-        self.lexicon = Lexicon(self.align)
+        self.lexicon = Lexicon(self.align, REMEMBERED)
 
     def align(self, words: list[str]) -> dict:
         """Counts, links and group strings of chunks."""
@@ -86,7 +88,7 @@ class Pair:
         word_ends = np.cumsum([len(e) if g else 0 for e, g in zip(expected, good)])
         at = lambda x: np.diff(np.searchsorted(x, word_ends, "right"), prepend=0)
         links = ids_a[np.searchsorted(ends_a, ends)] * B_IDS + ids_b[np.searchsorted(ends_b, ends)]
-        return {"good": good, "n_a": n_a, "n_b": n_b, "n_groups": at(common), "links": (links, at(ends)),
+        return {"good": good, "n_a": n_a, "n_b": n_b, "n_groups": at(common), "links": (links.astype(np.uint32), at(ends)),
                 "groups": self._groups(ids_a, ids_b, ends_a, ends_b, common, n_a + n_b)}
 
     def _groups(self, ids_a, ids_b, ends_a, ends_b, common, sizes) -> list[str]:
@@ -128,7 +130,7 @@ def _measured(pair: Pair, texts: pa.Array, docs: np.ndarray, run: int) -> pa.Rec
     packed = [b"" if x else at[i:j].astype("<i4").tobytes() for x, i, j in zip(bad.tolist(), cut, cut[1:])]
     starts = np.cumsum(sizes) - sizes
     kept = ~bad[text_of]
-    linked = links[ragged(starts[at[kept]], sizes[at[kept]])]
+    linked = links[ragged(starts[at[kept]], sizes[at[kept]])].astype(np.int64)
     seen = np.unique(np.repeat(text_of[kept], sizes[at[kept]]) << 32 | linked)
     pairs, which = np.unique(seen & 0xFFFFFFFF, return_inverse=True)
     weights = np.bincount(which, weights=docs[seen >> 32], minlength=len(pairs)).astype(np.int64)

@@ -1,9 +1,8 @@
 """Helpers the training-data operators share.
 
 * ``saved`` cuts lineage with a Parquet table under the shared checkpoint folder.
-* ``bitmap`` / ``marked`` test membership in a key set through a bit table of
-  a fixed size, the only thing these operators ever broadcast by hint besides
-  the hot groups below.
+* ``mark_keys`` tests membership in a key set: through a bit table of a size set by the number of keys and bound
+  to 64 MB, the only thing these operators ever broadcast by hint besides the hot groups below, or beyond that by a join.
 * ``with_group`` joins rows to their group's row; groups that hold more than a
   thousandth of all rows (fewer than a thousand groups) are broadcast, all
   others are shuffled, so no group's rows meet in one task.
@@ -34,8 +33,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # One bucket of the bit table has as many bits as ``bitmap_construct_agg`` makes.
 BUCKET_BITS = 32_768
-# Size of the bit table: 1024 buckets, 4 MB whatever the input holds.
-BITMAP_BUCKETS = 1024
+# A bit table has about this many bits for each key, in a power of two of buckets of 4 KB: from 1024 buckets (4 MB)
+# up to the bound of what is broadcast, 16384 (64 MB, 67 million keys).  With more keys rows are joined with the keys instead.
+BITS_PER_KEY, BITMAP_BUCKETS, MOST_BUCKETS = 8, 1024, 16_384
 
 HOT_PARTS = 1000
 CHUNK = 4096
@@ -94,6 +94,26 @@ def bitmap(df: DataFrame, *keys: Column, buckets: int = BITMAP_BUCKETS) -> DataF
             .agg(F.bitmap_construct_agg(F.col("slot") % BUCKET_BITS).alias("bits")))
 
 
+def bit_buckets(keys: int) -> int:
+    """Buckets of a bit table for so many keys; 0: too many for one."""
+    buckets = BITMAP_BUCKETS
+    while buckets * BUCKET_BITS < keys * BITS_PER_KEY:
+        buckets *= 2
+    return buckets if buckets <= MOST_BUCKETS else 0
+
+
+def mark_keys(df: DataFrame, keys: DataFrame, name: str, of_keys: list[Column], *of_rows: Column, n: int | None = None) -> DataFrame:
+    """``df`` with the boolean ``name``: true for every row whose key ``keys`` (a written table) has, and
+    possibly for a few others.  ``n`` is the number of keys, counted if it isn't given."""
+    buckets = bit_buckets(keys.count() if n is None else n)
+    if buckets:
+        return marked(df, saved(bitmap(keys, *of_keys, buckets=buckets), "bits", shuffled=True), name, *of_rows, buckets=buckets)
+    at, there = fresh(df, "at", "there")
+    hashed = keys.select(F.xxhash64(*of_keys).alias(there)).distinct()
+    joined = df.withColumn(at, F.xxhash64(*of_rows)).join(hashed, F.col(at) == F.col(there), "left")
+    return joined.withColumn(name, F.col(there).isNotNull()).drop(at, there)
+
+
 def marked(df: DataFrame, bits: DataFrame, name: str, *keys: Column, buckets: int = BITMAP_BUCKETS) -> DataFrame:
     """``df`` with the boolean ``name``: true for every row whose key is in
     ``bits``, and for the few others that share a bit with one.
@@ -160,14 +180,21 @@ def runs(texts: pa.Array, most: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
 
 def with_made(docs: DataFrame, text: str, added: T.StructType, make: Callable[[list], list[list]], keep_text: bool = False) -> DataFrame:
     """``docs`` (without ``text`` unless kept) and the ``added`` columns, whose
-    values ``make`` gives, a list per column, for a list of texts."""
+    values ``make`` gives, a list per column, for a list of texts.  A column of ``docs`` with
+    the name of an added one stays under that name with an underscore before it."""
     kept = [c for c in docs.columns if keep_text or c != text]
-    clash = {c.lower() for c in kept} & {f.name.lower() for f in added}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already; give other names")
     ship_code(docs.sparkSession)
     whole, = fresh(docs, "whole_text")
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(whole))
+    made_names = {f.name.lower() for f in added}
+    taken = {c.lower() for c in kept} | made_names | {whole}
+    names = {}
+    for c in kept:
+        names[c] = c
+        if c.lower() in made_names:
+            while names[c].lower() in taken:
+                names[c] = f"_{names[c]}"
+            taken.add(names[c].lower())
+    source = docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in kept], F.col(f"`{text}`").alias(whole))
     schema = T.StructType([*[f for f in source.schema if f.name != whole], *added])
     kinds = [to_arrow_type(f.dataType) for f in added]
 

@@ -1,10 +1,9 @@
 """Exact dedup by progressive refinement, in DataFrame functions only.
 
-1. One scan takes every row's length in bytes and the hash of its first
-   characters, counted per (length, prefix hash) with map-side combine.
-2. Lengths that occur once drop out, then prefixes that occur once.  The keys
-   that survive become a bit table of fixed size.
-3. A second scan hashes whole texts, of the rows that the bit table marks only
+1. Rows are counted by length in bytes, with map-side combine; lengths that occur once drop out.
+2. Rows of the lengths left are counted by (length, hash of the first characters); pairs that
+   occur once drop out.  The keys that survive a stage become a bit table (``mark_keys``).
+3. Whole texts are hashed of the rows that the second table marks only
    (a row that shares a bit by chance is merely hashed for nothing).  Equal full
    hashes form a group; the largest id of each stays.
 
@@ -21,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bitmap, fresh, lower_ascii, marked, repeated, saved, with_group
+from vellum.llm.common import fresh, lower_ascii, mark_keys, repeated, saved, with_group
 
 PREFIX_CHARS = 256
 
@@ -30,28 +29,38 @@ def _norm(text: str) -> Column:
     return F.coalesce(lower_ascii(F.col(text)), F.lit(""))
 
 
-def _stage_keys(text: str, prefix_chars: int) -> list[Column]:
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return [F.octet_length(whole).cast("long"), F.xxhash64(lower_ascii(F.substring(whole, 1, prefix_chars)))]
+def _length(text: str) -> Column:
+    return F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
 
 
-def surviving_keys(docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """(n_bytes, prefix_hash) pairs that two rows or more share, as a bit table."""
-    n_bytes, prefix = _stage_keys(text, prefix_chars)
-    counts = saved(docs.select(n_bytes.alias("n_bytes"), prefix.alias("prefix"))
-                   .groupBy("n_bytes", "prefix").agg(F.count(F.lit(1)).alias("n")), "exact-counts")
-    lengths = counts.groupBy("n_bytes").agg(F.sum("n").alias("n")).filter("n > 1").select("n_bytes")
-    same_length = counts.join(lengths, "n_bytes", "left_semi")
-    return saved(bitmap(same_length.filter("n > 1"), F.col("n_bytes"), F.col("prefix")), "exact-bits")
+def _prefix(text: str, prefix_chars: int) -> Column:
+    return F.xxhash64(lower_ascii(F.substring(F.coalesce(F.col(text), F.lit("")), 1, prefix_chars)))
+
+
+def surviving(docs: DataFrame, text: str, name: str, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """``docs`` with the boolean ``name``: whether another row may have an equal text.
+
+    Stage 1 counts lengths; stage 2 hashes the prefixes of rows whose length somebody shares, and
+    counts (length, prefix).  Both keep their surviving keys only."""
+    length, long_enough = fresh(docs, "length", "shares_length")
+    lengths = saved(docs.select(_length(text).alias("n_bytes")).groupBy("n_bytes").agg(F.count(F.lit(1)).alias("n"))
+                    .filter("n > 1").select("n_bytes"), "exact-lengths")
+    rows = mark_keys(docs.withColumn(length, _length(text)), lengths, long_enough, [F.col("n_bytes")], F.col(length))
+    prefix, = fresh(rows, "prefix")
+    rows = rows.withColumn(prefix, F.when(F.col(long_enough), _prefix(text, prefix_chars)))
+    shared = saved(rows.filter(F.col(prefix).isNotNull()).groupBy(F.col(length).alias("n_bytes"), F.col(prefix).alias("prefix"))
+                   .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("n_bytes", "prefix"), "exact-prefixes")
+    marks, = fresh(rows, "marks")
+    rows = mark_keys(rows, shared, marks, [F.col("n_bytes"), F.col("prefix")], F.col(length), F.col(prefix))
+    keep = F.col(long_enough) & F.col(marks)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], keep.alias(name))
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  prefix_chars: int = PREFIX_CHARS, digest: bool = False) -> DataFrame:
     """One row per input row: ``doc_id``, ``keep_id``, ``group_size``, ``kept``;
     with ``digest`` also ``text_sha256``, which then is taken of every row."""
-    bits = surviving_keys(docs, text, prefix_chars)
-    slim = marked(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), bits, "survives",
-                  *_stage_keys("text", prefix_chars))
+    slim = surviving(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "survives", prefix_chars)
     full = F.sha2(_norm("text"), 256)
     slim = saved(slim.select("doc_id", "survives",
                              F.unhex(full if digest else F.when(F.col("survives"), full)).alias("sha")), "exact-rows")
@@ -74,9 +83,8 @@ def drop_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows whose (length, prefix) nobody shares pass straight from the scan; only
     the others are shuffled.
     """
-    bits = surviving_keys(docs, text, prefix_chars)
     survives, key, nth = fresh(docs, "survives", "row_key", "nth")
-    rows = marked(docs, bits, survives, *_stage_keys(text, prefix_chars))
+    rows = surviving(docs, text, survives, prefix_chars)
     row_key = F.concat_ws(":", F.sha2(_norm(text), 256), F.col(doc_id).cast("string"))
     shared = rows.filter(F.col(survives)).withColumn(key, row_key)
     slim = shared.select(F.col(doc_id).alias("id"), F.substring_index(F.col(key), ":", 1).alias("sha"))

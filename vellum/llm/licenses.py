@@ -159,9 +159,11 @@ class Scanner:
         """(start word, label) of each place of a phrase in the joined words."""
         found = []
         for phrase, label in self.phrases:
-            at = line.find(f" {phrase} ")
+            at, seen, word = line.find(f" {phrase} "), 0, 0
             while at >= 0:
-                found.append((line.count(" ", 0, at), label))
+                word += line.count(" ", seen, at)  # from the last place on
+                seen = at
+                found.append((word, label))
                 at = line.find(f" {phrase} ", at + 1)
         return found
 

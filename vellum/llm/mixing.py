@@ -66,8 +66,16 @@ def route(words: dict[tuple, int], quota: dict, passes: int = MAX_PASSES) -> dic
     """Min-cost flow: {pattern: {source: words}}, a pattern giving at most
     ``passes`` times its words, its k-th pass at cost k a word.
 
-    Successive shortest paths over a graph with a node per pattern and source.
+    A source that no pattern shares with another one has one pattern and no choice: it gets its quota as far as
+    its passes reach.  The others are the flow's affair: successive shortest paths over a graph with a node per pattern and source.
     """
+    shared = {s for p in words if len(p) > 1 for s in p}
+    alone = {p: {p[0]: min(passes * n, round(quota[p[0]]))} for p, n in words.items() if len(p) == 1 and p[0] not in shared}
+    return alone | _flow({p: n for p, n in words.items() if p not in alone}, {s: quota[s] for s in quota if s in shared}, passes)
+
+
+def _flow(words: dict[tuple, int], quota: dict, passes: int) -> dict[tuple, dict]:
+    """``route`` for patterns that share sources."""
     patterns, sources = list(words), source_order(quota)
     n = len(patterns) + len(sources) + 2
     start, end = n - 2, n - 1

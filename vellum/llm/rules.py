@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import with_made
+from vellum.llm.common import saved, with_made
 
 FIT_ROWS = 10_000
 SEED = 11
@@ -185,11 +185,14 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, least_precision: float =
 
 def fit(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", *, fit_rows: int = FIT_ROWS,
         seed: int = SEED, **how) -> list[Rule]:
-    """Rules from the statistics of labelled rows; label 0 is what rules reject."""
+    """Rules from the statistics of labelled rows, about ``fit_rows`` of them (a hash bound set by the number of
+    labels, so each task sends its share only); label 0 is what rules reject."""
     known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("label"))
+    known = saved(known.withColumn("place", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 1).cast("double")), "quality-labels")
+    share = min(1.0, fit_rows / max(1, known.count()))
     rows = stats.select(F.col(doc_id).alias("id"), *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()])
-    sample = (rows.join(known, "id").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(fit_rows)
-              .select("label", *FEATURES).toPandas())
+    sample = rows.join(known.filter(F.col("place") <= share * float(1 << 63)), "id").select("label", "id", *FEATURES).toPandas()
+    sample = sample.sort_values(["id", "label"], kind="stable").reset_index(drop=True)
     if sample.empty:
         return []
     return learn({f: sample[f].to_numpy() for f in FEATURES}, sample["label"].to_numpy() == 0, seed=seed, **how)
