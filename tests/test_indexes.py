@@ -84,7 +84,7 @@ def test_vacuum_keeps_what_kept_snapshots_name(spark, table):
 
 def test_lookups_open_few_files_and_miss_no_row(spark, table):
     keys = spark.createDataFrame([(5,), (2500,), (None,), (10 ** 6,), (2500,)], "k long")
-    assert values(table.lookup(keys, "row_id")) == [(5 % 7, 5, "v5"), (2500 % 7, 2500, "v2500")]
+    assert values(table.lookup(keys, "row_id")) == [(1, 2500, "v2500"), (5, 5, "v5")]
     near = table.candidates(keys.select("k"), "row_id")
     assert 2 <= near.count() <= 4 < table.manifest().count()
     opened = {f for f in table.lookup(keys, "row_id").inputFiles() if "/data/" in f}
