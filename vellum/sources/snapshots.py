@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,8 @@ from vellum.session import saved
 
 # A Bloom filter has about so many bits a row and so many hash functions: one key in 130 passes by chance.
 BLOOM_BITS, BLOOM_HASHES = 10, 4
-# bits of one row of a filter's table, what ``bitmap_construct_agg`` makes
-BLOCK_BITS = 32_768
+# bits of one row of a filter's table, kept as words of 64
+BLOCK_BITS, WORD_BITS = 32_768, 64
 # More keys than this are joined with the whole table instead of being probed.
 LOOKUP_KEYS = 10_000
 # Quantile numbers that a clustering key interleaves: 2 ** this many a column.
@@ -95,14 +95,22 @@ class SnapshotTable:
         return rows
 
     def _write_blooms(self, stored: DataFrame, files: DataFrame, commit: str) -> None:
-        """A filter per file and index column: blocks of bits, as many as the file's rows need."""
+        """A filter per file and index column: blocks of bits, as many as the file's rows need.  Bits are or-ed word by
+        word where rows are read, in a hash table of fixed-size entries, so no task sorts a row per bit."""
         blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("rows") * BLOOM_BITS / BLOCK_BITS, F.lit(1.0))))).cast("long")
-        sized = files.select(F.col("file").alias("of"), blocks.alias("blocks"))
-        keyed = stored.join(sized, F.col("file") == F.col("of")).select("file", "blocks", F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), _bloom_key(F.col(c)).alias("key")) for c in self.index])).alias("k")).filter("k.key is not null")
-        bits = keyed.select("file", "blocks", "k.column", F.explode(_places(F.col("k.key"), F.col("blocks"))).alias("place"))
-        made = bits.groupBy("file", "column", "blocks", F.expr(f"place div {BLOCK_BITS}").alias("block")) \
-            .agg(F.bitmap_construct_agg(F.col("place") % BLOCK_BITS).alias("bits"))
+        # files by number (a row per file of one commit): keys of the hash table stay short
+        sized = files.select(F.col("file").alias("of"), blocks.alias("blocks"), F.row_number().over(Window.orderBy("file")).alias("number"))
+        keyed = stored.join(sized, F.col("file") == F.col("of")).select("number", "blocks", F.explode(F.array(*[
+            F.struct(F.lit(i).alias("index"), _bloom_key(F.col(c)).alias("key")) for i, c in enumerate(self.index)])).alias("k")).filter("k.key is not null")
+        bits = keyed.select("number", "k.index", F.explode(_places(F.col("k.key"), F.col("blocks"))).alias("place"))
+        words = bits.groupBy("number", "index", F.expr(f"place div {WORD_BITS}").alias("word")) \
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(place % {WORD_BITS} as int))")).alias("bits"))
+        per_block = BLOCK_BITS // WORD_BITS
+        listed = words.groupBy("number", "index", F.expr(f"word div {per_block}").alias("block")) \
+            .agg(F.map_from_entries(F.collect_list(F.struct((F.col("word") % per_block).cast("int"), "bits"))).alias("words"))
+        made = listed.join(sized, "number").select(
+            F.col("of").alias("file"), F.element_at(F.array(*[F.lit(c) for c in self.index]), F.col("index") + 1).alias("column"), "blocks", "block",
+            F.transform(F.sequence(F.lit(0), F.lit(per_block - 1)), lambda i: F.coalesce(F.col("words")[i], F.lit(0).cast("long"))).alias("bits"))
         made.write.parquet(f"{self.root}/blooms/{commit}")
 
     def append(self, df: DataFrame, tries: int = 5) -> int:
@@ -218,8 +226,8 @@ class SnapshotTable:
         asked = asked.withColumn("of_block", F.expr(f"place div {BLOCK_BITS}"))
         met = blooms.join(asked, (F.col("blocks") == F.col("of_blocks")) & (F.col("block") == F.col("of_block"))) \
             .filter((F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high")))
-        byte = F.conv(F.hex(F.substring(F.col("bits"), F.expr(f"cast((place % {BLOCK_BITS}) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("long")
-        hit = met.filter(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1)
+        word = F.element_at("bits", F.expr(f"cast((place % {BLOCK_BITS}) div {WORD_BITS} as int) + 1"))
+        hit = met.filter(F.getbit(word, (F.col("place") % WORD_BITS).cast("int")) == 1)
         found = hit.groupBy("file", "key").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed")).filter("n = needed")
         return files.join(found.select("file").distinct(), "file", "left_semi")
 
