@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import metrics as M
+from vellum.session import fresh
 
 # The four workflow steps, in order.
 STEPS = ["preprocessing", "invocation", "postprocessing", "evaluation"]
@@ -65,6 +66,29 @@ def extract_path(response: Column, path) -> tuple[Column, Column]:
     return done["out"], done["err"]
 
 
+# A digit is an index or a key, so a path with n digits reads one of 2 ** n places.
+MOST_DIGITS = 3
+
+
+def _place(v: Column, path) -> Column:
+    """``extract_path``'s output without its error: what stands at the end of ``path`` in a parsed response.  A list has
+    no keys and an object no indexes, so at most one of the path's readings is there."""
+    path = [path] if isinstance(path, str) else list(path)
+    readings = ["$"]
+    for step in path:
+        ways = [_key_path(step)[1:]]
+        if step.isdigit():
+            ways.insert(0, f"[{int(step)}]")
+        readings = [r + w for r in readings for w in ways]
+    return F.coalesce(*[F.try_variant_get(v, r, "string") for r in readings])
+
+
+def _plain(path) -> bool:
+    """Whether ``_place`` reads this path."""
+    path = [path] if isinstance(path, str) else list(path)
+    return sum(s.isdigit() for s in path) <= MOST_DIGITS and not any(set(s) & set("\\'") for s in path)
+
+
 def _walk(step: str):
     """One step of a path over (value, error).  The step before is a lambda's
     variable, so the expression grows with the path's length, not its power."""
@@ -91,12 +115,10 @@ def postprocess_path(df: DataFrame, response_col: str, path, keys: list[str] = (
 
 
 def output_mapping(df: DataFrame, response_col: str, paths: dict, keys: list[str] = ()) -> DataFrame:
-    """Several named outputs from one response (one column per name)."""
-    cols = []
-    for name, path in paths.items():
-        out, _ = extract_path(F.col(response_col), path)
-        cols.append(out.alias(name))
-    return df.select(*keys, *cols)
+    """Several named outputs from one response (one column per name), parsed once."""
+    parsed, response = fresh(df, "_parsed")[0], F.col(response_col)
+    cols = [(_place(F.col(parsed), path) if _plain(path) else extract_path(response, path)[0]).alias(name) for name, path in paths.items()]
+    return df.withColumn(parsed, F.try_parse_json(response)).select(*keys, *cols)
 
 
 def align_truth(inputs: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:
