@@ -1,7 +1,7 @@
 """Resumable scoring (H2 / H3): a run that was killed goes on where it stopped.
 
-Rows are dealt into buckets by a hash of (run, row); a bucket is the unit of work and of commit. Its task writes the
-scored rows as a file of its own, which comes into place when the task ends (output committer 2), so what
+Rows are dealt into buckets by a hash of (run, row); a bucket, or a part of one that holds many bytes, is the unit of work and
+of commit. Its task writes the scored rows as a file of its own, which comes into place when the task ends (output committer 2), so what
 finished tasks scored survives the death of the job.  A finished wave is logged by (run, bucket).  The
 next call leaves out logged buckets, then rows that stand in the data (anti-join on run and row), and scores
 only what is left.  A row of a task that died before it ended was not committed and is scored again.
@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 
 from vellum.operators.hooks import SCORE_FIELDS, score_batches
 
+# Bytes of text that one task scores, about: buckets of more are dealt to several tasks.
+PART_BYTES = 64 << 20
+
 LOG = "run_key string, bucket long, wave long, rows long"
 
 
@@ -61,14 +64,22 @@ class ScoreLog:
         seen = last.select(F.col("run_key").alias("_run"), F.col(self.row).alias("_row")).distinct()
         return rows.join(seen, (F.col("run_key") == F.col("_run")) & F.col(self.row).eqNullSafe(F.col("_row")), "left_anti").select(*inputs.columns, "run_key", "bucket")
 
+    def _parts(self, inputs: DataFrame) -> int:
+        """How many tasks a bucket is dealt to: by the bytes of all inputs' texts."""
+        texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in inputs.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+        size = sum(texts, F.lit(8).cast("long") * len(inputs.columns))
+        return max(1, -(-(inputs.agg(F.sum(size)).first()[0] or 0) // (self.buckets * PART_BYTES)))
+
     def score(self, inputs: DataFrame, scorer: Callable[[pd.DataFrame, int], pd.DataFrame], again: tuple[str, ...] = (), **how) -> DataFrame:
         """Scores what remains of ``inputs`` (one row per run and row) and returns the scores of all of
         its runs; ``how`` is passed to ``score_batches``."""
         schema = self._stored(inputs.schema)
         wave = (self._read("scores", schema).agg(F.max("wave")).first()[0] or 0) + 1
-        left = self.remaining(inputs, again).repartition(self.buckets, "bucket")
+        parts = self._parts(inputs)
+        part = F.pmod(F.hash(self.run, self.row), F.lit(parts))
+        left = self.remaining(inputs, again).repartition(self.buckets * parts, "bucket", *([part] if parts > 1 else []))
         scored = score_batches(left, scorer, **how).withColumn("wave", F.lit(wave).cast("long"))
-        # one file a bucket, in place as soon as its task ends
+        # one file a bucket or part, in place as soon as its task ends
         (scored.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
          .partitionBy("bucket").parquet(f"{self.root}/scores"))
         new = self._read("scores", schema).filter(F.col("wave") == wave)
