@@ -53,7 +53,9 @@ def build(df: DataFrame, id_col: str, columns: list[str], path: str, file_postin
     """Writes the index of ``columns`` below ``path``."""
     ided = df.select(F.col(id_col).alias("id"), *columns)
     each = ided.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), grams_of(F.col(c)).alias("grams")) for c in columns])).alias("g"))
-    postings = each.select("g.column_name", F.explode("g.grams").alias("gram"), "id")
+    # A text is cut into trigrams once; counts, the range boundaries and the postings read what that gave.
+    each = saved(each.select("g.column_name", "g.grams", "id"), "trigram-rows")
+    postings = each.select("column_name", F.explode("grams").alias("gram"), "id")
     counts = postings.groupBy("column_name", "gram").agg(F.count(F.lit(1)).alias("n"))
     counts.write.mode("overwrite").parquet(f"{path}/counts")
     spark = df.sparkSession
