@@ -77,8 +77,10 @@ class ScoreLog:
         wave = (self._read("scores", schema).agg(F.max("wave")).first()[0] or 0) + 1
         parts = self._parts(inputs)
         part = F.pmod(F.hash(self.run, self.row), F.lit(parts))
-        # a task of its own for every part: by a hash of the two, several would meet in one
-        left = self.remaining(inputs, again).repartitionById(self.buckets * parts, (F.col("bucket") * parts + part).cast("int"))
+        left = self.remaining(inputs, again)
+        # Parts are dealt by their number: by a hash several would meet in one task.  Whole buckets are small enough for that,
+        # and keep their chunks.
+        left = left.repartitionById(self.buckets * parts, (F.col("bucket") * parts + part).cast("int")) if parts > 1 else left.repartition(self.buckets, "bucket")
         scored = score_batches(left, scorer, **how).withColumn("wave", F.lit(wave).cast("long"))
         # one file a bucket or part, in place as soon as its task ends
         (scored.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
