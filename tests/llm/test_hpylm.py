@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,39 @@ def test_model_prefers_what_it_has_learned(spark):
     # And words are likelier than under the uniform base, a symbol at a time.
     chars = sum(len(w.encode()) + 1 for r in held for w in texts[r["doc_id"]].split())
     assert mean * sum(r["n_tokens"] for r in held) > -math.log10(hpylm.SYMBOLS) * chars / 1.5
+
+
+def test_words_are_scored_in_their_context(spark, monkeypatch):
+    """The same words in another order are less likely, in one part and in many."""
+    learned = ["the cat sat on the mat and the dog sat on the rug"] * 6 + ["a dog and a cat", None, ""]
+    texts = [*learned, "the cat sat on the mat", "mat the on sat cat the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [i >= len(learned) for i in range(len(texts))]
+    for part_tokens in (hpylm.PART_TOKENS, 8):
+        monkeypatch.setattr(hpylm, "PART_TOKENS", part_tokens)
+        rows = hpylm.score(docs, F.col("doc_id") >= len(learned)).collect()
+        agree(rows, brute(list(enumerate(texts)), held))
+        score = {r["doc_id"]: r["score"] for r in rows}
+        assert score[len(learned)] > score[len(learned) + 1] + 3
+        assert len({score[i] for i in range(6)}) == 1
+
+
+def test_bigrams_of_a_run_come_in_the_same_order_for_any_order_of_its_documents():
+    number, many = np.array([7, 3, 9, 4]), np.array([False, True, False, False])
+    docs = [[0, 1, 2], [], [3, 1, 0, 1]]
+    made = [hpylm.Bigrams(pa.array(d, type=pa.list_(pa.int32())), number, many, 5) for d in (docs, docs[::-1])]
+    pairs = [list(zip(g.numbers[g.before[g.order]].tolist(), g.numbers[g.after[g.order]].tolist())) for g in made]
+    assert pairs[0] == pairs[1]
+    assert set(pairs[0]) == {(0, 7), (7, 3), (3, 9), (9, 0), (0, 0), (0, 4), (4, 3), (3, 7), (3, 0)}
+    assert [g.sizes.tolist() for g in made] == [[4, 1, 5], [5, 1, 4]]
+    for g in made:  # a context of few customers is in one part
+        for u in (0, 2, 3):
+            assert len(set(g.part[g.before == u].tolist())) == 1
+
+
+def test_tables_of_word_contexts_keep_their_bounds_and_follow_the_word():
+    u = np.repeat(np.arange(40), 3)
+    n, p = np.tile([1, 300, 300], 40), np.tile([0.5, 1e-9, 0.5], 40)
+    tables, mean = hpylm.seat_contexts(u, n, p, np.ones(len(u)), [1, 2])
+    assert (tables >= 1).all() and (tables <= n).all() and (mean >= 1).all() and (mean <= n).all()
+    assert (tables[0::3] == 1).all() and tables[1::3].mean() < 1.1 < 3 < tables[2::3].mean()

@@ -1,7 +1,9 @@
 """Language-model scoring with a hierarchical Pitman-Yor process.
 
-At the top stands the restaurant of words: its customers are the training tokens, a
-text's end among them.  Its tables order their dishes, the words, from a restaurant that
+At the top stands a restaurant for each word context, which is the word before, or the text's start:
+its customers are the training tokens that follow it, a text's end among them.  Every context
+has one, however rare.  Their tables order their dishes, the words, from one restaurant
+of words without context, whose customers they are.  Its tables order from a restaurant that
 spells them: a word is its UTF-8 bytes between a start and an end symbol, every symbol drawn
 in the restaurant of the symbols before it in the word (at most ``ORDER``).  The tables of such
 a context order from the restaurant of the context without its oldest symbol, which all
@@ -12,7 +14,7 @@ unseen word the same share.
 Training gathers, over all training texts:
 
 1. Texts are read once, in runs of bounded size.  A run leaves its distinct words, with
-   their training counts, and each document as numbers of these words and frequencies.
+   their training counts, and each document as the sequence of the numbers of these words.
 2. Words are added up over all runs (the unigram counts of the base score), and from
    them the symbols after each context.
    Spelling learns from a table per word, so from each distinct word once.
@@ -24,9 +26,15 @@ Training gathers, over all training texts:
    several times, and one seating is kept in proportion to its weight.  Tables of a level are the
    customers of the next one.  The word restaurant is seated the same way, all words in
    parallel, a Spark pass a sweep.  Predictive probabilities are averaged over sweeps and chains.
+5. The word restaurant is seated with all tokens first.  Under these word probabilities the
+   word contexts are seated: each run sends its distinct bigrams to parts, dealt by context (a
+   context of more than an eighth of a part is dealt by bigram instead, and the number of its tables
+   estimated in each part from the part's share).  A part adds up its bigrams over all runs and seats
+   their restaurants, some sweeps.  Then the word restaurant is seated again, its customers now the
+   tables of all word contexts.
 
-Every distinct word is scored once; runs get their words' numbers back and add them up per
-document.  Counts are joined to runs, never to single occurrences.
+Every distinct word is scored once and every distinct bigram of a part too; runs get their words' and
+bigrams' shares back and add them up per document.  Counts are joined to runs, never to single occurrences.
 
 Defined cases: a null text is empty and consists of the end alone.  Without training texts all
 counts are 0, the base score is 0 * tokens and the model is uniform.  Repeated rows
@@ -41,7 +49,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +67,11 @@ CONTEXTS = 20_000
 DISCOUNT = (0.5, 0.6, 0.7, 0.75, 0.8, 0.8)
 STRENGTH = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
 CHAINS, BURN_IN, SWEEPS, SEATINGS = 2, 2, 2, 3
+# The same for the restaurants of word contexts.
+AFTER_DISCOUNT, AFTER_STRENGTH = 0.8, 1.0
+AFTER_BURN_IN, AFTER_SWEEPS = 1, 2
+# Tokens whose bigrams make a part, and how many of the largest contexts would fill one.
+PART_TOKENS, PART_CONTEXTS = 1 << 20, 8
 SEED = 271_828
 # The number that stands for the batch of the text end.
 END_BATCH = (1 << 52) - 1
@@ -91,12 +105,12 @@ def _runs(texts: list, most: int) -> Iterator[tuple[int, int]]:
 
 
 def read_runs(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, held_out, text) as runs: a row per document with its
-    word numbers and frequencies, and a row per run with its words and their training counts."""
+    """``docs`` (doc_id, held_out, text) as runs: a row per document with the
+    numbers of its words in order, and a row per run with its words and their training counts."""
     ship_code(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     schema = columns(run=T.LongType(), doc_id=kind, held_out=T.BooleanType(), n_tokens=T.LongType(),
-                     ids=T.ArrayType(T.IntegerType()), tf=T.ArrayType(T.IntegerType()),
+                     ids=T.ArrayType(T.IntegerType()),
                      words=T.ArrayType(T.BinaryType()), counts=T.ArrayType(T.LongType()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,29 +119,24 @@ def read_runs(docs: DataFrame) -> DataFrame:
             keys, held, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for start, stop in _runs(texts, RUN_BYTES):
                 numbers = _Numbers()
-                sizes, ids, tf = [], [], []
+                ids = []
                 for t in texts[start:stop]:
                     found = words_of(t)
-                    seen, n = np.unique(np.fromiter(map(numbers.__getitem__, found), dtype=np.int32, count=len(found)),
-                                        return_counts=True)
-                    sizes.append(len(found) + 1)
-                    ids.append(seen)
-                    tf.append(n.astype(np.int32))
+                    ids.append(np.fromiter(map(numbers.__getitem__, found), dtype=np.int32, count=len(found)))
                 train = [i for i in range(stop - start) if not held[start + i]]
-                counts = np.bincount(np.concatenate([np.empty(0, np.int32), *(ids[i] for i in train)]),
-                                     weights=np.concatenate([np.empty(0, np.int32), *(tf[i] for i in train)]),
-                                     minlength=len(numbers)).astype(np.int64)
+                none = np.empty(0, np.int32)
+                counts = np.bincount(np.concatenate([none, *(ids[i] for i in train)]), minlength=len(numbers)).astype(np.int64)
                 rows = stop - start
-                offsets = pa.array(np.cumsum([0, *map(len, ids)]), type=pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *x]), type=pa.int32()))
-                         for x in (ids, tf)]
+                sizes = np.fromiter(map(len, ids), dtype=np.int64, count=rows)
+                listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), type=pa.int32()),
+                                                  pa.array(np.concatenate([none, *ids]), type=pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([run] * rows, type=pa.int64()), keys.slice(start, rows), pa.array(held[start:stop], type=pa.bool_()),
-                     pa.array(sizes, type=pa.int64()), *lists, pa.nulls(rows, pa.list_(pa.binary())), pa.nulls(rows, pa.list_(pa.int64()))],
+                     pa.array(sizes + 1, type=pa.int64()), listed, pa.nulls(rows, pa.list_(pa.binary())), pa.nulls(rows, pa.list_(pa.int64()))],
                     names=schema.names)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([run], type=pa.int64()), pa.nulls(1, keys.type), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()),
-                     pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())),
+                     pa.nulls(1, pa.list_(pa.int32())),
                      pa.array([list(numbers)], type=pa.list_(pa.binary())), pa.array([counts], type=pa.list_(pa.int64()))],
                     names=schema.names)
                 run += 1
@@ -230,6 +239,14 @@ def _seat(c: np.ndarray, p: np.ndarray, strength: float, d: float, others: np.nd
     return t, weight
 
 
+def _weighed(c: np.ndarray, p: np.ndarray, strength: float, d: float, others: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of one of ``SEATINGS`` seatings of each dish, drawn in proportion to its weight."""
+    drawn = [_seat(c, p, strength, d, others, rng) for _ in range(SEATINGS)]
+    weight = np.stack([w for _, w in drawn])
+    pick = (weight + rng.gumbel(size=weight.shape)).argmax(axis=0)
+    return np.stack([t for t, _ in drawn])[pick, np.arange(len(c))]
+
+
 def run_chain(levels: Levels, seed: int, burn_in: int = BURN_IN, sweeps: int = SWEEPS, seatings: int = SEATINGS) -> tuple[list, list]:
     """Per level: the mean of each dish's own share and of each context's share
     that goes to its parent."""
@@ -322,10 +339,7 @@ class Top:
         """Tables of each word after a sweep; the same for the same batch."""
         rng = np.random.default_rng([self.seed, sweep, batch])
         others = np.maximum(self.tables[sweep] - np.minimum(n, 1), 0)
-        drawn = [_seat(n, np.power(10.0, log_p), self.strength, self.discount, others, rng) for _ in range(SEATINGS)]
-        weight = np.stack([w for _, w in drawn])
-        pick = (weight + rng.gumbel(size=weight.shape)).argmax(axis=0)
-        return np.stack([t for t, _ in drawn])[pick, np.arange(len(n))]
+        return _weighed(n, np.power(10.0, log_p), self.strength, self.discount, others, rng)
 
     def predict(self, n: np.ndarray, log_p: np.ndarray, batch: int) -> np.ndarray:
         """log10 of the mean predictive probability of each word."""
@@ -399,6 +413,134 @@ def fit(words: DataFrame, ends: int, *, contexts: int = CONTEXTS, chains: int =
     return Model(own, {bytes(r["name"]): r["share"] for r in rows if r["kind"] == "rest"})
 
 
+def numbered(words: DataFrame) -> DataFrame:
+    """``words`` (a written table with ``at``, a ``monotonically_increasing_id``) with ``number`` from 1, without gaps,
+    instead of it."""
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    # A row per written partition comes to the driver.
+    sizes = words.groupBy(part.alias("of")).agg(F.max(place).alias("last")).orderBy("of").collect()
+    starts, start = [], 1
+    for r in sizes:
+        starts.append((r["of"], start))
+        start += r["last"] + 1
+    if start > 1 << 32:
+        raise ValueError("more than 2^32 distinct words")
+    known = words.sparkSession.createDataFrame(starts, "of long, start long")
+    return words.join(F.broadcast(known), part == F.col("of")).withColumn("number", F.col("start") + place).drop("of", "start", "at")
+
+
+class Bigrams:
+    """Distinct bigrams of a run, in an order that the same documents and numbers always give.
+
+    ids: the documents' word numbers in the run; number: of each of these words in the corpus;
+    many: whether it is a context so frequent that it is dealt by bigram."""
+
+    def __init__(self, ids: pa.ListArray, number: np.ndarray, many: np.ndarray, parts: int):
+        offsets = ids.offsets.to_numpy()
+        self.sizes = np.diff(offsets).astype(np.int64) + 1
+        n_words, rows = len(number), len(self.sizes)
+        ends = np.cumsum(self.sizes) - 1
+        after = np.full(int(self.sizes.sum()), n_words, dtype=np.int64)  # behind the words stands the end, before them the start
+        inside = np.ones(len(after), dtype=bool)
+        inside[ends] = False
+        after[inside] = ids.flatten().to_numpy()
+        before = np.concatenate([np.full(min(1, rows), n_words, dtype=np.int64), after[:-1]])
+        found, self.at = np.unique(before * (n_words + 1) + after, return_inverse=True)
+        self.before, self.after = np.divmod(found, n_words + 1)
+        self.numbers = np.append(number, 0).astype(np.uint64)
+        u, w = self.numbers[self.before], self.numbers[self.after]
+        mixed = np.where(np.append(many, True)[self.before], (u << np.uint64(32)) | w, u) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        self.part = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(parts)).astype(np.int32)
+        self.order = np.argsort(self.part, kind="stable")
+
+
+def seat_contexts(u: np.ndarray, n: np.ndarray, p: np.ndarray, spread: np.ndarray, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of each dish of word contexts after the last sweep, and their mean over the kept ones.
+
+    u: the dish's context (sorted); n: its customers, at least 1; p: the word's probability;
+    spread: how many times as large as what is here its context is."""
+    rng = np.random.default_rng(seed)
+    context = np.cumsum(np.append(0, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+    tables, mean = np.ones(len(n), dtype=np.int64), np.zeros(len(n))
+    many = np.flatnonzero(n > 1)  # one customer has one table
+    for sweep in range(AFTER_BURN_IN + AFTER_SWEEPS):
+        others = np.bincount(context, tables)[context[many]] * spread[many] - tables[many] if len(many) else np.zeros(0)
+        tables[many] = _weighed(n[many], p[many], AFTER_STRENGTH, AFTER_DISCOUNT, others, rng)
+        if sweep >= AFTER_BURN_IN:
+            mean += tables / AFTER_SWEEPS
+    return tables, mean
+
+
+class Afters:
+    """How bigrams are dealt: the number of parts, and the contexts with so many customers that they are
+    dealt by bigram (at most ``PART_CONTEXTS`` a part; the text's start is always)."""
+
+    def __init__(self, words: DataFrame, tokens: int):
+        self.parts = max(1, -(-tokens // PART_TOKENS))
+        most = max(1, tokens // (self.parts * PART_CONTEXTS))
+        self.many = np.array([0, *(r["number"] for r in words.filter(F.col("n") > most).select("number").collect())], dtype=np.int64)
+
+    def bigrams(self, ids: pa.ListArray, number: np.ndarray) -> Bigrams:
+        return Bigrams(ids, number, np.isin(number, self.many), self.parts)
+
+
+def seat_afters(texts: DataFrame, placed: DataFrame, end_log_p: float, afters: Broadcast, seed: int) -> DataFrame:
+    """What the restaurants of all word contexts leave:
+
+    * ``run``, ``part``, ``shares``: customers less discount of the run's bigrams of a part, as 32-bit floats;
+    * ``number``, ``ordered``, ``inside``: a word's tables in all contexts, and those of the context after it
+      (number 0: the text's end and its start).
+
+    texts: run, held_out, ids; placed: run, place, number, log_p (of the word restaurant)."""
+    dealt = columns(part=T.IntegerType(), run=T.LongType(), u=T.BinaryType(), w=T.BinaryType(), n=T.BinaryType(), log_p=T.BinaryType())
+    left_over = columns(run=T.LongType(), part=T.IntegerType(), shares=T.BinaryType(), number=T.LongType(), ordered=T.LongType(), inside=T.DoubleType())
+
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        place = right.column("place").to_numpy()
+        number, log_p = np.zeros(len(place), np.int64), np.full(len(place) + 1, end_log_p)
+        number[place] = right.column("number").to_numpy()
+        log_p[place] = right.column("log_p").to_numpy()
+        grams = afters.value.bigrams(left.column("ids").combine_chunks(), number)
+        train = np.repeat(~left.column("held_out").to_numpy().astype(bool), grams.sizes)
+        times = np.bincount(grams.at[train], minlength=len(grams.part))
+        of = grams.order
+        lists = (grams.numbers[grams.before[of]].astype(np.uint32), grams.numbers[grams.after[of]].astype(np.uint32),
+                 times[of].astype(np.uint32), np.maximum(log_p, -60_000)[grams.after[of]].astype(np.float16))
+        part, starts = np.unique(grams.part[of], return_index=True)
+        stops = np.append(starts[1:], len(of))
+        made = [pa.array([x[a:b].tobytes() for a, b in zip(starts, stops)], type=pa.binary()) for x in lists]
+        return pa.Table.from_arrays([pa.array(part, type=pa.int32()), pa.array([left.column("run")[0].as_py()] * len(part), type=pa.int64()), *made],
+                                    names=dealt.names)
+
+    def seat(group: pa.Table) -> pa.Table:
+        u, w, n, log_p = [np.frombuffer(b"".join(group.column(c).to_pylist()), dtype=kind)
+                          for c, kind in (("u", np.uint32), ("w", np.uint32), ("n", np.uint32), ("log_p", np.float16))]
+        part = group.column("part")[0].as_py()
+        found, first, at = np.unique(u.astype(np.uint64) << np.uint64(32) | w, return_index=True, return_inverse=True)
+        c = np.bincount(at, n).astype(np.int64)
+        on = np.flatnonzero(c)
+        u, w, c = (found[on] >> np.uint64(32)).astype(np.int64), (found[on] & np.uint64(0xFFFFFFFF)).astype(np.int64), c[on]
+        p = np.power(10.0, log_p[first[on]].astype(np.float64))
+        tables, mean = seat_contexts(u, c, p, np.where(np.isin(u, afters.value.many), afters.value.parts, 1), [seed, part])
+        share = np.zeros(len(found), np.float32)
+        share[on] = c - AFTER_DISCOUNT * mean
+        stops = np.cumsum([len(x) // 4 for x in group.column("u").to_pylist()])
+        shares = [x.tobytes() for x in np.split(share[at], stops[:-1])]
+        words, of = np.unique(w, return_inverse=True)
+        contexts, by = np.unique(u, return_inverse=True)
+        rows, more = len(shares), len(words) + len(contexts)
+        return pa.Table.from_arrays(
+            [pa.chunked_array([group.column("run").combine_chunks(), pa.nulls(more, pa.int64())]),
+             pa.array([part] * rows + [None] * more, type=pa.int32()), pa.array(shares + [None] * more, type=pa.binary()),
+             pa.chunked_array([pa.nulls(rows, pa.int64()), pa.array(np.concatenate([words, contexts]), type=pa.int64())]),
+             pa.array(np.concatenate([np.zeros(rows), np.bincount(of, tables, len(words)), np.zeros(len(contexts))]).astype(np.int64)),
+             pa.array(np.concatenate([np.zeros(rows + len(words)), np.bincount(by, mean, len(contexts))]))], names=left_over.names)
+
+    parts = texts.select("run", "held_out", "ids").groupBy("run").cogroup(placed.groupBy("run")).applyInArrow(deal, dealt)
+    return parts.groupBy("part").applyInArrow(seat, left_over)
+
+
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", *, contexts: int = CONTEXTS,
           chains: int = CHAINS, seed: int = SEED) -> DataFrame:
     """Learn from the rows that aren't ``held_out`` and score all: ``doc_id``,
@@ -407,10 +549,13 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     runs = saved(read_runs(rows), "lm-runs")
-    texts = runs.filter("words is null").select("run", "doc_id", "held_out", "n_tokens", "ids", "tf")
-    listed = runs.filter("words is not null").select("run", F.inline(F.arrays_zip("words", "counts")))
-    listed = listed.select("run", F.col("words").alias("word"), F.col("counts").alias("n"))
-    words = saved(listed.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    texts = runs.filter("words is null").select("run", "doc_id", "held_out", "n_tokens", "ids")
+    # The number of a word in its run is its place in the run's list.
+    listed = runs.filter("words is not null").select("run", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "one"))
+    listed = listed.select(F.col("one.words").alias("word"), F.col("one.counts").alias("n"), F.struct("run", "place").alias("at"))
+    # A word has a place in a run at most.
+    words = listed.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("at").alias("places"))
+    words = numbered(saved(words.withColumn("at", F.monotonically_increasing_id()), "lm-words"))
     ends = texts.filter("not held_out").count()
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     tokens, distinct = sums[0] + ends, sums[1] + (ends > 0)
@@ -420,46 +565,72 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             logs = [held.value.spelling(spelled(w)) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logs, type=pa.float64())],
-                                             names=["word", "n", "log_p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(logs, type=pa.float64())], names=kinds.names)
 
-    kinds = columns(word=T.BinaryType(), n=T.LongType(), log_p=T.DoubleType())
-    spelt = saved(words.select("word", "n").mapInArrow(spell, kinds), "lm-spelt")
+    places = words.schema["places"].dataType
+    kinds = columns(number=T.LongType(), n=T.LongType(), places=places, log_p=T.DoubleType())
+    spelt = saved(words.select("word", "number", "n", "places").mapInArrow(spell, kinds), "lm-spelt")
     end_log_p = model.spelling(bytes([START, TEXT_END]))
+
+    def predicted(words: DataFrame, top: Top) -> DataFrame:
+        """``words`` with the word restaurant's log_p instead of that of the spelling."""
+        known = spark.sparkContext.broadcast(top)
+        n, log_p = words.columns.index("n"), words.columns.index("log_p")
+
+        def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for i, batch in _numbered(batches):
+                logs = known.value.predict(batch.column(n).to_numpy(), batch.column(log_p).to_numpy(), i)
+                yield batch.set_column(log_p, "log_p", pa.array(logs, type=pa.float64()))
+
+        return words.mapInArrow(predict, words.schema)
+
+    def at_end(top: Top, n: int) -> float:
+        return float(top.predict(np.array([n]), np.array([end_log_p]), END_BATCH)[0])
+
     top = seat_words(spelt, ends, end_log_p, tokens, seed)
-    known = spark.sparkContext.broadcast(top)
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, batch in _numbered(batches):
-            logs = known.value.predict(batch.column(1).to_numpy(), batch.column(2).to_numpy(), i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logs, type=pa.float64())],
-                                             names=["word", "n", "log_p"])
-
-    scored = spelt.mapInArrow(predict, kinds)
-    # The number of a word is its place in its run's list.
-    placed = runs.filter("words is not null").select("run", F.posexplode("words").alias("id", "word"))
-    values = placed.join(scored, "word").select(F.col("run").alias("of_run"), "id", F.col("n").alias("count"), "log_p")
+    afters = spark.sparkContext.broadcast(Afters(words, tokens))
+    first = predicted(spelt, top).select("number", F.col("log_p").cast("float").alias("log_p"), F.inline("places"))
+    after = saved(seat_afters(texts, first, at_end(top, ends), afters, seed), "lm-after")
+    ordered = saved(after.filter("number is not null").groupBy(F.col("number").alias("of")).agg(
+        F.sum("ordered").alias("ordered"), F.sum("inside").alias("inside")), "lm-ordered", shuffled=True)
+    customers = ordered.agg(F.sum("ordered")).first()[0] or 0
+    end_ordered, start_inside = ordered.filter("of = 0").select("ordered", "inside").first() or (0, 0.0)
+    joined = spelt.join(ordered, F.col("number") == F.col("of"), "left").select(
+        F.coalesce("ordered", F.lit(0)).alias("n"), "log_p", "number", F.col("n").alias("count"), F.coalesce("inside", F.lit(0.0)).alias("inside"), "places")
+    seated = saved(joined, "lm-seated")
+    top = seat_words(seated, end_ordered, end_log_p, customers, seed)
+    text_end = at_end(top, end_ordered)
+
+    values = predicted(seated, top).select(F.inline("places"), "number", "count", "log_p", "inside")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(x) for x in names]
+    values = values.select("*", *none("int", "part"), *none("binary", "shares")).unionByName(
+        after.filter("shares is not null").select("run", *none("int", "place"), *none("long", "number", "count"), *none("double", "log_p", "inside"), "part", "shares"))
     schema = columns(doc_id=texts.schema["doc_id"].dataType, held_out=T.BooleanType(), n_tokens=T.LongType(), n_known=T.LongType(),
                      base_score=T.DoubleType(), score=T.DoubleType())
     floor = -math.log10(tokens + distinct + 1)
-    text_end = float(top.predict(np.array([ends]), np.array([end_log_p]), END_BATCH)[0])
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        place = right.column("id").to_numpy()
-        count, log_p = np.zeros(len(place), np.int64), np.zeros(len(place))
-        count[place] = right.column("count").to_numpy()
-        log_p[place] = right.column("log_p").to_numpy()
-        ids, tf = left.column("ids").combine_chunks(), left.column("tf").combine_chunks()
-        n = np.diff(ids.offsets.to_numpy())
-        doc = np.repeat(np.arange(len(n)), n)
-        at, times = ids.flatten().to_numpy(), tf.flatten().to_numpy()
-        size = left.column("n_tokens").to_numpy()
-        total = lambda x: np.bincount(doc, times * x, len(n))
-        known = total(count[at] > 0).astype(np.int64) + (ends > 0)
-        base = total(np.log10(count[at] + 1.0)) + math.log10(ends + 1) + size * floor
-        made = [pa.array(known), pa.array(base), pa.array(total(log_p[at]) + text_end)]
+        mine = right.filter(pc.is_valid(right.column("place")))
+        place = mine.column("place").to_numpy()
+        number = np.zeros(len(place), np.int64)
+        count, log_p, inside = np.full(len(place) + 1, ends), np.full(len(place) + 1, text_end), np.full(len(place) + 1, start_inside)
+        for to, name in ((number, "number"), (count, "count"), (log_p, "log_p"), (inside, "inside")):
+            to[place] = mine.column(name).to_numpy()
+        grams = afters.value.bigrams(left.column("ids").combine_chunks(), number)
+        shares = right.filter(pc.is_valid(right.column("part"))).select(["part", "shares"]).sort_by("part")
+        own = np.empty(len(grams.order))
+        own[grams.order] = np.frombuffer(b"".join(shares.column("shares").to_pylist()), dtype=np.float32)
+        all_customers = AFTER_STRENGTH + count[grams.before]
+        with np.errstate(divide="ignore"):
+            shorter = np.log((AFTER_STRENGTH + AFTER_DISCOUNT * inside[grams.before]) / all_customers) + log_p[grams.after] * math.log(10)
+            log_after = np.logaddexp(np.log(own / all_customers), shorter) / math.log(10)
+        n = len(grams.sizes)
+        doc, at = np.repeat(np.arange(n), grams.sizes), grams.after[grams.at]
+        total = lambda x: np.bincount(doc, x, n)
+        made = [pa.array(total(count[at] > 0).astype(np.int64)), pa.array(total((np.log10(count + 1.0) + floor)[at])),
+                pa.array(total(log_after[grams.at]))]
         return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), *made], names=schema.names)
 
-    out = texts.groupBy("run").cogroup(values.groupBy("of_run")).applyInArrow(add_up, schema)
+    out = texts.groupBy("run").cogroup(values.groupBy("run")).applyInArrow(add_up, schema)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score",
                       F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
