@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,13 @@ def test_low_shares_and_missing_labels_lose_no_document(spark):
     assert sorted(r["doc_id"] for r in langid.keep_identified(docs).collect()) == [0, 1, 2, 3, 4, 7]
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     assert sorted(r["doc_id"] for r in langid.keep_identified(bare).collect()) == [0, 1, 2, 3, 4, 7]
+
+
+def test_rows_of_items_that_share_a_hash(monkeypatch):
+    """Items are told apart by their strings, and no string is held beside the Arrow column."""
+    items = [f"w{i}" for i in range(40)]
+    monkeypatch.setattr(langid._Rows, "hashes", staticmethod(lambda found: np.array([int(x[1:]) % 3 for x in found], dtype=np.uint64)))
+    rows = langid._Rows(pa.chunked_array([items]), np.arange(0, 40, 2))
+    assert rows.find([*items, "w99"]).tolist() == [i if i % 2 == 0 else -1 for i in range(40)] + [-1]
+    assert rows.find([]).tolist() == [] and langid._Rows(pa.chunked_array([items]), np.arange(0)).find(items).tolist() == [-1] * 40
+    assert all(isinstance(x, (np.ndarray, pa.Array)) for x in vars(rows).values())

@@ -32,7 +32,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,6 +128,46 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", *, fit_rows
     return Model(langs, fallback, penalty, longest, table)
 
 
+class _Rows:
+    """Row by item, for some rows of a column of strings: their 64-bit hashes in order instead of a dict of
+    strings, which takes twenty times as much memory.  An item's own string decides."""
+
+    def __init__(self, items: pa.ChunkedArray, rows: np.ndarray):
+        self.items = items.combine_chunks()
+        keys = np.empty(len(rows), dtype=np.uint64)
+        for start in range(0, len(rows), 10_000):  # few strings at a time
+            some = rows[start:start + 10_000]
+            keys[start:start + len(some)] = self.hashes(self.items.take(pa.array(some)).to_pylist())
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rows = keys[order], rows[order]
+
+    @staticmethod
+    def hashes(items: list[str]) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in items), dtype=np.uint64, count=len(items))
+
+    def __iter__(self) -> Iterator[str]:
+        return (self.items[i].as_py() for i in self.rows.tolist())
+
+    def __contains__(self, item: str) -> bool:
+        return bool(self.find([item])[0] >= 0)
+
+    def find(self, items: list[str]) -> np.ndarray:
+        """The row of each item; -1: none."""
+        out = np.full(len(items), -1, dtype=np.int64)
+        if not len(self.keys) or not items:
+            return out
+        keys = self.hashes(items)
+        place = np.searchsorted(self.keys, keys)
+        at = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] == keys)
+        out[at] = self.rows[place[at]]
+        asked = pa.array([items[i] for i in at.tolist()], type=self.items.type)
+        same = pc.equal(self.items.take(pa.array(out[at])), asked).to_numpy(zero_copy_only=False)
+        for i in at[~same.astype(bool)].tolist():  # another string with the same hash
+            run = self.rows[self.keys == keys[i]].tolist()
+            out[i] = next((r for r in run if self.items[r].as_py() == items[i]), -1)
+        return out
+
+
 class Model:
     """Scores per language for words and n-grams, held sparse: by item the languages
     that know it and what each gains on the penalty.  See the module's text."""
@@ -146,10 +188,8 @@ class Model:
         if self.tables:
             return
         table = pa.ipc.open_stream(pa.BufferReader(self.packed)).read_all().combine_chunks()
-        is_word = table.column("word").to_pylist()
-        items = table.column("item").to_pylist()
-        words = {x: i for i, (w, x) in enumerate(zip(is_word, items)) if w}
-        parts = {x: i for i, (w, x) in enumerate(zip(is_word, items)) if not w}
+        is_word = table.column("word").to_numpy()
+        words, parts = (_Rows(table.column("item"), np.flatnonzero(is_word == kind)) for kind in (True, False))
         at = table.column("at").combine_chunks()
         sizes = np.diff(at.offsets.to_numpy()).astype(np.int64)
         self.tables = (words, parts, at.flatten().to_numpy().astype(np.int64), table.column("gain").combine_chunks().flatten().to_numpy().astype(np.float64),
@@ -167,27 +207,21 @@ class Model:
         """The gains of words, all words of one backoff step together."""
         known, parts = self.tables[:2]
         total, scored = np.zeros((len(words), len(self.langs))), np.zeros(len(words))
-        rows = np.fromiter((known.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        rows = known.find(words)
         hit = np.flatnonzero(rows >= 0)
         total += self.gains(rows[hit], hit, len(words))
         scored[hit] = 1
         todo = np.flatnonzero(rows < 0).tolist()
-        get = parts.get
         for n in range(self.longest, 0, -1):
-            flat, of, rest = [], [], []
-            for i in todo:
-                found = [g for x in grams(words[i], n) if (g := get(x)) is not None]
-                if found:
-                    flat += found
-                    of += [i] * len(found)
-                else:
-                    rest.append(i)
-            if flat:
-                of = np.array(of)
-                counts = np.bincount(of, minlength=len(words))
-                total += self.gains(np.array(flat), of, len(words)) / np.maximum(counts, 1)[:, None]
+            made = [grams(words[i], n) for i in todo]
+            of = np.repeat(np.array(todo, dtype=np.int64), [len(x) for x in made])
+            found = parts.find([g for x in made for g in x])
+            of, found = of[found >= 0], found[found >= 0]
+            counts = np.bincount(of, minlength=len(words))
+            if len(of):
+                total += self.gains(found, of, len(words)) / np.maximum(counts, 1)[:, None]
                 scored[counts > 0] = 1
-            todo = rest
+            todo = [i for i in todo if not counts[i]]
         word, lang = np.nonzero(total)
         sizes = np.bincount(word, minlength=len(words))
         return {"at": (lang, sizes), "gain": (total[word, lang], sizes), "scored": scored}
