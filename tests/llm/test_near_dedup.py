@@ -252,3 +252,53 @@ def test_a_cell_gives_links_that_join_all_that_are_linked():
     assert groups(made) == groups([(a, b) for a in left for b in right if a != b and alike(a, b)])
     assert len(made) < 60 + 30
     assert near_dedup._linked(85)(table([]), table(right)).num_rows == near_dedup._linked(85)(table(left), table([])).num_rows == 0
+
+
+@pytest.mark.parametrize("threshold, cut", [(85, 8), (80, 11)])
+def test_a_huge_bucket_loses_no_link(spark, monkeypatch, threshold, cut):
+    """Links just over the threshold that share a single, huge bucket: many agree in no further collection of minhashes."""
+    monkeypatch.setattr(near_dedup, "CROWD", 30)
+    texts = outlying(100, 20)
+    texts += [" ".join([*t.split()[:-cut], "other"]) for t in texts[:80]]
+    expected = brute(list(enumerate(texts)), 1, threshold)
+    assert sum(not kept for *_, kept in expected) == 80
+    got = linked(spark, texts, [range(180)], threshold)
+    assert all(got[i] == got[c] for i, _, c, _ in expected) and len(set(got.values())) == 100
+
+
+def test_a_huge_bucket_meets_by_prefixes(spark, monkeypatch):
+    """Nodes of a huge bucket without a link only meet blocks where a prefix of theirs has a shingle in common."""
+    monkeypatch.setattr(near_dedup, "CROWD", 30)
+    met = []
+    compared = near_dedup._Linker._compared
+
+    def counted(self, near, hubs):
+        met.append(near.select(F.explode("blocks")).count())
+        return compared(self, near, hubs)
+
+    texts = outlying(300)
+    texts += [" ".join([*t.split()[:-5], "other"]) for t in texts[:20]]
+    rest = spark.createDataFrame([(1, i, i) for i in range(320)], "key long, node long, root long")
+    sets = spark.createDataFrame([(i, bytearray(near_dedup.shingles(t, 1).tobytes())) for i, t in enumerate(texts)], "node long, shingles binary")
+    monkeypatch.setattr(near_dedup._Linker, "_compared", counted)
+    links = near_dedup._Linker(None, sets, None, 85)._huge(rest).collect()
+    assert {tuple(sorted(r)) for r in links} == {(i, 300 + i) for i in range(20)}
+    # the twenty links' ends, each with its own block and the other's, and few others; all with all are 320 * 16
+    assert sum(met) <= 200
+
+
+@pytest.mark.parametrize("threshold", [80, 85, 100])
+def test_links_share_a_shingle_of_their_prefixes(spark, threshold):
+    rng = np.random.default_rng(threshold)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.append(rng.choice(base, n, replace=False), rng.integers(0, 1 << 63, k % 5, dtype=np.uint64)))
+            for k, n in enumerate(rng.integers(1, 61, 150))]
+    table = near_dedup.saved(spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, shingles binary"), "test-sets")
+    counts = near_dedup._counts(table)
+    assert counts.sum() == sum(map(len, sets))
+    prefix = {}
+    for r in near_dedup._prefixes(table, counts, threshold).collect():
+        prefix.setdefault(r["node"], set()).add(r["token"])
+    links = [(i, j) for i, j in combinations(range(150), 2)
+             if 100 * len(np.intersect1d(sets[i], sets[j])) >= threshold * len(np.union1d(sets[i], sets[j]))]
+    assert all(prefix[i] & prefix[j] for i, j in links) and (threshold == 100 or len(links) > 20)
